@@ -34,7 +34,7 @@ ENTRIES = f"""entries AS (
   SELECT doc_id, source, 'e' || CAST(doc_id AS VARCHAR) AS id, {FIRST_LINE} AS title,
          '{HOST}/n/' || md5(text) AS url,
          strftime({PUBLISHED}, '%Y-%m-%dT%H:%M:%S') AS published_at,
-         text AS body, {FETCHED} AS fetched_at, doc_id // 50 AS feed_no
+         text AS body, {FETCHED} AS fetched_at, doc_id // 12000 AS feed_no
   FROM documents)"""
 
 # the article view P1 over RAW feed rows: raw rows are rebuilt from entries and flattened again

@@ -16,7 +16,8 @@ AS_OF = "2024-01-31 00:00:00"
 EPOCH = "2024-01-01 00:00:00"
 HOST = "https://example.com"
 FEED_HOURS = 48          # a document is fetched (doc_id mod 48) hours before AS_OF
-ITEMS_PER_FEED = 50      # documents are landed in feeds of at most 50 items
+FEED_SPAN = 12000        # a feed is one source at one fetch time within a span of 12,000 doc ids,
+                         # so no feed is an unbounded group (<= 50 items when sources rotate)
 TARGET_AGE_HOURS = 12    # the curated table holds what was fetched >= 12 h ago
 
 
@@ -65,15 +66,15 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(published_at(F.col("doc_id")), "yyyy-MM-dd'T'HH:mm:ss").alias("published_at"),
         F.col("text").alias("body"),
         fetched_at(F.col("doc_id")).alias("fetched_at"),
-        (F.col("doc_id") / F.lit(ITEMS_PER_FEED)).cast("long").alias("feed_no"),
+        (F.col("doc_id") / F.lit(FEED_SPAN)).cast("long").alias("feed_no"),
     )
 
 
 def raw_json_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RAW feed rows: one row per landed feed, the whole entry array as a variant.
 
-    A feed is the entries of one source fetched at one time, at most
-    ITEMS_PER_FEED entries, so no group is unbounded.
+    A feed is the entries of one source fetched at one time, within one
+    FEED_SPAN of doc ids, so no group is unbounded.
     """
     e = feed_entries(spark, sf_dir)
     entry = F.struct("id", "title", "url", "published_at", "body")
@@ -108,7 +109,7 @@ def api_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(published_at(F.col("doc_id")), "yyyy-MM-dd'T'HH:mm:ss").alias("publishedAt"),
         F.when(F.col("n_chars") < 200, F.lit("ImageNote")).otherwise(F.lit("TextNote")).alias("type"),
         fetched_at(F.col("doc_id")).alias("fetched_at"),
-        (F.col("doc_id") / F.lit(ITEMS_PER_FEED)).cast("long").alias("feed_no"),
+        (F.col("doc_id") / F.lit(FEED_SPAN)).cast("long").alias("feed_no"),
     )
 
 
@@ -146,7 +147,7 @@ def raw_xml_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     items = d.select(
         "doc_id", "source", fetched_at(F.col("doc_id")).alias("fetched_at"),
-        (F.col("doc_id") / F.lit(ITEMS_PER_FEED)).cast("long").alias("feed_no"), item.alias("item"))
+        (F.col("doc_id") / F.lit(FEED_SPAN)).cast("long").alias("feed_no"), item.alias("item"))
     return (
         items.groupBy("source", "fetched_at", "feed_no")
         .agg(F.sort_array(F.collect_list(F.struct("doc_id", "item"))).alias("items"))
