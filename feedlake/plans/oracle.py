@@ -43,7 +43,9 @@ RAW_FEEDS = f"""raw_feeds AS (
          '{HOST}/feed/' || source AS source_url, fetched_at,
          to_json(list({{'id': id, 'title': title, 'url': url, 'published_at': published_at, 'body': body}}
                  ORDER BY doc_id)) AS raw_data
-  FROM entries GROUP BY source, fetched_at, feed_no)"""
+  FROM (SELECT * EXCLUDE (fetched_at), unnest([fetched_at, fetched_at - INTERVAL 24 HOUR]) AS fetched_at
+        FROM entries)
+  GROUP BY source, fetched_at, feed_no)"""
 
 ARTICLE_VIEW = """article_view AS (
   SELECT r.id AS raw_id, r.source_url, r.fetched_at,

@@ -74,9 +74,13 @@ def raw_json_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RAW feed rows: one row per landed feed, the whole entry array as a variant.
 
     A feed is the entries of one source fetched at one time, within one
-    FEED_SPAN of doc ids, so no group is unbounded.
+    FEED_SPAN of doc ids, so no group is unbounded. Every feed was also
+    fetched once 24 hours earlier, so the raw table holds each entry twice
+    (the duplicates G1 collapses).
     """
     e = feed_entries(spark, sf_dir)
+    e = e.withColumn("fetched_at", F.explode(F.array(
+        F.col("fetched_at"), F.timestamp_add("HOUR", F.lit(-24), F.col("fetched_at")))))
     entry = F.struct("id", "title", "url", "published_at", "body")
     return (
         e.groupBy("source", "fetched_at", "feed_no")
