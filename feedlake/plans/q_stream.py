@@ -1 +1,56 @@
-"""Registered queries."""
+"""Registered streaming queries (ST1-ST6, S14)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from feedlake.plans.oracle import ARTICLE_VIEW, ENTRIES, RAW_FEEDS, TARGET_CUTOFF, with_
+from feedlake.plans.q_merge import CUTOFF, MERGE_BY_URL_SQL, stream_rows
+from feedlake.plans.registry import register
+from feedlake.session import scratch_dir
+from feedlake.sources import tables
+from feedlake.sources import testdata as D
+from feedlake.streaming import merge_stream as MS
+
+
+def _run_stream(spark, sf_dir):
+    base = scratch_dir(spark, f"stream-{uuid.uuid4().hex}")
+    raw_path, target_path, ckpt = f"{base}/raw", f"{base}/target", f"{base}/_checkpoint"
+    # the raw rows fetched since the previous merge are the new files of the stream
+    raw = D.raw_json_feeds(spark, sf_dir).where(F.col("fetched_at") > CUTOFF)
+    raw.write.mode("overwrite").parquet(raw_path)
+    tables.write_version(D.posts_by_url(spark, sf_dir), target_path, version=0)
+    q = MS.start_merge_stream(spark, raw_path, target_path, ckpt, as_of=D.ts_ntz(D.AS_OF))
+    q.awaitTermination()
+    first = MS.batches_run(q)
+    q2 = MS.start_merge_stream(spark, raw_path, target_path, ckpt, as_of=D.ts_ntz(D.AS_OF))
+    q2.awaitTermination()
+    return target_path, first, MS.batches_run(q2)
+
+
+@register("stream_merge", MERGE_BY_URL_SQL)
+def stream_merge(spark, sf_dir):
+    """ST1-ST5: raw table -> change stream -> article view -> G1 -> M1 in foreachBatch.
+
+    Equals the batch merge ``merge_by_url``.
+    """
+    target_path, _, _ = _run_stream(spark, sf_dir)
+    t = tables.read_current(spark, target_path)
+    return t.withColumn("body_md5", F.md5("body")).drop("body")
+
+
+@register("stream_idle")
+def stream_idle(spark, sf_dir):
+    """ST6: a second run over no new files fires no batch (rows only)."""
+    _, first, second = _run_stream(spark, sf_dir)
+    return spark.createDataFrame([(first, second)], "batches_first_run long, batches_second_run long")
+
+
+@register("batch_snapshot", with_(ENTRIES, RAW_FEEDS, ARTICLE_VIEW) + f"""
+SELECT raw_id, article_id, url FROM article_view WHERE fetched_at > {TARGET_CUTOFF}""")
+def batch_snapshot(spark, sf_dir):
+    """The stream's content materialised once as a temporary table."""
+    snap = MS.snapshot(stream_rows(spark, sf_dir), f"processed_stream_records_{uuid.uuid4().hex[:8]}")
+    return snap.select("raw_id", "article_id", "url")
