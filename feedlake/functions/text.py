@@ -26,9 +26,15 @@ def contains_ci(c: Column | str, query: Column | str, wildcards: bool = True) ->
     literal substring test.
     """
     c, q = _col(c), _lit(query)
+    literal = F.contains(F.lower(c), F.lower(q))
     if not wildcards:
-        return F.contains(F.lower(c), F.lower(q))
-    return F.like(F.lower(c), F.lower(F.concat(F.lit("%"), q, F.lit("%"))))
+        return literal
+    pattern = F.like(F.lower(c), F.lower(F.concat(F.lit("%"), q, F.lit("%"))))
+    if isinstance(query, str):
+        return pattern if any(ch in query for ch in "%_\\") else literal
+    # a query without wildcard or escape characters means the same as a substring test,
+    # which avoids compiling a pattern per row
+    return F.when(q.rlike(r"[%_\\\\]"), pattern).otherwise(literal)
 
 
 def like_any(c: Column | str, keywords: list[str], case_insensitive: bool = False) -> Column:

@@ -37,16 +37,30 @@ def _check(size: int, overlap: int) -> int:
     return size - overlap
 
 
-def window_chunks(df: DataFrame, text: Column | str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                  min_len: int = CHUNK_MIN) -> DataFrame:
+LONG_TEXT = 1_000_000     # characters; longer texts take the linear piece-wise chunker
+
+
+def window_chunks(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                  min_len: int = CHUNK_MIN, long_text: int = LONG_TEXT) -> DataFrame:
     """C1 (SPLIT_TEXT_TO_CHUNKS): fixed windows of ``size`` characters every ``size - overlap``.
 
-    The text is cut once into ``step``-character pieces with one linear regex
-    pass; chunk k is pieces k .. k+m-1 joined and cut to ``size`` characters.
-    (Taking ``substring`` at each offset would rescan the UTF-8 text from its
-    start for every chunk.) Adds ``chunk_index`` and ``chunk_text``; pieces of
-    ``min_len`` characters or fewer are dropped.
+    Adds ``chunk_index`` and ``chunk_text``; pieces of ``min_len`` characters
+    or fewer are dropped. Texts up to ``long_text`` characters use the closed
+    form (``explode(sequence)`` + ``substring``, whole-stage code-generated);
+    ``substring`` by character position rescans the UTF-8 text from its
+    start, so longer texts are cut by one linear regex pass instead. Both give
+    the same chunks.
     """
+    short = df.where(F.length(text) <= long_text)
+    longer = df.where(F.length(text) > long_text)
+    return (window_chunks_closed_form(short, text, size, overlap, min_len)
+            .unionByName(window_chunks_linear(longer, text, size, overlap, min_len)))
+
+
+def window_chunks_linear(df: DataFrame, text: Column | str, size: int = CHUNK_SIZE,
+                         overlap: int = CHUNK_OVERLAP, min_len: int = CHUNK_MIN) -> DataFrame:
+    """C1 in one linear pass: cut the text into ``step``-character pieces with a
+    regex, chunk k is pieces k .. k+m-1 joined and cut to ``size`` characters."""
     step = _check(size, overlap)
     t = F.col(text) if isinstance(text, str) else text
     m = -(-size // step)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.text import contains_ci
 from feedlake.functions.vectors import cosine
+from feedlake.session import ensure_checkpoint_dir
 
 # Field weights of the scored text search, and the API limits.
 TITLE_WEIGHT = 1.0
@@ -22,6 +23,7 @@ BODY_WEIGHT = 0.5
 MIN_LIMIT = 1
 MAX_LIMIT = 20
 DEFAULT_LIMIT = 5
+ANCHORS = 3   # rarest n-grams per request used to narrow candidates before the exact test
 
 
 def text_score(query: Column | str, title: str = "title", summary: str = "summary",
@@ -202,18 +204,43 @@ def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0,
     for n, pg in post_grams_by_n.items():
         pg = pg.join(needed.where(F.col("n") == n), ["n", "tri"], "left_semi")
         post_grams = pg if post_grams is None else post_grams.unionByName(pg)
+    # the n-gram scan is the expensive step and feeds two consumers (frequencies
+    # and candidates): write it once to the checkpoint folder and cut the lineage
+    ensure_checkpoint_dir(posts.sparkSession)
+    post_grams = post_grams.checkpoint(eager=True)
     # document frequency of each needed gram: partial aggregation before the shuffle
     df_gram = post_grams.groupBy("n", "tri").agg(F.count("*").alias("df"))
-    anchors = (req_grams.join(df_gram, ["n", "tri"], "left")
-               .withColumn("df", F.coalesce("df", F.lit(0)))
-               .groupBy("student_id")
-               .agg(F.min_by(F.struct("n", "tri"), F.struct("df", "tri")).alias("a"))
-               .select("student_id", F.col("a.n").alias("n"), F.col("a.tri").alias("tri")))
-    cand = anchors.join(post_grams, ["n", "tri"]).select("student_id", "id")
+    # each request's ANCHORS rarest grams (a request's gram set is bounded by its query length)
+    ranked = (req_grams.join(df_gram, ["n", "tri"], "left")
+              .withColumn("df", F.coalesce("df", F.lit(0)))
+              .withColumn("r", F.row_number().over(
+                  Window.partitionBy("student_id").orderBy("df", "n", "tri")))
+              .where(F.col("r") <= ANCHORS))
+    # candidates: posts holding the rarest gram, narrowed by the next ones; every
+    # join after the first is on (post, gram), a key without hot values
+    cand = (ranked.where(F.col("r") == 1).select("student_id", "n", "tri")
+            .join(post_grams, ["n", "tri"]).select("student_id", "id"))
+    for r in range(2, ANCHORS + 1):
+        ar = ranked.where(F.col("r") == r).select("student_id", "n", "tri")
+        c = cand.join(ar, "student_id", "left")
+        cand = (c.where(F.col("tri").isNull()).select("student_id", "id")
+                .unionByName(c.join(post_grams, ["id", "n", "tri"], "left_semi").select("student_id", "id")))
+    # verification: the posts' text is lower-cased once, before the pair join
+    lp = p.select("id", "title", "summary", "url", "published_at",
+                  F.lower("title").alias("l_title"), F.lower("summary").alias("l_summary"),
+                  F.lower("body_markdown").alias("l_body"))
+    lq = F.lower(F.col("query"))
+    plain = ~F.col("query").rlike(r"[%_\\\\]")
+
+    def hit(c):
+        like = F.like(F.col(c), F.concat(F.lit("%"), lq, F.lit("%")))
+        return F.when(plain, F.contains(F.col(c), lq)).otherwise(like) if wildcards else F.contains(F.col(c), lq)
+
+    score = (F.when(hit("l_title"), F.lit(TITLE_WEIGHT)).when(hit("l_summary"), F.lit(SUMMARY_WEIGHT))
+             .when(hit("l_body"), F.lit(BODY_WEIGHT)).otherwise(F.lit(0.0)))
     matched = (cand.join(has_gram.select("student_id", "query", "limit"), "student_id")
-               .join(p, "id")
-               .select("student_id", "limit", F.col("id").alias("article_id"),
-                       text_score(F.col("query"), wildcards=wildcards).cast("double").alias("score"),
+               .join(lp, "id")
+               .select("student_id", "limit", F.col("id").alias("article_id"), score.alias("score"),
                        "title", "summary", "url", "published_at")
                .where(F.col("score") > 0))
     w = Window.partitionBy("student_id").orderBy(*order)
