@@ -60,14 +60,23 @@ def dedup_min_fetch(rows: DataFrame, group_cols: Sequence[str], ts: str = "fetch
     return rows.groupBy(*group_cols).agg(F.min(ts).alias(out))
 
 
-def latest_with_first_seen(rows: DataFrame, key: str, ts: str = "fetched_at",
-                           out: str = "first_fetched_at") -> DataFrame:
-    """G1 followed by W1 in one aggregation: per key, the values of the latest
-    fetch and the earliest fetch time (the stated rule for duplicate keys)."""
-    rest = [c for c in rows.columns if c not in (key, ts)]
-    w = F.max(F.struct(F.col(ts).isNull().alias("__n"), F.col(ts).alias("__t"), *[F.col(c) for c in rest]))
-    agg = rows.groupBy(key).agg(w.alias("__w"), F.min(ts).alias(out))
-    return agg.select(key, *[F.col(f"__w.{c}").alias(c) for c in rest], out)
+def source_by_key(rows: DataFrame, key: str, first: list[str], latest: list[str],
+                  ts: str = "fetched_at", out: str = "first_fetched_at") -> DataFrame:
+    """G1 followed by W1 in one aggregation, for a source with repeated keys.
+
+    Per key: the ``first`` columns come from the earliest fetch (the values
+    the row got when it was first inserted), the ``latest`` columns from the
+    latest fetch (NULL fetch times count as latest), and ``out`` is the
+    earliest fetch time. Merging the result equals merging the fetches one by
+    one in fetch order, so a batch merge and a stream of micro-batches agree.
+    Ties are broken by the row's other values, so the result is deterministic.
+    """
+    isnull = F.col(ts).isNull()
+    lw = F.max(F.struct(isnull.alias("__n"), F.col(ts).alias("__t"), *[F.col(c) for c in latest]))
+    ew = F.min(F.struct(isnull.alias("__n"), F.col(ts).alias("__t"), *[F.col(c) for c in first]))
+    agg = rows.groupBy(key).agg(lw.alias("__l"), ew.alias("__e"), F.min(ts).alias(out))
+    return agg.select(key, *[F.col(f"__e.{c}").alias(c) for c in first],
+                      *[F.col(f"__l.{c}").alias(c) for c in latest], out)
 
 
 def T(c: str) -> Column:
@@ -141,14 +150,15 @@ def merge_by_url(target: DataFrame, stream_rows: DataFrame, as_of: Column,
                  null_keys: str = "reject") -> DataFrame:
     """M1: upsert of article-view rows into ``core.posts_by_url`` by URL.
 
-    Source: G1 then the latest fetch per URL. Update only when title or body
-    differ (NULL on either side does not update): title, body, body_length and
-    last_updated_at; id, published_at and first_fetched_at are kept. Insert
-    otherwise, with last_updated_at = ``as_of``.
+    Source: G1, then one row per URL (``source_by_key``): id and published_at
+    of the first fetch, title and body of the latest, earliest fetch time.
+    Update only when title or body differ (NULL on either side does not
+    update): title, body, body_length and last_updated_at; id, published_at
+    and first_fetched_at are kept. Insert otherwise, with last_updated_at =
+    ``as_of``.
     """
-    src = latest_with_first_seen(
-        stream_rows.select("url", "article_id", "title", "published_at", "body", "body_length", "fetched_at"),
-        "url")
+    src = source_by_key(stream_rows, "url", first=["article_id", "published_at"],
+                        latest=["title", "body", "body_length"])
     changed = (T("title") != S("title")) | (T("body") != S("body"))
     update = {"title": S("title"), "body": S("body"), "body_length": S("body_length"),
               "last_updated_at": as_of}

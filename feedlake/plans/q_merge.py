@@ -13,13 +13,15 @@ from feedlake.plans.q_articles import API, API_TYPED, XML_ITEMS
 from feedlake.plans.registry import register
 from feedlake.sources import testdata as D
 
-CUTOFF = F.timestamp_add("HOUR", F.lit(-D.TARGET_AGE_HOURS), D.ts_ntz(D.AS_OF))
+def cutoff():
+    """End of what the previous merge saw: rows fetched later are the stream's new offsets."""
+    return F.timestamp_add("HOUR", F.lit(-D.TARGET_AGE_HOURS), D.ts_ntz(D.AS_OF))
 
 
 def stream_rows(spark, sf_dir):
     """Article-view rows appended since the previous merge (the stream's new offsets)."""
     v = A.article_view(D.raw_json_feeds(spark, sf_dir))
-    return v.where(F.col("fetched_at") > CUTOFF)
+    return v.where(F.col("fetched_at") > cutoff())
 
 
 def merged_by_url(spark, sf_dir):
@@ -35,11 +37,16 @@ TARGET_BY_URL = f"""tgt AS (
   QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, id DESC) = 1)"""
 
 SOURCE_BY_URL = f"""src AS (
-  SELECT url, article_id, title, published_at, body, CAST(body_length AS BIGINT) AS body_length,
-         min(fetched_at) OVER (PARTITION BY url) AS first_fetched_at
-  FROM article_view WHERE fetched_at > {TARGET_CUTOFF} AND url IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC NULLS FIRST, article_id DESC NULLS LAST,
-          title DESC NULLS LAST, published_at DESC NULLS LAST, body DESC NULLS LAST, body_length DESC NULLS LAST) = 1)"""
+  SELECT l.url, e.article_id, l.title, e.published_at, l.body, l.body_length, l.first_fetched_at
+  FROM (SELECT url, title, body, CAST(body_length AS BIGINT) AS body_length,
+               min(fetched_at) OVER (PARTITION BY url) AS first_fetched_at
+        FROM article_view WHERE fetched_at > {TARGET_CUTOFF} AND url IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC NULLS FIRST, title DESC NULLS LAST,
+                body DESC NULLS LAST, body_length DESC NULLS LAST) = 1) l
+  JOIN (SELECT url, article_id, published_at
+        FROM article_view WHERE fetched_at > {TARGET_CUTOFF} AND url IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at ASC NULLS LAST, article_id ASC NULLS FIRST,
+                published_at ASC NULLS FIRST) = 1) e ON e.url = l.url)"""
 
 MERGED_BY_URL = f"""merged AS (
   SELECT t.id, s.title, t.url, t.published_at, s.body, s.body_length, t.first_fetched_at,

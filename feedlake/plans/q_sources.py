@@ -20,7 +20,8 @@ from feedlake.session import scratch_dir
 from feedlake.sources import feeds as FD
 from feedlake.sources import testdata as D
 
-FEED_KEY = F.regexp_extract(F.col("file_path"), r"feed=([^/]+)", 1)
+def feed_key():
+    return F.regexp_extract(F.col("file_path"), r"feed=([^/]+)", 1)
 
 
 def _scratch(spark, name):
@@ -118,7 +119,7 @@ SELECT id AS feed, CAST(json_array_length(raw_data) AS BIGINT) AS article_count
 def raw_json_rows(spark, sf_dir):
     """Landed JSON feeds loaded one row per file, arrays kept whole."""
     rows, _rejects = FD.load_json_feeds(spark, _landed_json(spark, sf_dir))
-    return rows.select(FEED_KEY.alias("feed"), A.array_size(rows).alias("article_count"))
+    return rows.select(feed_key().alias("feed"), A.array_size(rows).alias("article_count"))
 
 
 @register("json_elements", with_(ENTRIES) + """
@@ -157,7 +158,7 @@ def raw_xml_rows(spark, sf_dir):
     """Landed XML feeds loaded one row per file, validated in FAILFAST mode."""
     rows = FD.load_xml_feeds(spark, _landed_xml(spark, sf_dir))
     doc = F.regexp_replace("xml", "\n$", "")   # the text writer ends each landed file with a newline
-    return rows.select(FEED_KEY.alias("feed"), "n_items", F.length(doc).alias("xml_length"))
+    return rows.select(feed_key().alias("feed"), "n_items", F.length(doc).alias("xml_length"))
 
 
 @register("feed_entries", f"""

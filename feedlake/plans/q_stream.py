@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from feedlake.plans.oracle import ARTICLE_VIEW, ENTRIES, RAW_FEEDS, TARGET_CUTOFF, with_
-from feedlake.plans.q_merge import CUTOFF, MERGE_BY_URL_SQL, stream_rows
+from feedlake.plans.q_merge import MERGE_BY_URL_SQL, cutoff, stream_rows
 from feedlake.plans.registry import register
 from feedlake.session import scratch_dir
 from feedlake.sources import tables
@@ -19,7 +19,7 @@ def _run_stream(spark, sf_dir):
     base = scratch_dir(spark, f"stream-{uuid.uuid4().hex}")
     raw_path, target_path, ckpt = f"{base}/raw", f"{base}/target", f"{base}/_checkpoint"
     # the raw rows fetched since the previous merge are the new files of the stream
-    raw = D.raw_json_feeds(spark, sf_dir).where(F.col("fetched_at") > CUTOFF)
+    raw = D.raw_json_feeds(spark, sf_dir).where(F.col("fetched_at") > cutoff())
     raw.write.mode("overwrite").parquet(raw_path)
     tables.write_version(D.posts_by_url(spark, sf_dir), target_path, version=0)
     q = MS.start_merge_stream(spark, raw_path, target_path, ckpt, as_of=D.ts_ntz(D.AS_OF))

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from feedlake.operators.articles import RSS_SCHEMA
 
-FILE = F.col("_metadata.file_path")
+def _file_path():
+    return F.col("_metadata.file_path")
 
 
 # ------------------------------------------------------------ S8 landing
@@ -48,7 +49,7 @@ def load_json_feeds(spark: SparkSession, path: str, source_url: Column | str | N
     Files that do not parse go to the rejects frame instead of failing the
     load (the reference's ON_ERROR='CONTINUE'). Returns ``(rows, rejects)``.
     """
-    files = spark.read.text(path, wholetext=True).select("value", FILE.alias("file_path"))
+    files = spark.read.text(path, wholetext=True).select("value", _file_path().alias("file_path"))
     parsed = files.select("file_path", F.try_parse_json("value").alias("raw_data"), "value")
     src = F.lit(source_url) if isinstance(source_url, str) else (source_url if source_url is not None
                                                                 else F.col("file_path"))
@@ -67,7 +68,7 @@ def load_xml_feeds(spark: SparkSession, path: str, fetched_at: Column | None = N
     With ``validate`` each document is parsed in FAILFAST mode, so a malformed
     file fails the whole load (the reference's COPY aborts on error).
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("xml"), FILE.alias("file_path"))
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("xml"), _file_path().alias("file_path"))
     fetched = fetched_at if fetched_at is not None else F.current_timestamp().cast("timestamp_ntz")
     rows = files.select("xml", fetched.alias("fetched_at"), "file_path")
     if validate:
