@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.text import contains_ci
 from feedlake.functions.vectors import cosine
-from feedlake.session import ensure_checkpoint_dir
+from feedlake.session import materialize
 
 # Field weights of the scored text search, and the API limits.
 TITLE_WEIGHT = 1.0
@@ -24,6 +24,8 @@ MIN_LIMIT = 1
 MAX_LIMIT = 20
 DEFAULT_LIMIT = 5
 ANCHORS = 3   # rarest n-grams per request used to narrow candidates before the exact test
+TOKEN_SPLIT = r"[^\p{L}\p{N}]+"       # tokens: maximal runs of letters and digits
+TOKEN_ONLY = r"^[\p{L}\p{N}]+$"       # a query that can only occur inside one token
 
 
 def text_score(query: Column | str, title: str = "title", summary: str = "summary",
@@ -150,14 +152,51 @@ def _ranked_pool(posts: DataFrame, order: list[Column]) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def _request_grams(rq: DataFrame, gram: int) -> DataFrame:
+    """(student_id, n, tri): the distinct n-grams of each request's literal pieces, n = its ``g``."""
+    parts = None
+    for n in range(1, gram + 1):
+        rg = rq.where(F.col("g") == n).select(
+            "student_id", F.lit(n).alias("n"),
+            F.explode(F.array_distinct(F.flatten(F.transform(
+                F.filter(F.col("segs"), lambda s: F.length(s) >= n),
+                lambda s: ngrams(s, n))))).alias("tri"))
+        parts = rg if parts is None else parts.unionByName(rg)
+    return parts
+
+
+def _anchor_candidates(req_grams: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """(student_id, key) pairs whose ``index`` entry holds the request's ANCHORS rarest grams.
+
+    The first step is an equi-join on the rarest gram; the next ones are
+    semi-joins on (key, gram), a key without hot values. A request's gram set
+    is bounded by its query length, so ranking it is a small window.
+    """
+    df_gram = index.groupBy("n", "tri").agg(F.count("*").alias("df"))   # partial aggregation first
+    ranked = (req_grams.join(df_gram, ["n", "tri"], "left")
+              .withColumn("df", F.coalesce("df", F.lit(0)))
+              .withColumn("r", F.row_number().over(Window.partitionBy("student_id").orderBy("df", "n", "tri")))
+              .where(F.col("r") <= ANCHORS))
+    cand = (ranked.where(F.col("r") == 1).select("student_id", "n", "tri")
+            .join(index, ["n", "tri"]).select("student_id", key))
+    for r in range(2, ANCHORS + 1):
+        ar = ranked.where(F.col("r") == r).select("student_id", "n", "tri")
+        c = cand.join(ar, "student_id", "left")
+        cand = (c.where(F.col("tri").isNull()).select("student_id", key)
+                .unionByName(c.join(index, [key, "n", "tri"], "left_semi").select("student_id", key)))
+    return cand
+
+
 def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0,
                     gram: int = 3, wildcards: bool = True, as_of: Column | None = None) -> DataFrame:
     """R6 over a table of requests ``(student_id, query, limit)``.
 
-    * Requests with a query get R2 scores. Candidates come from an equi-join on
-      character n-grams: each request joins only the posts that contain its
-      rarest literal n-gram (a necessary condition for LIKE), then the real
-      LIKE decides. No requests × posts product is formed.
+    * Requests with a query get R2 scores. Candidates come from equi-joins on
+      character n-grams (a necessary condition for LIKE), then the real LIKE
+      decides. A query of letters and digits only is looked up in an n-gram
+      index of the posts' token vocabulary (token -> posts); other queries use
+      an n-gram index of the whole text. Each request joins through its rarest
+      n-grams only. No requests × posts product is formed.
     * Requests whose query has no literal character (only wildcards) match every
       post: their answer is the global top-20 under the R2 order, joined by rank.
     * Requests without a query get the stable random order (R5) the same way.
@@ -172,59 +211,55 @@ def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0,
         "id", "title", "summary", "body_markdown", "url", "published_at")
     order = [F.desc("score"), F.desc_nulls_first("published_at"), F.asc("article_id")]
 
-    # --- text requests with at least one literal n-gram
+    # --- text requests: candidates (student_id, id) from n-gram indexes, then the exact test
     rq = valid.where(F.col("query").isNotNull()).select(
-        "student_id", "query", "limit",
-        F.lower(F.col("query")).alias("q"))
+        "student_id", "query", "limit", F.lower(F.col("query")).alias("q"))
     segs = _literal_segments(F.col("q")) if wildcards else F.array(F.col("q"))
     rq = rq.withColumn("segs", segs)
     longest = F.aggregate(F.col("segs"), F.lit(0), lambda acc, s: F.greatest(acc, F.length(s)))
     rq = rq.withColumn("g", F.least(F.lit(gram), longest))
-    has_gram = rq.where(F.col("g") > 0)
     no_literal = rq.where(F.col("g") == 0)
-
-    parts = []
+    single_token = F.col("q").rlike(TOKEN_ONLY)
+    tok_rq = rq.where((F.col("g") > 0) & single_token)
+    gen_rq = rq.where((F.col("g") > 0) & ~single_token)
     text_all = F.lower(F.concat_ws("\n", "title", "summary", "body_markdown"))
-    post_grams_by_n = {}
-    sizes = sorted(r["g"] for r in has_gram.select("g").distinct().collect())  # at most `gram` values
-    for n in sizes or [gram]:
-        rg = has_gram.where(F.col("g") == n).select(
-            "student_id", F.lit(n).alias("n"),
-            F.explode(F.array_distinct(F.flatten(F.transform(
-                F.filter(F.col("segs"), lambda s: F.length(s) >= n),
-                lambda s: ngrams(s, n))))).alias("tri"))
-        parts.append(rg)
-        post_grams_by_n[n] = p.select(F.col("id"), F.lit(n).alias("n"),
-                                      F.explode(ngrams(text_all, n)).alias("tri"))
-    req_grams = parts[0]
-    for rg in parts[1:]:
-        req_grams = req_grams.unionByName(rg)
-    needed = req_grams.select("n", "tri").distinct()
-    post_grams = None
-    for n, pg in post_grams_by_n.items():
-        pg = pg.join(needed.where(F.col("n") == n), ["n", "tri"], "left_semi")
-        post_grams = pg if post_grams is None else post_grams.unionByName(pg)
-    # the n-gram scan is the expensive step and feeds two consumers (frequencies
-    # and candidates): write it once to the checkpoint folder and cut the lineage
-    ensure_checkpoint_dir(posts.sparkSession)
-    post_grams = post_grams.checkpoint(eager=True)
-    # document frequency of each needed gram: partial aggregation before the shuffle
-    df_gram = post_grams.groupBy("n", "tri").agg(F.count("*").alias("df"))
-    # each request's ANCHORS rarest grams (a request's gram set is bounded by its query length)
-    ranked = (req_grams.join(df_gram, ["n", "tri"], "left")
-              .withColumn("df", F.coalesce("df", F.lit(0)))
-              .withColumn("r", F.row_number().over(
-                  Window.partitionBy("student_id").orderBy("df", "n", "tri")))
-              .where(F.col("r") <= ANCHORS))
-    # candidates: posts holding the rarest gram, narrowed by the next ones; every
-    # join after the first is on (post, gram), a key without hot values
-    cand = (ranked.where(F.col("r") == 1).select("student_id", "n", "tri")
-            .join(post_grams, ["n", "tri"]).select("student_id", "id"))
-    for r in range(2, ANCHORS + 1):
-        ar = ranked.where(F.col("r") == r).select("student_id", "n", "tri")
-        c = cand.join(ar, "student_id", "left")
-        cand = (c.where(F.col("tri").isNull()).select("student_id", "id")
-                .unionByName(c.join(post_grams, ["id", "n", "tri"], "left_semi").select("student_id", "id")))
+
+    # (a) a query of letters and digits only occurs inside one token of the text:
+    #     find the vocabulary tokens that contain it through an n-gram index of the
+    #     (small) vocabulary, then the posts holding those tokens
+    post_tokens = (p.select("id", F.explode(F.array_distinct(F.split(text_all, TOKEN_SPLIT))).alias("tok"))
+                   .where(F.length("tok") > 0))
+    post_tokens = materialize(post_tokens, "post-tokens")
+    vocab = post_tokens.select("tok").distinct()
+    tok_grams = _request_grams(tok_rq, gram)
+    needed = tok_grams.select("n", "tri").distinct()
+    vocab_grams = None
+    for n in range(1, gram + 1):
+        vg = vocab.select("tok", F.lit(n).alias("n"), F.explode(ngrams(F.col("tok"), n)).alias("tri"))
+        vg = vg.join(needed.where(F.col("n") == n), ["n", "tri"], "left_semi")
+        vocab_grams = vg if vocab_grams is None else vocab_grams.unionByName(vg)
+    vocab_grams = materialize(vocab_grams, "vocab-grams")
+    tok_hits = (_anchor_candidates(tok_grams, vocab_grams, "tok")
+                .join(tok_rq.select("student_id", "q"), "student_id")
+                .where(F.contains(F.col("tok"), F.col("q"))).select("student_id", "tok"))
+    cand = tok_hits.join(post_tokens, "tok").select("student_id", "id").distinct()
+
+    # (b) other queries (blanks, punctuation, wildcards): n-grams of the whole text,
+    #     scanned only when such requests exist
+    sizes = sorted(r["g"] for r in gen_rq.select("g").distinct().collect())  # at most `gram` values
+    if sizes:
+        gen_grams = _request_grams(gen_rq, gram)
+        needed = gen_grams.select("n", "tri").distinct()
+        post_grams = None
+        for n in sizes:
+            pg = p.select("id", F.lit(n).alias("n"), F.explode(ngrams(text_all, n)).alias("tri"))
+            pg = pg.join(needed.where(F.col("n") == n), ["n", "tri"], "left_semi")
+            post_grams = pg if post_grams is None else post_grams.unionByName(pg)
+        # the scan feeds two consumers (frequencies and candidates): write it once
+        post_grams = materialize(post_grams, "post-grams")
+        cand = cand.unionByName(_anchor_candidates(gen_grams, post_grams, "id"))
+    has_gram = tok_rq.unionByName(gen_rq)
+
     # verification: the posts' text is lower-cased once, before the pair join
     lp = p.select("id", "title", "summary", "url", "published_at",
                   F.lower("title").alias("l_title"), F.lower("summary").alias("l_summary"),

@@ -41,7 +41,7 @@ SELECT k AS doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, md5(chunk_text)
        CAST(length(chunk_text) AS BIGINT) AS chunk_length FROM chunks""")
 def chunks_window(spark, sf_dir):
     """SPLIT_TEXT_TO_CHUNKS(text, 1000, 200) over every document."""
-    d = D.documents(spark, sf_dir).select("doc_id", "text")
+    d = D.documents(spark, sf_dir, spread=True).select("doc_id", "text")
     c = C.window_chunks(d, "text")
     return c.select("doc_id", "chunk_index", F.md5("chunk_text").alias("chunk_md5"),
                     F.length("chunk_text").alias("chunk_length"))
@@ -52,7 +52,7 @@ SELECT k AS doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(next_pos -
        CAST(next_pos AS BIGINT) AS next_pos, CAST(text_length AS BIGINT) AS text_length FROM chunks""")
 def chunk_sequence(spark, sf_dir):
     """The positions the recursive generator visits, closed form."""
-    d = D.documents(spark, sf_dir).select("doc_id", "text")
+    d = D.documents(spark, sf_dir, spread=True).select("doc_id", "text")
     return C.chunk_steps(d, "text").drop("text")
 
 

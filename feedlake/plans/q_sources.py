@@ -71,7 +71,7 @@ SELECT page_id, md5({sql_html_to_text('html')}) AS text_md5,
        CAST(length({sql_html_to_text('html')}) AS BIGINT) AS text_length FROM pages""")
 def html_text(spark, sf_dir):
     """HTML pages to text, links kept, images dropped."""
-    p = D.table(spark, sf_dir, "pages")
+    p = D.table(spark, sf_dir, "pages", spread=True)
     t = FD.html_to_text(F.col("html"))
     return p.select("page_id", F.md5(t).alias("text_md5"), F.length(t).alias("text_length"))
 
@@ -81,7 +81,7 @@ SELECT page_id, url, md5({sql_extract_article('html', PAGE_CONTAINERS)}) AS text
        CAST(length({sql_extract_article('html', PAGE_CONTAINERS)}) AS BIGINT) AS text_length FROM pages""")
 def article_extract(spark, sf_dir):
     """Article text of each page (first matching content container, else '')."""
-    p = D.table(spark, sf_dir, "pages")
+    p = D.table(spark, sf_dir, "pages", spread=True)
     t = FD.extract_article(F.col("html"), PAGE_CONTAINERS)
     return p.select("page_id", "url", F.md5(t).alias("text_md5"), F.length(t).alias("text_length"))
 
@@ -98,7 +98,7 @@ FROM dec""")
 def longer_body(spark, sf_dir):
     """M4: short articles take the page's extracted text when it is longer (one join)."""
     d = D.documents(spark, sf_dir)
-    pages = D.table(spark, sf_dir, "pages")
+    pages = D.table(spark, sf_dir, "pages", spread=True)
     posts = d.join(pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id").select(
         F.col("doc_id").cast("string").alias("id"), "url", F.col("text").alias("body"),
         D.published_at(F.col("doc_id")).alias("published_at"))

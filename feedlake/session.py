@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -57,3 +57,46 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, name) if "://" not in base else f"{base.rstrip('/')}/{name}"
     return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a parquet table under the checkpoint folder and read it back.
+
+    This cuts the lineage like ``checkpoint()`` but computes the plan once (an
+    eager reliable checkpoint computes it twice) and stores columnar data on
+    the shared folder, so it survives the loss of any executor.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = scratch_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+SMALL_INPUT_BYTES = 256 << 20
+_sizes: dict[str, int] = {}
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under ``path`` (Hadoop file system, any scheme)."""
+    if path not in _sizes:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        _sizes[path] = int(fs.getContentSummary(p).getLength())
+    return _sizes[path]
+
+
+def spread_small(df: DataFrame, path: str) -> DataFrame:
+    """Spread a small input over all cores.
+
+    A small table stored as one row group is read by a single task, which then
+    does all the per-row text work alone. Below SMALL_INPUT_BYTES a
+    round-robin repartition is a cheap shuffle that spreads the work; larger
+    inputs span many row groups and files, so the scan already splits them and
+    nothing is added.
+    """
+    spark = df.sparkSession
+    if input_bytes(spark, path) <= SMALL_INPUT_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df

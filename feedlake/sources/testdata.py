@@ -25,8 +25,14 @@ def ts_ntz(text: str) -> Column:
     return F.expr(f"TIMESTAMP_NTZ '{text}'")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table. ``spread=True`` for inputs whose next step is per-row text
+    work (no shuffle of its own): a small single-row-group file is then spread
+    over all cores (see ``feedlake.session.spread_small``)."""
+    from feedlake.session import spread_small
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread_small(df, path) if spread else df
 
 
 def fetched_at(doc_id: Column) -> Column:
@@ -46,8 +52,8 @@ def revised_old(text: Column) -> Column:
     return F.regexp_replace(text, "the", "teh")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+def documents(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    return table(spark, sf_dir, "documents", spread)
 
 
 def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +172,7 @@ def raw_xml_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str, with_emb: bool = True) -> DataFrame:
     """The 11-column curated posts table (``core.posts``), one row per document."""
-    d = documents(spark, sf_dir)
+    d = documents(spark, sf_dir, spread=True)
     p = d.select(
         F.col("doc_id"),
         F.col("doc_id").cast("string").alias("id"),
