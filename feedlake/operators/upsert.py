@@ -11,7 +11,8 @@ choice of the update, keep or insert value of each column, tagged with an
   task ever holds the whole group.
 * After the dedup the join is one-to-one on the key, so there is no join
   skew; rows with a NULL key never match and would all hash to one
-  partition, so they are split off before the join and handled apart.
+  partition, so they join on a per-row hash that cannot match instead, and
+  the target is still read once.
 """
 
 from __future__ import annotations
@@ -109,13 +110,19 @@ def upsert(target: DataFrame, source: DataFrame, key: str,
     skey = source_key or key
     t = target.select(*[F.col(c).alias(f"__t_{c}") for c in target.columns]).withColumn("__in_t", F.lit(True))
     s = source.select(*[F.col(c).alias(f"__s_{c}") for c in source.columns]).withColumn("__in_s", F.lit(True))
-    t_ok, t_null = t.where(T(key).isNotNull()), t.where(T(key).isNull())
-    s_ok, s_null = s.where(S(skey).isNotNull()), s.where(S(skey).isNull())
-
-    joined = t_ok.join(s_ok, T(key) == S(skey), "full_outer")
-    joined = joined.unionByName(t_null, allowMissingColumns=True)
-    if null_keys == "insert":
-        joined = joined.unionByName(s_null, allowMissingColumns=True)
+    if null_keys != "insert":
+        s = s.where(S(skey).isNotNull())
+    # One join, one pass over the target. A NULL key never matches, but all NULL
+    # keys would hash to one reducer; they join on a per-row hash instead, tagged
+    # by side so that it cannot match anything (deterministic, so task retries
+    # place every row the same way).
+    t_key = F.coalesce(T(key).cast("string"),
+                       F.concat(F.lit("\u0000t"), F.xxhash64(*[T(c) for c in target.columns if _orderable(target, c)]).cast("string")))
+    s_key = F.coalesce(S(skey).cast("string"),
+                       F.concat(F.lit("\u0000s"), F.xxhash64(*[S(c) for c in source.columns if _orderable(source, c)]).cast("string")))
+    t = t.withColumn("__k", t_key)
+    s = s.withColumn("__k", s_key)
+    joined = t.join(s, "__k", "full_outer")
 
     in_t = F.coalesce(F.col("__in_t"), F.lit(False))
     in_s = F.coalesce(F.col("__in_s"), F.lit(False))

@@ -86,3 +86,14 @@ def test_filters_and_projections(spark):
     assert A.complete(df).count() == 1
     r = df.select(A.summary_trunc(F.lit("x" * 300)).alias("s"), A.embed_input(F.lit("T"), F.lit(None).cast("string")).alias("e")).first()
     assert r["s"] == "x" * 200 + "..." and r["e"] == "T "
+
+
+def test_lookback_reaches_the_raw_scan(spark, tmp_path):
+    doc = '{"data": {"contents": [{"key": "k", "name": "T", "body": "B", "type": "TextNote"}]}}'
+    raw = spark.createDataFrame([(doc, T0), (doc, T0 - dt.timedelta(hours=30))], "s string, fetched_at timestamp_ntz")
+    path = str(tmp_path / "raw")
+    raw.select(F.parse_json("s").alias("xml"), "fetched_at").write.parquet(path)
+    out = A.parse_api(spark.read.parquet(path), as_of=F.lit(T0).cast("timestamp_ntz"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(fetched_at), GreaterThanOrEqual(fetched_at" in plan
+    assert out.count() == 1

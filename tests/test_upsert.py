@@ -125,3 +125,12 @@ def test_longer_body(spark):
     got = {r["id"]: (r["body"], r["body_length"], r["replaced"]) for r in U.longer_body(posts, fetched).collect()}
     assert got["1"] == ("much longer text", 16, True)
     assert got["2"][2] is False and got["3"] == ("tiny", 4, False)
+
+
+def test_merge_reads_target_once(spark, tmp_path):
+    path = str(tmp_path / "target")
+    _target(spark).write.parquet(path)
+    m = U.merge_by_url(spark.read.parquet(path), _rows(spark), F.lit(NOW).cast("timestamp_ntz"))
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1        # the source here is an in-memory frame
+    assert m.count() == 6
