@@ -211,53 +211,57 @@ def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0,
         "id", "title", "summary", "body_markdown", "url", "published_at")
     order = [F.desc("score"), F.desc_nulls_first("published_at"), F.asc("article_id")]
 
-    # --- text requests: candidates (student_id, id) from n-gram indexes, then the exact test
-    rq = valid.where(F.col("query").isNotNull()).select(
-        "student_id", "query", "limit", F.lower(F.col("query")).alias("q"))
+    # --- classify the requests once; a bounded collect (at most 2 + 2*gram rows)
+    #     says which branches this batch needs, so no other branch is built
+    rq = valid.select("student_id", "query", "limit", F.lower(F.col("query")).alias("q"))
     segs = _literal_segments(F.col("q")) if wildcards else F.array(F.col("q"))
-    rq = rq.withColumn("segs", segs)
+    rq = rq.withColumn("segs", F.coalesce(segs, F.array().cast("array<string>")))
     longest = F.aggregate(F.col("segs"), F.lit(0), lambda acc, s: F.greatest(acc, F.length(s)))
     rq = rq.withColumn("g", F.least(F.lit(gram), longest))
-    no_literal = rq.where(F.col("g") == 0)
-    single_token = F.col("q").rlike(TOKEN_ONLY)
-    tok_rq = rq.where((F.col("g") > 0) & single_token)
-    gen_rq = rq.where((F.col("g") > 0) & ~single_token)
+    kind = (F.when(F.col("q").isNull(), F.lit("none")).when(F.col("g") == 0, F.lit("all"))
+            .when(F.col("q").rlike(TOKEN_ONLY), F.lit("tok")).otherwise(F.lit("gen")))
+    rq = rq.withColumn("kind", kind)
+    present = {(r["kind"], r["g"]) for r in rq.select("kind", "g").distinct().collect()}
+    tok_sizes = sorted(g for k, g in present if k == "tok")
+    gen_sizes = sorted(g for k, g in present if k == "gen")
+    tok_rq = rq.where(F.col("kind") == "tok")
+    gen_rq = rq.where(F.col("kind") == "gen")
     text_all = F.lower(F.concat_ws("\n", "title", "summary", "body_markdown"))
+    cands = []
 
     # (a) a query of letters and digits only occurs inside one token of the text:
     #     find the vocabulary tokens that contain it through an n-gram index of the
     #     (small) vocabulary, then the posts holding those tokens
-    post_tokens = (p.select("id", F.explode(F.array_distinct(F.split(text_all, TOKEN_SPLIT))).alias("tok"))
-                   .where(F.length("tok") > 0))
-    post_tokens = materialize(post_tokens, "post-tokens")
-    vocab = post_tokens.select("tok").distinct()
-    tok_grams = _request_grams(tok_rq, gram)
-    needed = tok_grams.select("n", "tri").distinct()
-    vocab_grams = None
-    for n in range(1, gram + 1):
-        vg = vocab.select("tok", F.lit(n).alias("n"), F.explode(ngrams(F.col("tok"), n)).alias("tri"))
-        vg = vg.join(needed.where(F.col("n") == n), ["n", "tri"], "left_semi")
-        vocab_grams = vg if vocab_grams is None else vocab_grams.unionByName(vg)
-    vocab_grams = materialize(vocab_grams, "vocab-grams")
-    tok_hits = (_anchor_candidates(tok_grams, vocab_grams, "tok")
-                .join(tok_rq.select("student_id", "q"), "student_id")
-                .where(F.contains(F.col("tok"), F.col("q"))).select("student_id", "tok"))
-    cand = tok_hits.join(post_tokens, "tok").select("student_id", "id").distinct()
-
-    # (b) other queries (blanks, punctuation, wildcards): n-grams of the whole text,
-    #     scanned only when such requests exist
-    sizes = sorted(r["g"] for r in gen_rq.select("g").distinct().collect())  # at most `gram` values
-    if sizes:
+    if tok_sizes:
+        post_tokens = (p.select("id", F.explode(F.array_distinct(F.split(text_all, TOKEN_SPLIT))).alias("tok"))
+                       .where(F.length("tok") > 0))
+        post_tokens = materialize(post_tokens, "post-tokens")
+        vocab = post_tokens.select("tok").distinct()
+        tok_grams = _request_grams(tok_rq, gram)
+        needed = tok_grams.select("n", "tri").distinct()
+        vocab_grams = None
+        for n in tok_sizes:
+            vg = vocab.select("tok", F.lit(n).alias("n"), F.explode(ngrams(F.col("tok"), n)).alias("tri"))
+            vg = vg.join(needed.where(F.col("n") == n), ["n", "tri"], "left_semi")
+            vocab_grams = vg if vocab_grams is None else vocab_grams.unionByName(vg)
+        vocab_grams = materialize(vocab_grams, "vocab-grams")
+        tok_hits = (_anchor_candidates(tok_grams, vocab_grams, "tok")
+                    .join(tok_rq.select("student_id", "q"), "student_id")
+                    .where(F.contains(F.col("tok"), F.col("q"))).select("student_id", "tok"))
+        cands.append(tok_hits.join(post_tokens, "tok").select("student_id", "id").distinct())
+
+    # (b) other queries (blanks, punctuation, wildcards): n-grams of the whole text
+    if gen_sizes:
         gen_grams = _request_grams(gen_rq, gram)
         needed = gen_grams.select("n", "tri").distinct()
         post_grams = None
-        for n in sizes:
+        for n in gen_sizes:
             pg = p.select("id", F.lit(n).alias("n"), F.explode(ngrams(text_all, n)).alias("tri"))
             pg = pg.join(needed.where(F.col("n") == n), ["n", "tri"], "left_semi")
             post_grams = pg if post_grams is None else post_grams.unionByName(pg)
         # the scan feeds two consumers (frequencies and candidates): write it once
         post_grams = materialize(post_grams, "post-grams")
-        cand = cand.unionByName(_anchor_candidates(gen_grams, post_grams, "id"))
+        cands.append(_anchor_candidates(gen_grams, post_grams, "id"))
     has_gram = tok_rq.unionByName(gen_rq)
 
     # verification: the posts' text is lower-cased once, before the pair join
@@ -273,39 +277,50 @@ def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0,
 
     score = (F.when(hit("l_title"), F.lit(TITLE_WEIGHT)).when(hit("l_summary"), F.lit(SUMMARY_WEIGHT))
              .when(hit("l_body"), F.lit(BODY_WEIGHT)).otherwise(F.lit(0.0)))
-    matched = (cand.join(has_gram.select("student_id", "query", "limit"), "student_id")
-               .join(lp, "id")
-               .select("student_id", "limit", F.col("id").alias("article_id"), score.alias("score"),
-                       "title", "summary", "url", "published_at")
-               .where(F.col("score") > 0))
-    w = Window.partitionBy("student_id").orderBy(*order)
-    text_hits = (matched.withColumn("rank", F.row_number().over(w))
-                 .where(F.col("rank") <= F.col("limit"))
-                 .where(F.col("rank") <= MAX_LIMIT))
+    cols = ["student_id", "rank", "article_id", "score", "title", "summary", "url"]
+    parts = []
+    if cands:
+        cand = cands[0] if len(cands) == 1 else cands[0].unionByName(cands[1])
+        matched = (cand.join(has_gram.select("student_id", "query", "limit"), "student_id")
+                   .join(lp, "id")
+                   .select("student_id", "limit", F.col("id").alias("article_id"), score.alias("score"),
+                           "title", "summary", "url", "published_at")
+                   .where(F.col("score") > 0))
+        w = Window.partitionBy("student_id").orderBy(*order)
+        parts.append(matched.withColumn("rank", F.row_number().over(w))
+                     .where(F.col("rank") <= F.col("limit"))
+                     .where(F.col("rank") <= MAX_LIMIT).select(*cols))
 
     # --- requests matching every post (query of wildcards only): global pool by rank
-    everything = p.select(F.col("id").alias("article_id"),
-                          F.lit(TITLE_WEIGHT).alias("score"), "title", "summary", "url", "published_at")
-    everything = everything.where(F.col("title").isNotNull()).unionByName(
-        p.where(F.col("title").isNull()).select(
-            F.col("id").alias("article_id"), F.lit(SUMMARY_WEIGHT).alias("score"),
-            "title", "summary", "url", "published_at"))
-    pool_all = _ranked_pool(everything, order)
-    all_hits = (no_literal.select("student_id", "limit",
-                                  F.explode(F.sequence(F.lit(1), F.col("limit"))).alias("rank"))
-                .join(pool_all, "rank"))
+    if ("all", 0) in present:
+        everything = p.select(F.col("id").alias("article_id"),
+                              F.when(F.col("title").isNotNull(), F.lit(TITLE_WEIGHT))
+                              .otherwise(F.lit(SUMMARY_WEIGHT)).alias("score"),
+                              "title", "summary", "url", "published_at")
+        pool_all = _ranked_pool(everything, order)
+        parts.append(rq.where(F.col("kind") == "all")
+                     .select("student_id", "limit", F.explode(F.sequence(F.lit(1), F.col("limit"))).alias("rank"))
+                     .join(pool_all, "rank").select(*cols))
 
     # --- requests without a query: stable random order, same rank join
-    rnd = p.select(F.col("id").alias("article_id"), F.lit(1.0).alias("score"),
-                   "title", "summary", "url", "published_at",
-                   random_order(F.col("id"), seed).alias("r"))
-    pool_rnd = _ranked_pool(rnd, [F.asc("r"), F.asc("article_id")]).drop("r")
-    rnd_hits = (valid.where(F.col("query").isNull())
-                .select("student_id", "limit", F.explode(F.sequence(F.lit(1), F.col("limit"))).alias("rank"))
-                .join(pool_rnd, "rank"))
-
-    cols = ["student_id", "rank", "article_id", "score", "title", "summary", "url"]
-    hits = text_hits.select(*cols).unionByName(all_hits.select(*cols)).unionByName(rnd_hits.select(*cols))
+    if ("none", 0) in present:
+        rnd = p.select(F.col("id").alias("article_id"), F.lit(1.0).alias("score"),
+                       "title", "summary", "url", "published_at",
+                       random_order(F.col("id"), seed).alias("r"))
+        pool_rnd = _ranked_pool(rnd, [F.asc("r"), F.asc("article_id")]).drop("r")
+        parts.append(rq.where(F.col("kind") == "none")
+                     .select("student_id", "limit", F.explode(F.sequence(F.lit(1), F.col("limit"))).alias("rank"))
+                     .join(pool_rnd, "rank").select(*cols))
+
+    if parts:
+        hits = parts[0]
+        for h in parts[1:]:
+            hits = hits.unionByName(h)
+    else:
+        hits = valid.limit(0).select(
+            "student_id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("article_id"),
+            F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("title"),
+            F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("url"))
     rec = F.struct("rank", "article_id", "score", "title", "summary", "url")
     grouped = hits.groupBy("student_id").agg(F.sort_array(F.collect_list(rec)).alias("recs"))
     out = valid.select("student_id").join(grouped, "student_id", "left")
