@@ -10,8 +10,9 @@ batches. Values of the default are not comparable with any model's.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +45,15 @@ def hashing_embedder(dim: int = EMBED_DIM) -> Embedder:
 
 
 def pandas_embedder(model_fn: Callable, dim: int = EMBED_DIM) -> Embedder:
-    """E1 with a real model: ``model_fn(list[str]) -> list[list[float]]`` runs per Arrow batch."""
-    import pandas as pd
+    """E1 with a real model: ``model_fn(list[str]) -> list[list[float]]`` runs per Arrow batch.
+
+    An iterator pandas UDF: a task gets its batches as one iterator, so a model
+    loaded inside ``model_fn``'s closure is set up once per task, not per row.
+    """
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("array<float>")
-    def _embed(batches):
+    def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             texts = s.fillna("").tolist()
             vecs = model_fn(texts)

@@ -331,3 +331,75 @@ def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0,
         F.size(recs).cast("long").alias("total_count"),
         generated_at.alias("generated_at"),
     )
+
+
+# ---------------------------------------------------------------- R3, batch of query vectors
+
+MAX_BROADCAST_QUERIES = 4096   # query vectors shipped to every task at once (checked, sliced above)
+
+
+def _topk_cosine_partition(batches, queries, dim: int, k: int):
+    """Per partition: cosine of every post vector with every query, top k per query."""
+    import numpy as np
+    import pandas as pd
+    qids = [q[0] for q in queries]
+    qm = np.array([q[1] for q in queries], dtype=np.float64).reshape(len(queries), dim)
+    qn = np.linalg.norm(qm, axis=1)
+    for pdf in batches:
+        pdf = pdf[pdf["vec"].map(lambda v: v is not None and len(v) == dim)]
+        if pdf.empty:
+            continue
+        em = np.vstack(pdf["vec"].map(lambda v: np.asarray(v, dtype=np.float64)).to_list())
+        en = np.linalg.norm(em, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sims = (em @ qm.T) / np.outer(en, qn)
+        sims[~np.isfinite(sims)] = 0.0                          # a zero norm gives 0 (V1)
+        ids = pdf["id"].to_numpy()
+        out = []
+        for j, qid in enumerate(qids):
+            col = sims[:, j]
+            order = np.lexsort((ids, -col))[:k]                 # score DESC, id ASC
+            out.append(pd.DataFrame({"query_id": qid, "id": ids[order], "score": col[order]}))
+        yield pd.concat(out, ignore_index=True)
+
+
+def search_vector_batch(posts: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT,
+                        vec_col: str = "emb", max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+    """R3 for a batch of query vectors ``(query_id, query_vector)``, exact top ``limit`` per query.
+
+    The query vectors are collected in slices of at most ``max_queries`` (a
+    checked bound) and broadcast; each task multiplies its partition's post
+    vectors with the query matrix (Arrow batches, numpy) and keeps ``limit``
+    rows per query, so a task emits at most ``queries x limit`` rows. A window
+    with a ``WindowGroupLimit`` then takes the global top ``limit`` per query.
+    No requests x posts product is materialised.
+    """
+    spark = posts.sparkSession
+    p = posts.where(F.col(vec_col).isNotNull() & F.col("summary").isNotNull()).select(
+        "id", F.col(vec_col).alias("vec"))
+    n_queries = queries.count()
+    slices = max(1, -(-n_queries // max_queries))
+    q = queries.select(F.col("query_id").cast("string").alias("query_id"), "query_vector")
+    schema = "query_id string, id string, score double"
+    parts = []
+    for s in range(slices):
+        part = q if slices == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)
+        rows = [(r[0], list(r[1])) for r in part.collect()]     # at most about max_queries rows
+        if not rows:
+            continue
+        dim = len(rows[0][1])
+        rows = [r for r in rows if r[1] is not None and len(r[1]) == dim]
+        bq = spark.sparkContext.broadcast(rows)
+        k = limit
+
+        def fn(batches, bq=bq, dim=dim, k=k):
+            return _topk_cosine_partition(batches, bq.value, dim, k)
+
+        parts.append(p.mapInPandas(fn, schema))
+    if not parts:
+        return spark.createDataFrame([], schema + ", rank int")
+    cand = parts[0]
+    for x in parts[1:]:
+        cand = cand.unionByName(x)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

@@ -194,3 +194,19 @@ def search_chunks(spark, sf_dir):
     s = S.searchable_articles(chunks(spark, sf_dir), D.chunk_vectors(spark, sf_dir),
                               D.posts(spark, sf_dir, with_emb=False), by="id")
     return S.search_chunks(s, query_vector(spark, sf_dir), limit=10)
+
+
+@register("search_vector_batch", with_(POSTS, """q AS (
+  SELECT CAST(label AS VARCHAR) AS query_id, arg_min(embedding, vec_id) AS qv FROM embeddings GROUP BY label)""") + f"""
+SELECT q.query_id, p.id AS article_id, round({_cos_sql('p.emb', 'CAST(q.qv AS DOUBLE[])')}, 6) AS score,
+       CAST(row_number() OVER (PARTITION BY q.query_id
+            ORDER BY {_cos_sql('p.emb', 'CAST(q.qv AS DOUBLE[])')} DESC, p.id) AS BIGINT) AS rank
+FROM posts p, q WHERE p.emb IS NOT NULL AND p.summary IS NOT NULL
+QUALIFY rank <= 5""")
+def search_vector_batch(spark, sf_dir):
+    """R3 batch: one query vector per label (its first stored vector), top 5 posts each."""
+    e = D.table(spark, sf_dir, "embeddings")
+    queries = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query_vector")).select(
+        F.col("label").alias("query_id"), "query_vector")
+    out = S.search_vector_batch(D.posts(spark, sf_dir), queries, limit=5)
+    return out.select("query_id", F.col("id").alias("article_id"), "score", "rank")

@@ -82,3 +82,28 @@ def test_recommend_batch_matches_brute_force(spark):
     want = brute_recommend(POSTS, reqs, 3)
     assert got == want
     assert all(r["total_count"] == len(r["recommendations"]) for r in out)
+
+
+def test_vector_batch_matches_brute_force_with_slices(spark):
+    import math
+    import random
+    rnd = random.Random(5)
+    posts = [(str(i), "s", [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(40)]
+    posts.append(("z", "s", [0.0, 0.0, 0.0, 0.0]))
+    posts.append(("nosum", None, [1.0, 0.0, 0.0, 0.0]))
+    pdf = spark.createDataFrame(posts, "id string, summary string, emb array<double>").repartition(3)
+    queries = [(f"q{j}", [rnd.uniform(-1, 1) for _ in range(4)]) for j in range(5)]
+    qdf = spark.createDataFrame(queries, "query_id string, query_vector array<double>")
+    got = S.search_vector_batch(pdf, qdf, limit=3, max_queries=2).collect()
+    got = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in got}
+
+    def cos(a, b):
+        na, nb = math.sqrt(sum(x * x for x in a)), math.sqrt(sum(x * x for x in b))
+        return 0.0 if na == 0 or nb == 0 else sum(x * y for x, y in zip(a, b)) / (na * nb)
+
+    want = {}
+    for qid, qv in queries:
+        ranked = sorted(((cos(v, qv), pid) for pid, s, v in posts if s is not None), key=lambda t: (-t[0], t[1]))[:3]
+        for r, (sc, pid) in enumerate(ranked, 1):
+            want[(qid, r)] = (pid, round(sc, 9))
+    assert got == want

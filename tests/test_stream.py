@@ -68,3 +68,17 @@ def test_versioned_table_pointer(spark):
     tables.write_version(spark.range(5), path)
     tables.write_version(spark.range(7), path)
     assert tables.current_version(spark, path) == 2 and tables.read_current(spark, path).count() == 7
+
+
+def test_processing_time_trigger(spark):
+    base = tempfile.mkdtemp(prefix="feedlake-trigger-")
+    raw_path, target_path, ckpt = f"{base}/raw", f"{base}/target", f"{base}/ckpt"
+    tables.write_version(spark.createDataFrame([], TARGET_SCHEMA), target_path, version=0)
+    _raw_batch(spark, 1, [("a1", "t", "u1", "b")]).write.mode("append").parquet(raw_path)
+    q = MS.start_merge_stream(spark, raw_path, target_path, ckpt, as_of=F.lit(NOW).cast("timestamp_ntz"),
+                              available_now=False, interval="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert tables.read_current(spark, target_path).count() == 1
