@@ -15,7 +15,7 @@ from feedlake.sources import testdata as D
 from feedlake.streaming import merge_stream as MS
 
 
-def _run_stream(spark, sf_dir):
+def _run_stream(spark, sf_dir, idle_run: bool = False):
     base = scratch_dir(spark, f"stream-{uuid.uuid4().hex}")
     raw_path, target_path, ckpt = f"{base}/raw", f"{base}/target", f"{base}/_checkpoint"
     # the raw rows fetched since the previous merge are the new files of the stream
@@ -25,6 +25,8 @@ def _run_stream(spark, sf_dir):
     q = MS.start_merge_stream(spark, raw_path, target_path, ckpt, as_of=D.ts_ntz(D.AS_OF))
     q.awaitTermination()
     first = MS.batches_run(q)
+    if not idle_run:
+        return target_path, first, None
     q2 = MS.start_merge_stream(spark, raw_path, target_path, ckpt, as_of=D.ts_ntz(D.AS_OF))
     q2.awaitTermination()
     return target_path, first, MS.batches_run(q2)
@@ -44,7 +46,7 @@ def stream_merge(spark, sf_dir):
 @register("stream_idle")
 def stream_idle(spark, sf_dir):
     """ST6: a second run over no new files fires no batch (rows only)."""
-    _, first, second = _run_stream(spark, sf_dir)
+    _, first, second = _run_stream(spark, sf_dir, idle_run=True)
     return spark.createDataFrame([(first, second)], "batches_first_run long, batches_second_run long")
 
 
