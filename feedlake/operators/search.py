@@ -177,6 +177,7 @@ def _anchor_candidates(req_grams: DataFrame, index: DataFrame, key: str) -> Data
               .withColumn("df", F.coalesce("df", F.lit(0)))
               .withColumn("r", F.row_number().over(Window.partitionBy("student_id").orderBy("df", "n", "tri")))
               .where(F.col("r") <= ANCHORS))
+    ranked = materialize(ranked, "anchors")          # at most ANCHORS rows per request, read ANCHORS times
     cand = (ranked.where(F.col("r") == 1).select("student_id", "n", "tri")
             .join(index, ["n", "tri"]).select("student_id", key))
     for r in range(2, ANCHORS + 1):
@@ -220,7 +221,8 @@ def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0,
     rq = rq.withColumn("g", F.least(F.lit(gram), longest))
     kind = (F.when(F.col("q").isNull(), F.lit("none")).when(F.col("g") == 0, F.lit("all"))
             .when(F.col("q").rlike(TOKEN_ONLY), F.lit("tok")).otherwise(F.lit("gen")))
-    rq = rq.withColumn("kind", kind)
+    # the classified requests feed every branch below: write them once (one row per request)
+    rq = materialize(rq.withColumn("kind", kind), "requests")
     present = {(r["kind"], r["g"]) for r in rq.select("kind", "g").distinct().collect()}
     tok_sizes = sorted(g for k, g in present if k == "tok")
     gen_sizes = sorted(g for k, g in present if k == "gen")

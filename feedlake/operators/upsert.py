@@ -205,7 +205,9 @@ def longer_body(posts: DataFrame, fetched: DataFrame, max_length: int = 500,
     short = posts.where(F.length("body") < max_length)
     if limit is not None:
         short = short.orderBy(F.desc_nulls_first("published_at"), F.asc("id")).limit(limit)
-    cand = short.select("id", key).join(fetched.select(key, F.col("text").alias("__new")), key)
+    # one fetched text per key (the longest), so a key fetched twice cannot duplicate a post
+    best = fetched.groupBy(key).agg(F.max_by(F.col("text"), F.struct(F.length("text"), F.col("text"))).alias("__new"))
+    cand = short.select("id", key).join(best, key)
     better = cand.where(F.length("__new") > 0).select("id", "__new")
     out = posts.join(better, "id", "left")
     replace = F.col("__new").isNotNull() & (F.length("__new") > F.length("body"))

@@ -121,10 +121,12 @@ def test_partial_refresh_semi_anti(spark):
 def test_longer_body(spark):
     posts = spark.createDataFrame([("1", "u1", "short", T0), ("2", "u2", "x" * 600, T0), ("3", "u3", "tiny", T0)],
                                   "id string, url string, body string, published_at timestamp_ntz")
-    fetched = spark.createDataFrame([("u1", "much longer text"), ("u2", "y" * 900), ("u3", "")], "url string, text string")
+    fetched = spark.createDataFrame([("u1", "much longer text"), ("u1", "short one"), ("u2", "y" * 900), ("u3", "")],
+                                    "url string, text string")
     got = {r["id"]: (r["body"], r["body_length"], r["replaced"]) for r in U.longer_body(posts, fetched).collect()}
     assert got["1"] == ("much longer text", 16, True)
     assert got["2"][2] is False and got["3"] == ("tiny", 4, False)
+    assert U.longer_body(posts, fetched).count() == 3          # a URL fetched twice does not duplicate
 
 
 def test_merge_reads_target_once(spark, tmp_path):
