@@ -37,7 +37,19 @@ def _check(size: int, overlap: int) -> int:
     return size - overlap
 
 
-LONG_TEXT = 1_000_000     # characters; longer texts take the linear piece-wise chunker
+LONG_TEXT = 200_000       # characters; longer texts take the linear piece-wise cut
+
+
+def _closed_form_array(t: Column, step: int, size: int) -> Column:
+    n = F.greatest(F.lit(0), F.ceil(F.length(t) / F.lit(step)) - 1).cast("int")
+    return F.transform(F.sequence(F.lit(0), n), lambda k: F.substring(t, k * step + 1, F.lit(size)))
+
+
+def _linear_array(t: Column, step: int, size: int) -> Column:
+    m = -(-size // step)
+    pieces = F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % step), 0)
+    return F.transform(pieces, lambda p, i: F.left(F.array_join(F.slice(pieces, i + 1, F.lit(m)), ""),
+                                                    F.lit(size)))
 
 
 def window_chunks(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
@@ -45,33 +57,26 @@ def window_chunks(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int
     """C1 (SPLIT_TEXT_TO_CHUNKS): fixed windows of ``size`` characters every ``size - overlap``.
 
     Adds ``chunk_index`` and ``chunk_text``; pieces of ``min_len`` characters
-    or fewer are dropped. Texts up to ``long_text`` characters use the closed
-    form (``explode(sequence)`` + ``substring``, whole-stage code-generated);
+    or fewer are dropped. One pass: each row's chunks are built as one array,
+    then exploded, so the text is never copied into every chunk row and the
+    input is read once. Up to ``long_text`` characters the array is the closed
+    form of the recursion (chunk k = ``substring(text, k*step + 1, size)``);
     ``substring`` by character position rescans the UTF-8 text from its
     start, so longer texts are cut by one linear regex pass instead. Both give
     the same chunks.
     """
-    short = df.where(F.length(text) <= long_text)
-    longer = df.where(F.length(text) > long_text)
-    return (window_chunks_closed_form(short, text, size, overlap, min_len)
-            .unionByName(window_chunks_linear(longer, text, size, overlap, min_len)))
+    step = _check(size, overlap)
+    t = F.col(text)
+    arr = F.when(F.length(t) <= long_text, _closed_form_array(t, step, size)).otherwise(
+        _linear_array(t, step, size))
+    out = df.select("*", F.posexplode(arr).alias("chunk_index", "chunk_text"))
+    return out.where(F.col("chunk_text").isNotNull() & (F.length("chunk_text") > min_len))
 
 
-def window_chunks_linear(df: DataFrame, text: Column | str, size: int = CHUNK_SIZE,
+def window_chunks_linear(df: DataFrame, text: str, size: int = CHUNK_SIZE,
                          overlap: int = CHUNK_OVERLAP, min_len: int = CHUNK_MIN) -> DataFrame:
-    """C1 in one linear pass: cut the text into ``step``-character pieces with a
-    regex, chunk k is pieces k .. k+m-1 joined and cut to ``size`` characters."""
-    step = _check(size, overlap)
-    t = F.col(text) if isinstance(text, str) else text
-    m = -(-size // step)
-    pieces = F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % step), 0)
-    chunks = F.transform(pieces, lambda p, i: F.struct(
-        i.alias("chunk_index"),
-        F.left(F.array_join(F.slice(pieces, i + 1, F.lit(m)), ""), F.lit(size)).alias("chunk_text")))
-    out = df.withColumn("__c", F.explode(chunks))
-    out = out.select("*", F.col("__c.chunk_index").alias("chunk_index"),
-                     F.col("__c.chunk_text").alias("chunk_text")).drop("__c")
-    return out.where(F.col("chunk_text").isNotNull() & (F.length("chunk_text") > min_len))
+    """C1 in one linear pass for every row (the path ``window_chunks`` takes for long texts)."""
+    return window_chunks(df, text, size, overlap, min_len, long_text=-1)
 
 
 def window_chunks_closed_form(df: DataFrame, text: str, size: int = CHUNK_SIZE,
