@@ -175,6 +175,25 @@ def merge_by_url(target: DataFrame, stream_rows: DataFrame, as_of: Column,
     return upsert(target, src, "url", update, insert, when_changed=changed, null_keys=null_keys)
 
 
+def merge_by_url_into(target_path: str, stream_rows: DataFrame, as_of: Column, buckets: int = 64,
+                      schema=None) -> list[int]:
+    """M1 applied in place to a bucketed ``posts_by_url`` table (touched buckets only).
+
+    The table keeps the merge's ``_action`` column as the action of the last
+    merge that touched each row. Returns the rewritten buckets.
+    """
+    from feedlake.sources.tables import bucketed_merge
+
+    def merge(target, src):
+        if target is None:
+            target = src.sparkSession.createDataFrame([], schema)
+        if ACTION in target.columns:
+            target = target.drop(ACTION)
+        return merge_by_url(target, src, as_of)
+
+    return bucketed_merge(target_path, stream_rows, "url", merge, buckets)
+
+
 POST_UPDATE_COLS = ["title", "body_markdown", "level", "tags", "summary", "emb", "url", "published_at",
                     "updated_at"]
 POST_COLS = ["id", "title", "body_markdown", "level", "tags", "summary", "emb", "url", "published_at",

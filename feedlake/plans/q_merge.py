@@ -73,6 +73,25 @@ def merge_by_url(spark, sf_dir):
     return m.withColumn("body_md5", F.md5("body")).drop("body")
 
 
+BUCKETS = 64
+
+
+@register("merge_buckets", with_(ENTRIES, RAW_FEEDS, ARTICLE_VIEW, TARGET_BY_URL, SOURCE_BY_URL, MERGED_BY_URL) + """
+SELECT id, title, url, published_at, md5(body) AS body_md5, body_length, first_fetched_at, last_updated_at
+FROM merged""")
+def merge_buckets(spark, sf_dir):
+    """M1 in place on a bucketed posts_by_url table: only buckets touched by the source are rewritten."""
+    import uuid
+    from feedlake.session import scratch_dir
+    from feedlake.sources import tables
+    path = scratch_dir(spark, f"posts-by-url-{uuid.uuid4().hex}")
+    target = D.posts_by_url(spark, sf_dir).withColumn(U.ACTION, F.lit(None).cast("string"))
+    tables.write_bucketed(target, path, "url", BUCKETS)
+    U.merge_by_url_into(path, stream_rows(spark, sf_dir), D.ts_ntz(D.AS_OF), BUCKETS)
+    t = spark.read.parquet(path).drop(tables.BUCKET, U.ACTION)
+    return t.withColumn("body_md5", F.md5("body")).drop("body")
+
+
 @register("merge_report", with_(ENTRIES, RAW_FEEDS, ARTICLE_VIEW, TARGET_BY_URL, SOURCE_BY_URL, MERGED_BY_URL) + """
 SELECT CAST(count(*) FILTER (WHERE _action = 'INSERT') AS BIGINT) AS inserted,
        CAST(count(*) FILTER (WHERE _action = 'UPDATE') AS BIGINT) AS updated,

@@ -82,3 +82,22 @@ def test_processing_time_trigger(spark):
     finally:
         q.stop()
     assert tables.read_current(spark, target_path).count() == 1
+
+
+def test_stream_into_buckets_equals_batch(spark):
+    base = tempfile.mkdtemp(prefix="feedlake-bstream-")
+    raw_path, target_path, ckpt = f"{base}/raw", f"{base}/target", f"{base}/ckpt"
+    target = spark.createDataFrame([("t1", "old", "u1", T0, "b", 1, T0, T0)], TARGET_SCHEMA)
+    tables.write_bucketed(target.withColumn(U.ACTION, F.lit(None).cast("string")), target_path, "url", 8)
+    b1 = _raw_batch(spark, 1, [("a1", "new", "u1", "b"), ("a2", "x", "u2", "bb")])
+    b2 = _raw_batch(spark, 2, [("a3", "y", "u2", "bbb"), ("a4", "z", "u3", "b")])
+    b1.write.mode("append").parquet(raw_path)
+    b2.write.mode("append").parquet(raw_path)
+    now = F.lit(NOW).cast("timestamp_ntz")
+    q = MS.start_merge_stream(spark, raw_path, target_path, ckpt, as_of=now, max_files=1, buckets=8)
+    q.awaitTermination()
+    streamed = spark.read.parquet(target_path).drop(tables.BUCKET, U.ACTION)
+    batch = U.merge_by_url(target, MS.article_changes(b1.unionByName(b2)), now).drop(U.ACTION)
+    key = lambda r: r["url"]
+    assert sorted(map(lambda r: r.asDict(), streamed.collect()), key=key) == \
+        sorted(map(lambda r: r.asDict(), batch.select(*streamed.columns).collect()), key=key)

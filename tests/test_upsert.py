@@ -136,3 +136,25 @@ def test_merge_reads_target_once(spark, tmp_path):
     plan = m._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1        # the source here is an in-memory frame
     assert m.count() == 6
+
+
+def test_bucketed_merge_rewrites_touched_buckets_only(spark, tmp_path):
+    import glob
+    import os
+
+    from feedlake.sources import tables
+    path = str(tmp_path / "posts")
+    base = [(f"t{i}", "old", f"u{i}", T0, "b", 1, T0, T0) for i in range(200)]
+    target = spark.createDataFrame(base, TARGET_SCHEMA).withColumn(U.ACTION, F.lit(None).cast("string"))
+    tables.write_bucketed(target, path, "url", 16)
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/bucket=*/*.parquet")}
+    rows = spark.createDataFrame([("u3", "a3", "new", T0, "b", 1, T0 + dt.timedelta(hours=1))], ROWS_SCHEMA)
+    touched = U.merge_by_url_into(path, rows, F.lit(NOW).cast("timestamp_ntz"), 16)
+    assert len(touched) == 1
+    after = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/bucket=*/*.parquet")}
+    unchanged = [f for f in before if f in after and after[f] == before[f]]
+    changed_dirs = {os.path.dirname(f) for f in set(after) - set(before)}
+    assert changed_dirs == {f"{path}/bucket={touched[0]}"}
+    assert len(unchanged) == len([f for f in before if f"/bucket={touched[0]}/" not in f])
+    t = spark.read.parquet(path)
+    assert t.count() == 200 and t.where(F.col("url") == "u3").first()["title"] == "new"
