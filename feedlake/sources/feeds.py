@@ -91,13 +91,18 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str |
 # ------------------------------------------------------------ S6
 
 
-def append_typed(df: DataFrame, path: str, schema: T.StructType) -> int:
+def append_typed(df, path: str, schema: T.StructType, spark: SparkSession | None = None) -> int:
     """Cast a frame to the table schema, append it, return the appended row count.
 
-    The count is taken with ``observe`` on the write itself, so the data is
-    read once.
+    ``df`` is a Spark DataFrame, or a client-side pandas frame (the reference's
+    input), which is converted with the table schema via Arrow. The count is
+    taken with ``observe`` on the write itself, so the data is read once.
     """
     from pyspark.sql import Observation
+    if not isinstance(df, DataFrame):
+        spark = spark or SparkSession.getActiveSession()
+        df = spark.createDataFrame(df.astype(object).where(df.notna(), None),
+                                   T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))
     typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     obs = Observation("append")
     typed.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)

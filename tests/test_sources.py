@@ -87,3 +87,13 @@ def test_land_one_file_per_feed(spark, tmp_path):
     out = FD.land(df, str(tmp_path / "landing"), F.col("xml"), by="feed_id", stamp="s1")
     files = spark.read.text(out, wholetext=True).select(F.col("_metadata.file_path")).collect()
     assert len(files) == 2 and out.endswith("/s1")
+
+
+def test_append_typed_from_pandas(spark, tmp_path):
+    import pandas as pd
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("published_at", T.TimestampNTZType())])
+    pdf = pd.DataFrame({"id": ["a", "b"], "published_at": ["2024-01-01T10:00:00", None]})
+    path = str(tmp_path / "t5")
+    assert FD.append_typed(pdf, path, schema, spark) == 2
+    got = {r["id"]: r["published_at"] for r in spark.read.parquet(path).collect()}
+    assert got == {"a": dt.datetime(2024, 1, 1, 10, 0), "b": None}
