@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedlake.operators import articles as A
 from feedlake.operators import upsert as U
 from feedlake.operators.embed import EMBED_DIM, enrich
-from feedlake.plans.oracle import (AS_OF, ARTICLE_VIEW, ENTRIES, NL, POSTS, RAW_FEEDS, TARGET_CUTOFF,
+from feedlake.plans.oracle import (AS_OF, ARTICLE_VIEW, ENTRIES, POSTS, RAW_FEEDS, TARGET_CUTOFF,
                                    with_)
 from feedlake.plans.q_articles import API, API_TYPED, XML_ITEMS
 from feedlake.plans.registry import register

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from feedlake.operators import articles as A
 from feedlake.operators import upsert as U
-from feedlake.plans.oracle import AS_OF, ENTRIES, EPOCH, FETCHED, NL, POSTS, RAW_FEEDS, with_
+from feedlake.plans.oracle import ENTRIES, EPOCH, FETCHED, NL, POSTS, RAW_FEEDS, with_
 from feedlake.plans.registry import register
 from feedlake.session import scratch_dir
 from feedlake.sources import feeds as FD

@@ -1,6 +1,5 @@
 import math
 
-from pyspark.sql import functions as F
 
 from feedlake.operators.embed import enrich, hashing_embedder, pandas_embedder
 
