@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T_
 from pyspark.sql import functions as F
 
 ACTION = "_action"
@@ -118,11 +119,15 @@ def upsert(target: DataFrame, source: DataFrame, key: str,
     # place every row the same way).
     t_key = F.coalesce(T(key).cast("string"),
                        F.concat(F.lit("\u0000t"), F.xxhash64(*[T(c) for c in target.columns if _orderable(target, c)]).cast("string")))
-    s_key = F.coalesce(S(skey).cast("string"),
-                       F.concat(F.lit("\u0000s"), F.xxhash64(*[S(c) for c in source.columns if _orderable(source, c)]).cast("string")))
     t = t.withColumn("__k", t_key)
-    s = s.withColumn("__k", s_key)
-    joined = t.join(s, "__k", "full_outer")
+    if null_keys != "insert" and isinstance(source.schema[skey].dataType, T_.StringType):
+        # no NULL source keys: join on the source key itself, so a source that is
+        # already hash-partitioned by its key (the dedup aggregation) is not shuffled again
+        joined = t.join(s, F.col("__k") == S(skey), "full_outer")
+    else:
+        s_key = F.coalesce(S(skey).cast("string"),
+                           F.concat(F.lit("\u0000s"), F.xxhash64(*[S(c) for c in source.columns if _orderable(source, c)]).cast("string")))
+        joined = t.join(s.withColumn("__k", s_key), "__k", "full_outer")
 
     in_t = F.coalesce(F.col("__in_t"), F.lit(False))
     in_s = F.coalesce(F.col("__in_s"), F.lit(False))
