@@ -97,6 +97,9 @@ def spread_small(df: DataFrame, path: str) -> DataFrame:
     nothing is added.
     """
     spark = df.sparkSession
-    if input_bytes(spark, path) <= SMALL_INPUT_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism)
+    size = input_bytes(spark, path)
+    if size <= SMALL_INPUT_BYTES:
+        # about one partition per MiB of input, never more than there are cores
+        n = max(1, min(spark.sparkContext.defaultParallelism, -(-size // (1 << 20))))
+        return df.repartition(n)
     return df
