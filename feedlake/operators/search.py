@@ -198,8 +198,9 @@ def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0,
       index of the posts' token vocabulary (token -> posts); other queries use
       an n-gram index of the whole text. Each request joins through its rarest
       n-grams only. No requests × posts product is formed.
-    * Requests whose query has no literal character (only wildcards) match every
-      post: their answer is the global top-20 under the R2 order, joined by rank.
+    * Requests whose query has no literal character (only wildcards) match a
+      field iff it has at least as many characters as the query has ``_``:
+      their answer is a global top-20 under the R2 order, joined by rank.
     * Requests without a query get the stable random order (R5) the same way.
     * Limits outside 1..20 are rejected (filtered); scores stay in [0, 1].
 
@@ -293,16 +294,21 @@ def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0,
                      .where(F.col("rank") <= F.col("limit"))
                      .where(F.col("rank") <= MAX_LIMIT).select(*cols))
 
-    # --- requests matching every post (query of wildcards only): global pool by rank
+    # --- queries of wildcards only: '%' + q + '%' matches a field iff the field has at least as many
+    #     characters as q has '_'; one global pool per distinct count, joined by rank
     if ("all", 0) in present:
-        everything = p.select(F.col("id").alias("article_id"),
-                              F.when(F.col("title").isNotNull(), F.lit(TITLE_WEIGHT))
-                              .otherwise(F.lit(SUMMARY_WEIGHT)).alias("score"),
-                              "title", "summary", "url", "published_at")
-        pool_all = _ranked_pool(everything, order)
-        parts.append(rq.where(F.col("kind") == "all")
-                     .select("student_id", "limit", F.explode(F.sequence(F.lit(1), F.col("limit"))).alias("rank"))
-                     .join(pool_all, "rank").select(*cols))
+        alls = rq.where(F.col("kind") == "all").withColumn(
+            "u", F.length(F.regexp_replace("q", "[^_]", "")))
+        for u in sorted(r["u"] for r in alls.select("u").distinct().collect()):   # <= longest query
+            sc = (F.when(F.length("title") >= u, F.lit(TITLE_WEIGHT))
+                  .when(F.length("summary") >= u, F.lit(SUMMARY_WEIGHT))
+                  .when(F.length("body_markdown") >= u, F.lit(BODY_WEIGHT)).otherwise(F.lit(0.0)))
+            everything = p.select(F.col("id").alias("article_id"), sc.alias("score"),
+                                  "title", "summary", "url", "published_at").where(F.col("score") > 0)
+            pool_all = _ranked_pool(everything, order)
+            parts.append(alls.where(F.col("u") == u)
+                         .select("student_id", "limit", F.explode(F.sequence(F.lit(1), F.col("limit"))).alias("rank"))
+                         .join(pool_all, "rank").select(*cols))
 
     # --- requests without a query: stable random order, same rank join
     if ("none", 0) in present:

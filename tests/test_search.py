@@ -75,7 +75,8 @@ def brute_recommend(posts, requests, seed):
 def test_recommend_batch_matches_brute_force(spark):
     reqs = [("s1", "alpha", 2), ("s2", "al", 5), ("s3", None, 3), ("s4", "%", 20), ("s5", "x", 0),
             ("s6", "zzzz", 5), ("s7", "a_p", 5), ("s8", "Body", 21), ("s9", "bo", 1),
-            ("s10", "in body", 5), ("s11", "50% off", 3), ("s12", "hidden, no", 4), ("s13", "ALPHA", 20)]
+            ("s10", "in body", 5), ("s11", "50% off", 3), ("s12", "hidden, no", 4), ("s13", "ALPHA", 20),
+            ("s14", "___", 6), ("s15", "%_____%", 6), ("s16", "", 2), ("s17", "________", 3)]
     rdf = spark.createDataFrame(reqs, "student_id string, query string, limit int")
     out = S.recommend_batch(rdf, _posts(spark), seed=3, as_of=F.lit(T0).cast("timestamp_ntz")).collect()
     got = {r["student_id"]: [(x["article_id"], x["score"]) for x in r["recommendations"]] for r in out}
