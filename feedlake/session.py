@@ -52,13 +52,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+_scratch_paths: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder for written intermediate tables, under the checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, name) if "://" not in base else f"{base.rstrip('/')}/{name}"
+    _scratch_paths.append(path)
     return path
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders this process made. Call it only once every
+    DataFrame that reads them has been consumed. Returns the number removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _scratch_paths:
+        p = jvm.org.apache.hadoop.fs.Path(_scratch_paths.pop())
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            fs.delete(p, True)
+            removed += 1
+    return removed
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a parquet table under the checkpoint folder and read it back.
 

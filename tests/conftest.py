@@ -14,3 +14,5 @@ def spark():
     s = get_spark("local[4]", 8, app_name="feedlake-tests")
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from feedlake.session import drop_scratch
+    drop_scratch(s)
