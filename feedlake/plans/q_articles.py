@@ -163,3 +163,13 @@ def xml_articles(spark, sf_dir):
     """P3 + J6: RSS XML items (at most 50 per feed) as typed articles."""
     r = A.parse_rss(D.raw_xml_feeds(spark, sf_dir))
     return r.withColumn("body_md5", F.md5("body_markdown")).drop("body_markdown")
+
+
+@register("variant_path", """
+SELECT event_id, event_type, CAST(round(TRY_CAST(json_extract(props, '$.k') AS DOUBLE)) AS BIGINT) AS k
+FROM events""")
+def variant_path(spark, sf_dir):
+    """§2.11 path access: events.props parsed to a variant, ``props:k::INT`` for every event."""
+    from feedlake.functions.variant import as_int
+    e = D.table(spark, sf_dir, "events")
+    return e.select("event_id", "event_type", as_int(F.try_parse_json("props"), "k").alias("k"))

@@ -97,3 +97,13 @@ def test_lookback_reaches_the_raw_scan(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(fetched_at), GreaterThanOrEqual(fetched_at" in plan
     assert out.count() == 1
+
+
+def test_variant_casts(spark):
+    from feedlake.functions.variant import as_bool, as_int, as_str, json_path
+    assert json_path("user:urlname") == "$.user.urlname"
+    df = spark.createDataFrame([('{"a": {"b": 0.6}, "s": "x", "t": true}',), ('{"a": {"b": -2.5}}',), ('{"a": null}',)],
+                               "j string").select(F.parse_json("j").alias("v"))
+    got = [(r[0], r[1], r[2]) for r in df.select(as_int(F.col("v"), "a:b"), as_str(F.col("v"), "s"),
+                                                  as_bool(F.col("v"), "t")).collect()]
+    assert got == [(1, "x", True), (-3, None, None), (None, None, None)]

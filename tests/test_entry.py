@@ -23,7 +23,7 @@ def test_entry_smoke(spark):
 
 def test_registry_shapes():
     qs, sql = E.queries(), E.oracle_sql()
-    assert len(qs) >= 87
+    assert len(qs) >= 89
     assert set(sql) <= set(qs)
     rows_only = set(qs) - set(sql)
     assert rows_only <= {"embed_default", "sample", "stream_idle"}
