@@ -112,13 +112,26 @@ def api_contents(raw: DataFrame, raw_col: str = "xml") -> DataFrame:
     return f.select(F.col("article.value").alias("article"), "fetched_at")
 
 
-def api_fields(contents: DataFrame, host: str = POST_HOST) -> DataFrame:
-    """P2 projection: typed article columns from the API JSON element."""
+def strict_ntz(s: Column) -> Column:
+    """TO_TIMESTAMP_NTZ: a value that does not parse fails the job, whatever the ANSI setting."""
+    ts = s.try_cast("timestamp_ntz")
+    return F.when(s.isNotNull() & ts.isNull(),
+                  F.raise_error(F.concat(F.lit("cannot parse timestamp: "), s))).otherwise(ts)
+
+
+def api_fields(contents: DataFrame, host: str = POST_HOST, strict_dates: bool = True) -> DataFrame:
+    """P2 projection: typed article columns from the API JSON element.
+
+    ``strict_dates`` follows the reference's TO_TIMESTAMP_NTZ (a bad date is
+    an error); ``False`` gives NULL instead (TRY_ form).
+    """
     a = F.col("article")
 
     def s(path: str) -> Column:
         return F.try_variant_get(a, path, "string")
 
+    parse = strict_ntz if strict_dates else (lambda c: c.try_cast("timestamp_ntz"))
+
     return contents.select(
         api_id(s("$.key"), s("$.id"), s("$.name"), s("$.publishedAt")).alias("id"),
         s("$.name").alias("title"),
@@ -127,14 +140,14 @@ def api_fields(contents: DataFrame, host: str = POST_HOST) -> DataFrame:
                      F.try_variant_get(a, "$.isMembership", "boolean")).alias("level"),
         api_tags(s("$.hashtag"), s("$.user.urlname")).alias("tags"),
         api_url(s("$.user.urlname"), s("$.key"), host).alias("url"),
-        s("$.publishedAt").try_cast("timestamp_ntz").alias("published_at"),
+        parse(s("$.publishedAt")).alias("published_at"),
         s("$.type").alias("type"),
         F.col("fetched_at"),
     )
 
 
 def parse_api(raw: DataFrame, as_of: Column | None = None, lookback_hours: int | None = LOOKBACK_HOURS,
-              item_type: str | None = ITEM_TYPE, host: str = POST_HOST) -> DataFrame:
+              item_type: str | None = ITEM_TYPE, host: str = POST_HOST, strict_dates: bool = True) -> DataFrame:
     """P2 with P8 and P9: the ``parsed_articles`` step of the enriched transform.
 
     The look-back filter is applied to the raw rows before the flatten, so it
@@ -142,7 +155,7 @@ def parse_api(raw: DataFrame, as_of: Column | None = None, lookback_hours: int |
     """
     if lookback_hours is not None:
         raw = lookback(raw, as_of, lookback_hours)
-    out = api_fields(api_contents(raw), host)
+    out = api_fields(api_contents(raw), host, strict_dates)
     if item_type is not None:
         out = out.where(F.col("type") == item_type)
     return out.drop("type")

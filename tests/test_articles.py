@@ -45,7 +45,9 @@ def test_api_transform(spark):
            '{"key": "k3", "type": "ImageNote"}]}}')
     raw = spark.createDataFrame([(doc, T0), (doc, T0 - dt.timedelta(hours=30))], "s string, fetched_at timestamp_ntz")
     raw = raw.select(F.parse_json("s").alias("xml"), "fetched_at")
-    out = A.parse_api(raw, as_of=F.lit(T0).cast("timestamp_ntz")).orderBy("id").collect()
+    out = A.parse_api(raw, as_of=F.lit(T0).cast("timestamp_ntz"), strict_dates=False).orderBy("id").collect()
+    with pytest.raises(Exception):                       # TO_TIMESTAMP_NTZ('P') is an error
+        A.parse_api(raw, as_of=F.lit(T0).cast("timestamp_ntz")).collect()
     assert len(out) == 2                                  # 24 h look-back and TextNote only
     k1 = [r for r in out if r["id"] == "k1"][0]
     assert k1["level"] == "membership" and k1["tags"] == ["#h", "note.com", "alice"]
