@@ -16,8 +16,9 @@ AS_OF = "2024-01-31 00:00:00"
 EPOCH = "2024-01-01 00:00:00"
 HOST = "https://example.com"
 FEED_HOURS = 48          # a document is fetched (doc_id mod 48) hours before AS_OF
-FEED_SPAN = 12000        # a feed is one source at one fetch time within a span of 12,000 doc ids,
-                         # so no feed is an unbounded group (<= 50 items when sources rotate)
+FEED_SPAN = 12000        # a feed is one source at one fetch time within a span of 12,000 doc ids;
+                         # the fetch hour is doc_id mod 48, so a feed holds at most 12000 / 48 = 250
+                         # documents whatever the sources are (about 12 when the 20 sources rotate)
 TARGET_AGE_HOURS = 12    # the curated table holds what was fetched >= 12 h ago
 
 
