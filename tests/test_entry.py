@@ -9,6 +9,9 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from feedlake.plans import registry
+
+registry.load_all()
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -22,8 +25,9 @@ def test_entry_smoke(spark):
 
 
 def test_registry_shapes():
-    qs, sql = E.queries(), E.oracle_sql()
+    qs, sql = registry.QUERIES, registry.ORACLE
     assert len(qs) >= 89
+    assert set(qs) <= set(E.queries()) and set(sql) <= set(E.oracle_sql())
     assert set(sql) <= set(qs)
     rows_only = set(qs) - set(sql)
     assert rows_only <= {"embed_default", "sample", "stream_idle"}
@@ -52,7 +56,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(registry.ORACLE))
 def test_query_matches_oracle(spark, duck, key):
     sdf = E.queries()[key](spark, SF_SMALL)
     srows = [tuple(r) for r in sdf.collect()]

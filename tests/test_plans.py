@@ -2,14 +2,16 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from feedlake.plans import registry
+
+registry.load_all()
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(registry.QUERIES))
 def test_no_cross_join_and_no_row_python(spark, key):
-    df = E.queries()[key](spark, SF_SMALL)
+    df = registry.QUERIES[key](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [f for f in FORBIDDEN if f in plan]
