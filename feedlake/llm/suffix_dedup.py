@@ -388,20 +388,21 @@ def _finish(length: int, texts: bool):
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, groups: int | None = None, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of every row of ``docs``.
 
-    ``length``: bytes of a repeated string, 32 to 83. ``groups``: number of blocks and of
-    buckets; four per shuffle partition unless given."""
+    ``length``: bytes of a repeated string, 32 to 83. ``groups``: number of blocks, one per
+    shuffle partition unless given; there are twice as many buckets (a block and a bucket
+    exchange one row, so more of either multiplies the rows)."""
     if not 32 <= length <= SEED + 63:
         raise ValueError("length must be between 32 and 83")
-    groups = groups or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("block"),
                        F.col("doc_id").cast("long").alias("doc_id"), "text")
     # rows without an id would all meet in one block
     rows = rows.withColumn("block", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(groups)).cast("int")).otherwise(F.col("block")))
     blocks = lambda: rows.groupBy("block")
-    seeds = blocks().applyInArrow(_send_seeds(groups, length), "bucket int, block int, seeds binary, shared binary")
+    seeds = blocks().applyInArrow(_send_seeds(2 * groups, length), "bucket int, block int, seeds binary, shared binary")
     answers = seeds.groupBy("bucket").applyInArrow(_answer_seeds, _TO_BLOCK)
     runs = blocks().cogroup(answers.groupBy("block")).applyInArrow(
-        _send_runs(groups, length), "bucket int, block int, keys binary, docs binary, sizes binary, texts binary")
+        _send_runs(2 * groups, length), "bucket int, block int, keys binary, docs binary, sizes binary, texts binary")
     masks = runs.groupBy("bucket").applyInArrow(_sort_bucket(length), _TO_BLOCK)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
     return blocks().cogroup(masks.groupBy("block")).applyInArrow(_finish(length, texts), schema)
