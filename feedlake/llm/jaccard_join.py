@@ -19,7 +19,9 @@ The members of a list are not paired. Each list picks a pivot, members are verif
 it exactly (shingle sets of both texts), and linked members form components. Only members of
 a list that are still in different components are paired and verified in the last round, so
 every link between components is found, while a group of m near copies costs about m
-comparisons instead of m * m.
+comparisons instead of m * m. Before texts are fetched, a bound drops most pairs: sets whose
+parity signatures (shingle hashes folded by exclusive or) differ in H bits share at most
+(s + t - H) / 2 shingles.
 
 Edge cases: null texts and texts without words have an empty set, link with nothing and are
 their own component; texts of fewer words than a shingle count as one shingle; words are
@@ -54,6 +56,9 @@ FREQUENT = 1 << 19
 LOCAL_REPEATS = 4
 PIVOT_ROUNDS = 2
 
+#: Bits of a set's parity signature, as 64-bit words.
+SIGNATURE_WORDS = 32
+
 _KEY = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -95,7 +100,9 @@ def _chunk_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray
 
 
 def describe_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (fingerprint) per row, and (kind 1) shingles repeated within a chunk with their count."""
+    """doc_id, n_shingles, f1, f2 (fingerprint), bits (signature) per row, and (kind 1) shingles repeated within a chunk with their count."""
+    names = ["kind", "doc_id", "n_shingles", "f1", "f2", "bits"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, h, cuts in _chunk_sets(batch.column(1), k):
@@ -103,7 +110,7 @@ def describe_sets(docs: DataFrame, k: int) -> DataFrame:
                 f1, f2 = (t[cuts[1:]] - t[cuts[:-1]] for t in total)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), pa.array(np.diff(cuts).astype(np.int64)),
-                     pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], names=["kind", "doc_id", "n_shingles", "f1", "f2"])
+                     pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), _signatures(h, cuts)], names=names)
                 s = np.sort(h)
                 first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
                 n = np.diff(np.r_[first, len(s)])
@@ -111,9 +118,24 @@ def describe_sets(docs: DataFrame, k: int) -> DataFrame:
                 m = int(often.sum())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.ones(m, np.int32)), pa.array([None] * m, pa.int64()), pa.array(n[often].astype(np.int64)),
-                     pa.array(s[first][often].view(np.int64)), pa.array(np.zeros(m, np.int64))], names=["kind", "doc_id", "n_shingles", "f1", "f2"])
+                     pa.array(s[first][often].view(np.int64)), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.list_(pa.int64()))], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, doc_id long, n_shingles long, f1 long, f2 long, bits array<long>")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, doc_id long, n_shingles long, f1 long, f2 long")
+
+def _signatures(h: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Parity of the set's shingles per signature bit, as 64-bit words; null for the empty set."""
+    n, width = len(cuts) - 1, 64 * SIGNATURE_WORDS
+    words = np.zeros((n, SIGNATURE_WORDS), np.int64)
+    for a in range(0, n, 256):                       # bounded work space
+        b = min(n, a + 256)
+        own = h[cuts[a]:cuts[b]]
+        cell = np.repeat(np.arange(b - a), np.diff(cuts[a:b + 1])) * width + (own % np.uint64(width)).astype(np.int64)
+        odd = (np.bincount(cell, minlength=(b - a) * width) & 1).astype(np.uint8).reshape(b - a, width)
+        words[a:b] = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+    full = np.diff(cuts) > 0
+    offsets = np.r_[0, np.cumsum(full * SIGNATURE_WORDS)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(words[full].reshape(-1)), mask=pa.array(~full))
 
 
 def choose_boundary(sizes: dict[int, int], list_length: float, similarity: int = SIMILARITY, most: int = MAX_LIGHT) -> int:
@@ -235,13 +257,22 @@ def _fits(similarity: int):
     return F.lit(100) * F.least("size", "psize") >= F.lit(similarity) * F.greatest("size", "psize")
 
 
+def _possible(pairs: DataFrame, bits: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) that their signatures do not rule out."""
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    both = (pairs.join(bits.select(F.col("doc").alias("a"), F.col("bits").alias("x")), "a")
+            .join(bits.select(F.col("doc").alias("b"), F.col("bits").alias("y")), "b"))
+    total = F.col("size") + F.col("psize")
+    return both.where(F.lit(100 + similarity) * (total - differ) >= F.lit(2 * similarity) * total).select("a", "b").distinct()
+
+
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, boundary: int | None = None,
                        groups: int | None = None, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark = docs.sparkSession
     groups = groups or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     described = materialize(describe_sets(docs, k), "jaccard-sets")
-    rows = described.where("kind = 0").drop("kind")
+    rows = described.where("kind = 0").select("doc_id", "n_shingles", "f1", "f2")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
 
     repeated = described.where("kind = 1").groupBy(F.col("f1").alias("h")).agg(F.sum("n_shingles").alias("n"))
@@ -266,6 +297,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(lists.select("doc").distinct(), "doc", "left_semi")
                         .groupBy("doc").agg(F.min("text").alias("text")), "jaccard-texts")
 
+    # rows that repeat an id bring a signature each; a pair stays if any two of them allow it
+    bits = described.where("kind = 0 and n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "bits")
     component = connected_components(links)
     for step in range(pivot_rounds + 1):
         at = lists.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -280,7 +313,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
         else:                                        # all that is left between components
             other = at.select("key", F.col("doc").alias("b"), F.col("size").alias("psize"), F.col("component").alias("other"))
             pairs = at.join(other, "key").where("component < other").select(F.col("doc").alias("a"), "b", "size", "psize")
-        pairs = pairs.where(_fits(similarity)).select("a", "b").distinct()
+        pairs = materialize(_possible(pairs.where(_fits(similarity)).distinct(), bits, similarity), "jaccard-pairs")
         found = materialize(_verify(pairs, texts, k, similarity), "jaccard-verified")
         if found.isEmpty():
             continue
