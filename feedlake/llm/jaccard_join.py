@@ -56,7 +56,7 @@ FREQUENT = 1 << 19
 LOCAL_REPEATS = 4
 PIVOT_ROUNDS = 2
 
-#: Bits of a set's parity signature, as 64-bit words.
+#: 64-bit words of a set's parity signature, at least.
 SIGNATURE_WORDS = 32
 
 _KEY = np.uint64(0x6A09E667F3BCC909)
@@ -124,18 +124,22 @@ def describe_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _signatures(h: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Parity of the set's shingles per signature bit, as 64-bit words; null for the empty set."""
-    n, width = len(cuts) - 1, 64 * SIGNATURE_WORDS
-    words = np.zeros((n, SIGNATURE_WORDS), np.int64)
-    for a in range(0, n, 256):                       # bounded work space
-        b = min(n, a + 256)
-        own = h[cuts[a]:cuts[b]]
-        cell = np.repeat(np.arange(b - a), np.diff(cuts[a:b + 1])) * width + (own % np.uint64(width)).astype(np.int64)
-        odd = (np.bincount(cell, minlength=(b - a) * width) & 1).astype(np.uint8).reshape(b - a, width)
-        words[a:b] = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
-    full = np.diff(cuts) > 0
-    offsets = np.r_[0, np.cumsum(full * SIGNATURE_WORDS)].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(words[full].reshape(-1)), mask=pa.array(~full))
+    """Parity of the set's shingles per signature bit, as 64-bit words; null for the empty set.
+
+    A signature has as many bits as the set has shingles, rounded up to a power of two, and
+    ``64 * SIGNATURE_WORDS`` at least; halves can be folded onto each other."""
+    size = np.diff(cuts)
+    width = np.where(size > 0, 64 * SIGNATURE_WORDS, 0)
+    large = size > 64 * SIGNATURE_WORDS
+    width[large] = 1 << np.ceil(np.log2(size[large])).astype(np.int64)
+    at = np.r_[0, np.cumsum(width)]
+    cell = np.repeat(at[:-1], size) + (h & np.repeat(width - 1, size).astype(np.uint64)).astype(np.int64)
+    odd = np.zeros(at[-1], bool)
+    order = np.sort(cell)
+    first = np.flatnonzero(np.r_[True, order[1:] != order[:-1]]) if len(order) else np.empty(0, np.int64)
+    odd[order[first]] = np.diff(np.r_[first, len(order)]) & 1
+    words = np.packbits(odd, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array((at // 64).astype(np.int32)), pa.array(words), mask=pa.array(size == 0))
 
 
 def choose_boundary(sizes: dict[int, int], list_length: float, similarity: int = SIMILARITY, most: int = MAX_LIGHT) -> int:
@@ -259,11 +263,18 @@ def _fits(similarity: int):
 
 def _possible(pairs: DataFrame, bits: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) that their signatures do not rule out."""
-    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    def fold(own: str, other: str):
+        half = (F.size(own) / 2).cast("int")
+        folded = F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(own) > F.size(other), folded).otherwise(F.col(own))
+
+    differ = F.aggregate(F.zip_with(fold("x", "y"), fold("y", "x"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     both = (pairs.join(bits.select(F.col("doc").alias("a"), F.col("bits").alias("x")), "a")
             .join(bits.select(F.col("doc").alias("b"), F.col("bits").alias("y")), "b"))
     total = F.col("size") + F.col("psize")
-    return both.where(F.lit(100 + similarity) * (total - differ) >= F.lit(2 * similarity) * total).select("a", "b").distinct()
+    # null: signatures of other sets of a repeated id, which cannot be compared
+    allowed = F.lit(100 + similarity) * (total - differ) >= F.lit(2 * similarity) * total
+    return both.where(F.coalesce(allowed, F.lit(True))).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, boundary: int | None = None,
