@@ -15,8 +15,9 @@ at least c(s, t) = ceil(S (s + t) / (100 + S)) of them (S = similarity in percen
 * The boundary is the one with the least estimated cost: subsets emitted below it against
   list entries, weighted by the mean list length, above it.
 
-The members of a list are not paired. Each list picks a pivot, members are verified against
-it exactly (shingle sets of both texts), and linked members form components. Only members of
+The members of a list are not paired. Each list picks a pivot, each member takes
+the pivot that most of its lists have and is verified against it exactly (shingle sets of
+both texts), and linked members form components; this is repeated with other pivots. Only members of
 a list that are still in different components are paired and verified in the last round, so
 every link between components is found, while a group of m near copies costs about m
 comparisons instead of m * m. Before texts are fetched, a bound drops most pairs: sets whose
@@ -56,6 +57,8 @@ FREQUENT = 1 << 19
 LOCAL_REPEATS = 4
 PIVOT_ROUNDS = 2
 
+#: Members of a list that are compared with each other at once.
+BLOCK = 1024
 #: 64-bit words of a set's parity signature, at least.
 SIGNATURE_WORDS = 32
 
@@ -277,6 +280,42 @@ def _possible(pairs: DataFrame, bits: DataFrame, similarity: int) -> DataFrame:
     return both.where(F.coalesce(allowed, F.lit(True))).select("a", "b").distinct()
 
 
+def _remaining_pairs(at: DataFrame, bits: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b, size, psize) of one list and different components that sizes and short signatures allow.
+
+    Lists of equal members are looked at once. Members are compared in blocks of about
+    ``BLOCK``: a task gets two blocks of a list, not the list, and returns only what the
+    signatures (folded to the least width) leave."""
+    one = (at.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
+           .groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).alias("parts")))
+    members = at.join(one, "key").join(bits, "doc").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(2)), F.col("parts")))
+    cells = members.select("key", "own", "doc", "size", "component", "bits", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    cells = cells.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+    def run(table: pa.Table) -> pa.Table:
+        own, doc, size, component = (table.column(c).combine_chunks().to_numpy() for c in ("own", "doc", "size", "component"))
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        column = table.column("bits").combine_chunks()
+        cuts, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+        short = np.array([np.bitwise_xor.reduce(flat[i:j].reshape(-1, SIGNATURE_WORDS), axis=0) for i, j in zip(cuts[:-1], cuts[1:])])
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        found = []
+        for i in range(0, len(left), 64):
+            x = left[i:i + 64]
+            total = size[x][:, None].astype(np.int64) + size[right]
+            ok = (component[x][:, None] != component[right]) & (100 * np.minimum(size[x][:, None], size[right]).astype(np.int64) >= similarity * np.maximum(size[x][:, None], size[right]).astype(np.int64))
+            if low == high:
+                ok &= x[:, None] < right
+            u, v = np.nonzero(ok)
+            differ = np.bitwise_count(short[x[u]] ^ short[right[v]]).sum(axis=1, dtype=np.int64)
+            keep = (100 + similarity) * (total[u, v] - differ) >= 2 * similarity * total[u, v]
+            found.append(np.stack([x[u[keep]], right[v[keep]]]))
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.table({"a": pa.array(doc[a]), "b": pa.array(doc[b]), "size": pa.array(size[a]), "psize": pa.array(size[b])})
+
+    return cells.groupBy("key", "low", "high").applyInArrow(run, "a long, b long, size int, psize int")
+
+
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, boundary: int | None = None,
                        groups: int | None = None, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
@@ -310,6 +349,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
 
     # rows that repeat an id bring a signature each; a pair stays if any two of them allow it
     bits = described.where("kind = 0 and n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "bits")
+    # a text that others were copied from shares more of its lists than its copies do: the best pivots
+    degree = materialize(lists.join(lists.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("doc").agg(F.sum("n").alias("degree")), "jaccard-degree")
+    used = None
     component = connected_components(links)
     for step in range(pivot_rounds + 1):
         at = lists.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
@@ -318,12 +360,18 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
         if at.isEmpty():
             break
         if step < pivot_rounds:                      # one pivot per list, another one each round
-            pivot = at.groupBy("key").agg(F.min_by(F.struct("doc", "size", "component"), F.xxhash64(F.lit(step), "doc")).alias("p"))
+            free = at.join(degree, "doc")
+            free = free if used is None else free.join(used, "doc", "left_anti")
+            pivot = free.groupBy("key").agg(F.max(F.struct("degree", "doc", "size", "component")).alias("p"))
+            taken = pivot.select("p.doc").distinct()
+            used = materialize(taken if used is None else used.union(taken), "jaccard-pivots")
+            # a member takes one pivot, the one that most of its lists have
             pairs = (at.join(pivot, "key").where("component <> p.component")
-                     .select(F.col("doc").alias("a"), F.col("p.doc").alias("b"), "size", F.col("p.size").alias("psize")))
-        else:                                        # all that is left between components
-            other = at.select("key", F.col("doc").alias("b"), F.col("size").alias("psize"), F.col("component").alias("other"))
-            pairs = at.join(other, "key").where("component < other").select(F.col("doc").alias("a"), "b", "size", "psize")
+                     .select(F.col("doc").alias("a"), F.col("p.doc").alias("b"), "size", F.col("p.size").alias("psize")).where(_fits(similarity))
+                     .groupBy("a", "b", "size", "psize").agg(F.count("*").alias("votes"))
+                     .groupBy("a").agg(F.max(F.struct("votes", "b", "size", "psize")).alias("p")).select("a", "p.b", "p.size", "p.psize"))
+        else:
+            pairs = _remaining_pairs(at, bits, similarity)
         pairs = materialize(_possible(pairs.where(_fits(similarity)).distinct(), bits, similarity), "jaccard-pairs")
         found = materialize(_verify(pairs, texts, k, similarity), "jaccard-verified")
         if found.isEmpty():
