@@ -39,13 +39,13 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate_lines(docs: DataFrame, host: Column, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, lines (sorted array of line hashes) of every host that has boilerplate."""
+    """__host, __lines (sorted array of line hashes) of every host that has boilerplate."""
     host = F.coalesce(host.cast("string"), F.lit("")).alias("__host")
     pages = docs.select(host).groupBy("__host").agg(F.count("*").alias("pages"))
     seen = docs.select(host, F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("line")).where("line is not null")
     counts = seen.groupBy("__host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     over = counts.join(pages, "__host").where(F.col("n") >= F.col("pages") * max_share)
-    return over.groupBy("__host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    return over.groupBy("__host").agg(F.sort_array(F.collect_list("line")).alias("__lines"))
 
 
 def drop_boilerplate(docs: DataFrame, host: Column, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
@@ -53,10 +53,10 @@ def drop_boilerplate(docs: DataFrame, host: Column, max_share: float = MAX_SHARE
     lists = materialize(boilerplate_lines(docs, host, max_share, min_pages), "boilerplate")
     columns = docs.columns
     rows = docs.withColumn("__host", F.coalesce(host.cast("string"), F.lit("")))
-    joined = join_lists(rows, lists, "__host", "lines")
+    joined = join_lists(rows, lists, "__host", "__lines")
     lines = _lines(F.col("text"))
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("lines"), _key(x)), F.lit(False)))
-    out = joined.withColumn("__kept", F.when(F.col("lines").isNull(), lines).otherwise(kept))
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__lines"), _key(x)), F.lit(False)))
+    out = joined.withColumn("__kept", F.when(F.col("__lines").isNull(), lines).otherwise(kept))
     text = F.array_join("__kept", "\n")
     extra = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
              F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long").alias("n_dropped")] if counts else []
