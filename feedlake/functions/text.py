@@ -29,7 +29,9 @@ def contains_ci(c: Column | str, query: Column | str, wildcards: bool = True) ->
     literal = F.contains(F.lower(c), F.lower(q))
     if not wildcards:
         return literal
-    pattern = F.like(F.lower(c), F.lower(F.concat(F.lit("%"), q, F.lit("%"))))
+    # a backslash is an ordinary character, not LIKE's escape
+    escaped = F.replace(q, F.lit("\\"), F.lit("\\\\"))
+    pattern = F.like(F.lower(c), F.lower(F.concat(F.lit("%"), escaped, F.lit("%"))))
     if isinstance(query, str):
         return pattern if any(ch in query for ch in "%_\\") else literal
     # a query without wildcard or escape characters means the same as a substring test,

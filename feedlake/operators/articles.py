@@ -20,7 +20,7 @@ POST_HOST = "https://note.com/"             # host of API article URLs
 POST_TAG = "note.com"                       # tag added to every API article
 RSS_TAGS = ["note.com", "rss"]              # constant tags of the XML transform
 RSS_LEVEL = "free"                          # constant level of the XML transform
-MAX_ITEMS = 50                              # XML items read per feed (GENERATOR ROWCOUNT)
+PARITY_ITEMS = 50                           # items per feed that the original view reads (GENERATOR ROWCOUNT)
 LOOKBACK_HOURS = 24                         # transform look-back
 SUMMARY_CHARS = 200                         # truncation summary
 PROMPT_CHARS = 2000                         # body characters in the summary prompt
@@ -185,9 +185,9 @@ def embed_input(title: Column, body: Column, n: int = EMBED_CHARS) -> Column:
 # ------------------------------------------------------------ pipeline C
 
 
-def parse_rss(raw: DataFrame, max_items: int | None = MAX_ITEMS, xml_col: str = "xml",
+def parse_rss(raw: DataFrame, max_items: int | None = None, xml_col: str = "xml",
               mode: str = "PERMISSIVE") -> DataFrame:
-    """P3 + J6: RSS items of each raw XML row, item index 0..max_items-1.
+    """P3 + J6: RSS items of each raw XML row, all of them; ``max_items=PARITY_ITEMS`` cuts as the original view does.
 
     The XML is parsed once per row with ``from_xml`` and the items are
     position-exploded; the reference's cross join with 50 generated indices

@@ -275,7 +275,8 @@ def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0,
     plain = ~F.col("query").rlike(r"[%_\\\\]")
 
     def hit(c):
-        like = F.like(F.col(c), F.concat(F.lit("%"), lq, F.lit("%")))
+        # a backslash is an ordinary character, not LIKE's escape
+        like = F.like(F.col(c), F.concat(F.lit("%"), F.replace(lq, F.lit("\\"), F.lit("\\\\")), F.lit("%")))
         return F.when(plain, F.contains(F.col(c), lq)).otherwise(like) if wildcards else F.contains(F.col(c), lq)
 
     score = (F.when(hit("l_title"), F.lit(TITLE_WEIGHT)).when(hit("l_summary"), F.lit(SUMMARY_WEIGHT))

@@ -108,3 +108,10 @@ def test_vector_batch_matches_brute_force_with_slices(spark):
         for r, (sc, pid) in enumerate(ranked, 1):
             want[(qid, r)] = (pid, round(sc, 9))
     assert got == want
+
+
+def test_backslash_is_an_ordinary_character(spark):
+    from feedlake.functions.text import contains_ci
+    df = spark.createDataFrame([("a\\b_c",), ("ab_c",), ("a\\bxc",)], "t string")
+    assert [r.t for r in df.where(contains_ci("t", "A\\b")).collect()] == ["a\\b_c", "a\\bxc"]
+    assert [r.t for r in df.where(contains_ci("t", F.lit("\\b_c"))).collect()] == ["a\\b_c", "a\\bxc"]
