@@ -231,8 +231,11 @@ def _shared_keys(table: pa.Table) -> pa.Table:
                      "size": pa.array(size[several]), "light": pa.array(light[several])})
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose texts link."""
+def _verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose texts link; only their texts are fetched, the least one of a repeated id."""
+    needed = materialize(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "jaccard-needed")
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(needed, "doc", "left_semi")
+             .groupBy("doc").agg(F.min("text").alias("text")))
     left = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
 
@@ -344,8 +347,6 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
     links = copies.union(shared.where("light").join(smallest, "key").where("doc <> b").select(F.col("doc").alias("a"), "b"))
     links = materialize(links.distinct(), "jaccard-links")
     lists = shared.where("not light").select("key", "doc", "size")
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(lists.select("doc").distinct(), "doc", "left_semi")
-                        .groupBy("doc").agg(F.min("text").alias("text")), "jaccard-texts")
 
     # rows that repeat an id bring a signature each; a pair stays if any two of them allow it
     bits = described.where("kind = 0 and n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "bits")
@@ -373,7 +374,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
         else:
             pairs = _remaining_pairs(at, bits, similarity)
         pairs = materialize(_possible(pairs.where(_fits(similarity)).distinct(), bits, similarity), "jaccard-pairs")
-        found = materialize(_verify(pairs, texts, k, similarity), "jaccard-verified")
+        found = materialize(_verify(pairs, docs, k, similarity), "jaccard-verified")
         if found.isEmpty():
             continue
         links = links.union(found)
