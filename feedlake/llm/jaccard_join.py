@@ -216,13 +216,16 @@ def list_entries(docs: DataFrame, frequent: np.ndarray, boundary: int, k: int, s
 
 
 def _shared_keys(table: pa.Table) -> pa.Table:
-    """One bucket: the entries of keys that two documents or more have."""
+    """One bucket: the entries of keys that two documents or more have, each once."""
     key, _ = X.joined(table.column("keys"), np.uint64)
     doc, _ = X.joined(table.column("docs"), np.int64)
     size, _ = X.joined(table.column("sizes"), np.int32)
     light, _ = X.joined(table.column("light"), bool)
-    order = np.lexsort((doc, key, light))
+    order = np.lexsort((size, doc, key, light))
     key, doc, size, light = key[order], doc[order], size[order], light[order]
+    if len(key):                                                 # rows that repeat an id bring equal entries
+        once = np.r_[True, (key[1:] != key[:-1]) | (light[1:] != light[:-1]) | (doc[1:] != doc[:-1]) | (size[1:] != size[:-1])]
+        key, doc, size, light = key[once], doc[once], size[once], light[once]
     new = np.r_[True, (key[1:] != key[:-1]) | (light[1:] != light[:-1])] if len(key) else np.empty(0, bool)
     first = np.flatnonzero(new)
     n = np.diff(np.r_[first, len(key)])
@@ -275,8 +278,8 @@ def _possible(pairs: DataFrame, bits: DataFrame, similarity: int) -> DataFrame:
         return F.when(F.size(own) > F.size(other), folded).otherwise(F.col(own))
 
     differ = F.aggregate(F.zip_with(fold("x", "y"), fold("y", "x"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    both = (pairs.join(bits.select(F.col("doc").alias("a"), F.col("bits").alias("x")), "a")
-            .join(bits.select(F.col("doc").alias("b"), F.col("bits").alias("y")), "b"))
+    ends = bits.select(F.col("doc").alias("b"), F.col("bits").alias("y")).join(pairs.select("b"), "b", "left_semi")
+    both = pairs.join(bits.select(F.col("doc").alias("a"), F.col("bits").alias("x")), "a").join(ends, "b")
     total = F.col("size") + F.col("psize")
     # null: signatures of other sets of a repeated id, which cannot be compared
     allowed = F.lit(100 + similarity) * (total - differ) >= F.lit(2 * similarity) * total
@@ -291,7 +294,11 @@ def _remaining_pairs(at: DataFrame, bits: DataFrame, similarity: int) -> DataFra
     signatures (folded to the least width) leave."""
     one = (at.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"))
            .groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).alias("parts")))
-    members = at.join(one, "key").join(bits, "doc").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(2)), F.col("parts")))
+    # folded before they are joined: a long set has many entries
+    words = F.transform(F.sequence(F.lit(0), F.lit(SIGNATURE_WORDS - 1)), lambda i: F.aggregate(
+        F.sequence(i, F.size("bits") - 1, F.lit(SIGNATURE_WORDS)), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get("bits", j))))
+    short = bits.select("doc", F.when(F.size("bits") > SIGNATURE_WORDS, words).otherwise(F.col("bits")).alias("bits"))
+    members = at.join(one, "key").join(short, "doc").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(2)), F.col("parts")))
     cells = members.select("key", "own", "doc", "size", "component", "bits", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     cells = cells.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
 
@@ -341,7 +348,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
     # copies are known already: one entry per class (and node)
     node = materialize(rows.where("n_shingles > 0 and doc_id is not null").join(classes, ["n_shingles", "f1", "f2"])
                        .select(F.col("doc_id").alias("doc"), "rep").distinct(), "jaccard-reps")
-    shared = materialize(shared.join(node.where("doc = rep").select("doc"), "doc", "left_semi").distinct(), "jaccard-lists")
+    reps = node.where("doc = rep").select("doc")
+    shared = materialize(shared.join(reps, "doc", "left_semi"), "jaccard-lists")
     copies = node.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     smallest = shared.where("light").groupBy("key").agg(F.min("doc").alias("b"))
     links = copies.union(shared.where("light").join(smallest, "key").where("doc <> b").select(F.col("doc").alias("a"), "b"))
@@ -350,20 +358,24 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
 
     # rows that repeat an id bring a signature each; a pair stays if any two of them allow it
     bits = described.where("kind = 0 and n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "bits")
-    # a text that others were copied from shares more of its lists than its copies do: the best pivots
-    degree = materialize(lists.join(lists.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("doc").agg(F.sum("n").alias("degree")), "jaccard-degree")
-    used = None
+    degree = used = None
     component = connected_components(links)
     for step in range(pivot_rounds + 1):
-        at = lists.join(component.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        split = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        at = materialize(at.join(split, "key", "left_semi"), "jaccard-open")
+        # the lists hold class representatives; most are still their own component
+        moved = component.where("node <> component").withColumnRenamed("node", "doc").join(reps, "doc", "left_semi")
+        at = lists.join(materialize(moved, "jaccard-moved"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        split = (at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+                 .where("low <> high").select("key", "n"))
+        at = materialize(at.join(split, "key"), "jaccard-open")
         if at.isEmpty():
             break
+        lists = at.select("key", "doc", "size")      # a list within one component stays so
+        if degree is None:                           # a text that others were copied from shares more of its lists than its copies do: the best pivots
+            degree = materialize(at.groupBy("doc").agg(F.sum("n").alias("degree")), "jaccard-degree")
         if step < pivot_rounds:                      # one pivot per list, another one each round
             free = at.join(degree, "doc")
             free = free if used is None else free.join(used, "doc", "left_anti")
-            pivot = free.groupBy("key").agg(F.max(F.struct("degree", "doc", "size", "component")).alias("p"))
+            pivot = materialize(free.groupBy("key").agg(F.max(F.struct("degree", "doc", "size", "component")).alias("p")).select("key", "p"), "jaccard-pivot")
             taken = pivot.select("p.doc").distinct()
             used = materialize(taken if used is None else used.union(taken), "jaccard-pivots")
             # a member takes one pivot, the one that most of its lists have
@@ -373,7 +385,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
                      .groupBy("a").agg(F.max(F.struct("votes", "b", "size", "psize")).alias("p")).select("a", "p.b", "p.size", "p.psize"))
         else:
             pairs = _remaining_pairs(at, bits, similarity)
-        pairs = materialize(_possible(pairs.where(_fits(similarity)).distinct(), bits, similarity), "jaccard-pairs")
+        pairs = materialize(pairs.where(_fits(similarity)).distinct(), "jaccard-candidates")
+        pairs = materialize(_possible(pairs, bits, similarity), "jaccard-pairs")
         found = materialize(_verify(pairs, docs, k, similarity), "jaccard-verified")
         if found.isEmpty():
             continue
