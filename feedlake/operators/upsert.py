@@ -158,6 +158,10 @@ def merge_report(merged: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ the three merges
 
 
+POSTS_BY_URL_SCHEMA = ("id string, title string, url string, published_at timestamp_ntz, body string, "
+                       "body_length long, first_fetched_at timestamp_ntz, last_updated_at timestamp_ntz")
+
+
 def merge_by_url(target: DataFrame, stream_rows: DataFrame, as_of: Column,
                  null_keys: str = "reject") -> DataFrame:
     """M1: upsert of article-view rows into ``core.posts_by_url`` by URL.
@@ -181,9 +185,11 @@ def merge_by_url(target: DataFrame, stream_rows: DataFrame, as_of: Column,
 
 
 def merge_by_url_into(target_path: str, stream_rows: DataFrame, as_of: Column, buckets: int = 64,
-                      schema=None) -> list[int]:
+                      schema=POSTS_BY_URL_SCHEMA) -> list[int]:
     """M1 applied in place to a bucketed ``posts_by_url`` table (touched buckets only).
 
+    A table that does not exist yet is made with ``schema``.
+
     The table keeps the merge's ``_action`` column as the action of the last
     merge that touched each row. Returns the rewritten buckets.
     """

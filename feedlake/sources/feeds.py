@@ -73,7 +73,9 @@ def load_xml_feeds(spark: SparkSession, path: str, fetched_at: Column | None = N
     rows = files.select("xml", fetched.alias("fetched_at"), "file_path")
     if validate:
         check = F.from_xml("xml", RSS_SCHEMA, {"rowTag": "rss", "mode": "FAILFAST"})
-        rows = rows.withColumn("n_items", F.size(check["channel"]["item"]).cast("long"))
+        n_items = F.size(check["channel"]["item"]).cast("long")
+        # true for every row that parses; a filter is never pruned, so count() or a narrow select checks, too
+        rows = rows.where(F.coalesce(n_items, F.lit(0)) >= -1).withColumn("n_items", n_items)
     return rows
 
 

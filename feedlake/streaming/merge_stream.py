@@ -4,9 +4,9 @@ The raw table is a folder of parquet files that only grows. A Structured
 Streaming file source over it is the append-only change stream: the
 checkpoint records which files were consumed, so each run sees only new
 rows, and the merge commits together with the offsets (``foreachBatch``).
-The target is a versioned table (``feedlake.sources.tables``) whose version
-is derived from the batch id, so a batch replayed after a failure rewrites
-the same version from the same base: exactly-once results.
+The target is a versioned table (``feedlake.sources.tables``); every batch is
+merged into the live version. M1 is idempotent, so a batch replayed after a
+failure changes no row: exactly-once results.
 """
 
 from __future__ import annotations
@@ -74,22 +74,22 @@ def merge_batch_fn(target_path: str, as_of: Column | None = None,
                    on_merged: Callable[[DataFrame, int], None] | None = None):
     """ST5: the ``foreachBatch`` body: merge one micro-batch into the target table.
 
-    Version ``batch_id + 1`` is built from version ``batch_id`` (or the live
-    one for the first batch), so replaying a batch gives the same table.
+    The next version is built from the live one, whatever the batch id, so a new
+    checkpoint on a table with a history loses nothing. A replayed batch meets its
+    own rows and changes none; its rows then have ``_action`` MATCHED. A missing
+    table starts empty.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = tables.current_version(spark, target_path)
-        # the table's versions follow the stream's batch ids (initial table = v0):
-        # a replayed batch b (already committed as b+1) is rebuilt from b again
-        base_version = current if current <= batch_id else batch_id
-        target = spark.read.parquet(f"{target_path}/v={base_version}")
+        target = tables.read_current(spark, target_path)
+        if target is None:
+            target = spark.createDataFrame([], U.POSTS_BY_URL_SCHEMA)
         if U.ACTION in target.columns:
             target = target.drop(U.ACTION)
         now = as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
         rows = snapshot(inserts_only(batch))
         merged = U.merge_by_url(target, rows, now)
-        tables.write_version(merged, target_path, version=batch_id + 1)
+        tables.write_version(merged, target_path)
         rows.unpersist()
         if on_merged is not None:
             on_merged(merged, batch_id)

@@ -35,8 +35,10 @@ def test_xml_load_failfast(spark, tmp_path):
     bad = tmp_path / "bad"
     bad.mkdir()
     _write(bad, "f.xml", "<rss><channel><item><title>a</title></chan")
-    with pytest.raises(Exception):
-        FD.load_xml_feeds(spark, str(bad)).collect()
+    loaded = FD.load_xml_feeds(spark, str(bad))
+    for read in (loaded, loaded.select("fetched_at"), loaded.select(F.count("*"))):
+        with pytest.raises(Exception):
+            read.collect()
 
 
 def test_json_arrays_become_rows(spark, tmp_path):
