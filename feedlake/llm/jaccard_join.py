@@ -6,8 +6,9 @@ aggregation), so copies cost one row each. Two sets of s <= t shingles link if t
 at least c(s, t) = ceil(S (s + t) / (100 + S)) of them (S = similarity in percent).
 
 * Light sets (at most ``boundary`` shingles): every size pair (s, t) that can link has a
-  fixed c(s, t); a set emits all its c(s, t)-subsets, and sets that share a subset link
-  without further checks.
+  fixed c(s, t); a set emits all its c(s, t)-subsets, and a set of s and one of t shingles
+  that share a subset link without further checks. Two sets of the larger size that meet
+  there need not link: they have subsets of their own size pair.
 * Heavy sets: inverted lists over the first s - ceil(S s / 100) + 1 shingles of a set in one
   global order, rare shingles first (frequent ones are counted over the whole corpus).
   Linking sets share a listed shingle. Light sets that could link with a heavy one are
@@ -62,6 +63,9 @@ BLOCK = 1024
 #: 64-bit words of a set's parity signature, at least.
 SIGNATURE_WORDS = 32
 
+#: Kinds of list entries: a shingle of a list, a subset of sets of one size, a subset of sets of two sizes.
+LISTED, SAME, MIXED = 0, 1, 2
+
 _KEY = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -156,9 +160,9 @@ def choose_boundary(sizes: dict[int, int], list_length: float, similarity: int =
     return min(range(most + 1), key=lambda x: (cost(x), x))
 
 
-def _subset_keys(own: np.ndarray, boundary: int, similarity: int) -> np.ndarray:
-    """Hash of every subset that a light set shares with the sets it links with, one family per size pair."""
-    s, keys = len(own), []
+def _subset_keys(own: np.ndarray, boundary: int, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every subset that a light set shares with the sets it links with, one family per size pair, and its kind."""
+    s, keys, kinds = len(own), [], []
     mixed = X.mix(own + _KEY)
     whole = np.add.reduce(mixed, keepdims=True)
     for t in partners(s, similarity):
@@ -167,7 +171,8 @@ def _subset_keys(own: np.ndarray, boundary: int, similarity: int) -> np.ndarray:
         low, high = min(s, t), max(s, t)
         left = np.array(list(combinations(range(s), s - c)), np.int64).reshape(math.comb(s, c), s - c)     # the shingles left out
         keys.append(X.mix(whole - mixed[left].sum(axis=1, dtype=np.uint64) + np.array([low * 1000 + high], np.uint64) * X._STEP[2]))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        kinds.append(np.full(len(keys[-1]), SAME if s == t else MIXED, np.int8))
+    return (np.concatenate(keys), np.concatenate(kinds)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int8))
 
 
 def list_entries(docs: DataFrame, frequent: np.ndarray, boundary: int, k: int, similarity: int, buckets: int) -> DataFrame:
@@ -194,25 +199,25 @@ def list_entries(docs: DataFrame, frequent: np.ndarray, boundary: int, k: int, s
                 rank = np.arange(len(h)) - np.repeat(cuts[:-1], size)
                 limit = np.where(size >= max(1, lowest), size - -(-similarity * size // 100) + 1, 0)
                 listed = rank < limit[doc]
-                key, owner, light = [h[order][listed]], [doc[listed]], [np.zeros(int(listed.sum()), bool)]
+                key, owner, kind = [h[order][listed]], [doc[listed]], [np.full(int(listed.sum()), LISTED, np.int8)]
                 for d in np.flatnonzero((size > 0) & (size <= boundary)):
-                    own = _subset_keys(h[cuts[d]:cuts[d + 1]], boundary, similarity)
+                    own, own_kind = _subset_keys(h[cuts[d]:cuts[d + 1]], boundary, similarity)
                     key.append(own)
                     owner.append(np.full(len(own), d))
-                    light.append(np.ones(len(own), bool))
-                key, owner, light = (np.concatenate(x) for x in (key, owner, light))
+                    kind.append(own_kind)
+                key, owner, kind = (np.concatenate(x) for x in (key, owner, kind))
                 bucket = (X.mix(key) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                key, owner, light = key[order], owner[order], light[order]
+                key, owner, kind = key[order], owner[order], kind[order]
                 at = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 present = np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(present, pa.int32()), *(pa.array([v[at[p]:at[p + 1]].tobytes() for p in present], pa.binary())
-                     for v in (key, ids[a:b][owner].astype(np.int64), np.minimum(size[owner], 2**31 - 1).astype(np.int32), light))],
-                    names=["bucket", "keys", "docs", "sizes", "light"])
+                     for v in (key, ids[a:b][owner].astype(np.int64), np.minimum(size[owner], 2**31 - 1).astype(np.int32), kind))],
+                    names=["bucket", "keys", "docs", "sizes", "kinds"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(
-        run, "bucket int, keys binary, docs binary, sizes binary, light binary")
+        run, "bucket int, keys binary, docs binary, sizes binary, kinds binary")
 
 
 def _shared_keys(table: pa.Table) -> pa.Table:
@@ -220,18 +225,30 @@ def _shared_keys(table: pa.Table) -> pa.Table:
     key, _ = X.joined(table.column("keys"), np.uint64)
     doc, _ = X.joined(table.column("docs"), np.int64)
     size, _ = X.joined(table.column("sizes"), np.int32)
-    light, _ = X.joined(table.column("light"), bool)
-    order = np.lexsort((size, doc, key, light))
-    key, doc, size, light = key[order], doc[order], size[order], light[order]
+    kind, _ = X.joined(table.column("kinds"), np.int8)
+    order = np.lexsort((size, doc, key, kind))
+    key, doc, size, kind = key[order], doc[order], size[order], kind[order]
     if len(key):                                                 # rows that repeat an id bring equal entries
-        once = np.r_[True, (key[1:] != key[:-1]) | (light[1:] != light[:-1]) | (doc[1:] != doc[:-1]) | (size[1:] != size[:-1])]
-        key, doc, size, light = key[once], doc[once], size[once], light[once]
-    new = np.r_[True, (key[1:] != key[:-1]) | (light[1:] != light[:-1])] if len(key) else np.empty(0, bool)
+        once = np.r_[True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (doc[1:] != doc[:-1]) | (size[1:] != size[:-1])]
+        key, doc, size, kind = key[once], doc[once], size[once], kind[once]
+    new = np.r_[True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])] if len(key) else np.empty(0, bool)
     first = np.flatnonzero(new)
     n = np.diff(np.r_[first, len(key)])
     several = np.repeat(doc[first] != doc[np.r_[first[1:], len(key)] - 1], n) if len(first) else new
     return pa.table({"key": pa.array(key.view(np.int64)[several]), "doc": pa.array(doc[several]),
-                     "size": pa.array(size[several]), "light": pa.array(light[several])})
+                     "size": pa.array(size[several]), "kind": pa.array(kind[several])})
+
+
+def _light_links(subsets: DataFrame) -> DataFrame:
+    """Links (a, b) between light sets that share a subset: in a family of one size to its least member,
+    in a family of two sizes to the least member of the other size."""
+    # the complement turns the greatest of (size, ~doc) into the least doc of the larger size
+    ends = subsets.groupBy("kind", "key").agg(F.min(F.struct("size", "doc")).alias("low"),
+                                              F.max(F.struct("size", F.bitwise_not("doc").alias("other"))).alias("high"))
+    least_high = F.bitwise_not("high.other")
+    other = (F.when(F.col("kind") == SAME, F.col("low.doc")).when(F.col("size") < F.col("high.size"), least_high)
+             .when(F.col("low.size") < F.col("size"), F.col("low.doc")))
+    return subsets.join(ends, ["kind", "key"]).select(F.col("doc").alias("a"), other.alias("b")).where("a <> b")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: int) -> DataFrame:
@@ -344,17 +361,15 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
         boundary = choose_boundary(sizes, float((top["n"].to_numpy(float) ** 2).sum()) / total, similarity)
 
     entries = list_entries(docs, frequent, boundary, k, similarity, groups)
-    shared = entries.groupBy("bucket").applyInArrow(_shared_keys, "key long, doc long, size int, light boolean")
+    shared = entries.groupBy("bucket").applyInArrow(_shared_keys, "key long, doc long, size int, kind tinyint")
     # copies are known already: one entry per class (and node)
     node = materialize(rows.where("n_shingles > 0 and doc_id is not null").join(classes, ["n_shingles", "f1", "f2"])
                        .select(F.col("doc_id").alias("doc"), "rep").distinct(), "jaccard-reps")
     reps = node.where("doc = rep").select("doc")
     shared = materialize(shared.join(reps, "doc", "left_semi"), "jaccard-lists")
     copies = node.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    smallest = shared.where("light").groupBy("key").agg(F.min("doc").alias("b"))
-    links = copies.union(shared.where("light").join(smallest, "key").where("doc <> b").select(F.col("doc").alias("a"), "b"))
-    links = materialize(links.distinct(), "jaccard-links")
-    lists = shared.where("not light").select("key", "doc", "size")
+    links = materialize(copies.union(_light_links(shared.where(F.col("kind") != LISTED))).distinct(), "jaccard-links")
+    lists = shared.where(F.col("kind") == LISTED).select("key", "doc", "size")
 
     # rows that repeat an id bring a signature each; a pair stays if any two of them allow it
     bits = described.where("kind = 0 and n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "bits")

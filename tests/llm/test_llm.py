@@ -151,6 +151,21 @@ def test_jaccard_components_match_brute_force(spark, texts, boundary):
     assert got == brute_components([(i, t) for i, t, _ in rows])
 
 
+@pytest.mark.parametrize("boundary", [None, 12])
+def test_jaccard_light_sets_link_at_their_own_sizes(spark, boundary):
+    """Two sets of the larger size of a size pair share enough for the pair, not for themselves."""
+    rows = []
+    for n in (9, 10, 11, 12, 14):
+        w = [f"n{n}w{j}" for j in range(n)]
+        rows += [(100 * n, " ".join(w), "a"), (100 * n + 1, " ".join([*w[:-1], "end"]), "a")]
+        if n == 14:                      # a prefix of both links with both
+            rows.append((100 * n + 2, " ".join(w[:-1]), "a"))
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(make(spark, rows), boundary=boundary).collect())
+    assert got == brute_components([(i, t) for i, t, _ in rows])
+    by = {i: c for i, _, c in got}
+    assert by[901] == 901 and by[1401] == by[1402] == 1400
+
+
 def test_jaccard_edges(spark, texts):
     out = jaccard_join.jaccard_components(make(spark, texts))
     rows = out.collect()
