@@ -7,7 +7,7 @@ Base patterns (leftmost, non-overlapping, per kind) give strong spans:
 * ``hex``: a run of at least 24 lower-case hexadecimal digits.
 
 Weak candidates are parts that mean little alone: ``secret`` (a 40-character base64 run with
-both letter cases and a digit), ``ident`` (a client, account or user name in an assignment)
+both letter cases and a digit; it may follow an equals sign), ``ident`` (a client, account or user name in an assignment)
 and ``endpoint`` (a URL or host with a port). Every part claims a scope, ``reach`` code
 points to both sides. An interval join, by cells of ``reach`` code points so that it is an
 equi-join, links parts of one document whose scopes hold each other. Weak candidates are
@@ -42,7 +42,7 @@ BASE = {
     "hex": (r"([0-9a-f])([0-9a-f]{23,})", 24),
 }
 WEAK = {
-    "secret": (r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-]))(?=[^A-Z]{0,39}[A-Z])(?=[^a-z]{0,39}[a-z])(?=[^0-9]{0,39}[0-9])[A-Za-z0-9+/]{40}", 40),
+    "secret": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-]))(?=[^A-Z]{0,39}[A-Z])(?=[^a-z]{0,39}[a-z])(?=[^0-9]{0,39}[0-9])[A-Za-z0-9+/]{40}", 40),
     "ident": (r"""(?i:\b(client_?id|account_?id|access_?key_?id|user_?name|login))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", 3),
     "endpoint": (r"(?i:\b(https?|postgres|postgresql|mysql|mongodb|redis|amqp|ftp)://)([A-Za-z0-9._~%:/@-]{4,})", 8),
 }
