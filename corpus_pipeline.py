@@ -22,9 +22,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source are taken out of its documents; n_chars follows the text."""
+    """Boilerplate lines of a source are taken out of its documents; n_chars follows the text.
+
+    Copies are still there at this stage, so each distinct text of a source counts once."""
     ship(spark)
-    out = line_dedup.drop_boilerplate(docs, F.col("source"))
+    out = line_dedup.drop_boilerplate(docs, F.col("source"), distinct_texts=True)
     kind = docs.schema["n_chars"].dataType
     return out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.col("n_chars")).cast(kind)).select(*docs.columns)
 

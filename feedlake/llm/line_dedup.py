@@ -10,8 +10,16 @@ hot host has arrives as one row per task. A host keeps at most (lines per page)
 dropped lines; they go to the pages as one array per host, broadcast if their measured size
 allows and by a skew-split join otherwise, so the texts are not shuffled in the first case.
 
+With ``distinct_texts`` a page is a distinct whole text of its host: copies count once, in
+a line's pages and in the host's pages, so a text that was copied often does not make its
+own lines boilerplate (near-duplicate removal, later, could not tell emptied copies from
+other empty texts). The distinct (host, text hash, line hashes) are aggregated map-side, so
+copies arrive as one row per task and texts are not shuffled. Without it (the default, and
+what the SQL of op10_line_dedup counts) every row is a page.
+
 Edge cases: a null text stays null; null hosts share one host; a text all of whose lines go
-becomes empty; rows that repeat an id count as pages of their own; hosts with fewer than
+becomes empty; rows that repeat an id count as pages of their own (with
+``distinct_texts``, if their texts differ); hosts with fewer than
 ``min_pages`` pages lose nothing. Extra columns pass unchanged.
 """
 
@@ -38,19 +46,26 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def boilerplate_lines(docs: DataFrame, host: Column, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, host: Column, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES,
+                      distinct_texts: bool = False) -> DataFrame:
     """__host, __lines (sorted array of line hashes) of every host that has boilerplate."""
     host = F.coalesce(host.cast("string"), F.lit("")).alias("__host")
-    pages = docs.select(host).groupBy("__host").agg(F.count("*").alias("pages"))
-    seen = docs.select(host, F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("line")).where("line is not null")
+    lines = F.array_distinct(F.transform(_lines(F.col("text")), _key))
+    if distinct_texts:
+        rows = docs.select(host, F.xxhash64("text").alias("text"), lines.alias("lines")).distinct()
+    else:
+        rows = docs.select(host, lines.alias("lines"))
+    pages = rows.groupBy("__host").agg(F.count("*").alias("pages"))
+    seen = rows.select("__host", F.explode("lines").alias("line")).where("line is not null")
     counts = seen.groupBy("__host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     over = counts.join(pages, "__host").where(F.col("n") >= F.col("pages") * max_share)
     return over.groupBy("__host").agg(F.sort_array(F.collect_list("line")).alias("__lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: Column, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: Column, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, counts: bool = False,
+                     distinct_texts: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; with ``counts``, also n_lines and n_dropped (long)."""
-    lists = materialize(boilerplate_lines(docs, host, max_share, min_pages), "boilerplate")
+    lists = materialize(boilerplate_lines(docs, host, max_share, min_pages, distinct_texts), "boilerplate")
     columns = docs.columns
     rows = docs.withColumn("__host", F.coalesce(host.cast("string"), F.lit("")))
     joined = join_lists(rows, lists, "__host", "__lines")

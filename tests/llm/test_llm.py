@@ -353,6 +353,20 @@ def test_line_dedup(spark, texts):
     assert line_dedup.drop_boilerplate(docs.limit(0), F.col("source")).count() == 0
 
 
+def test_line_dedup_counts_copies_once(spark):
+    import corpus_pipeline
+    copied = "a text that was copied\nof two lines"
+    rows = [(i, copied, "a") for i in range(60)] + [(100 + i, f"own text {i}\nshared line", "a") for i in range(120)]
+    rows += [(300 + i, None, "a") for i in range(3)]
+    out = corpus_pipeline.line_stage(spark, make(spark, rows), "")
+    got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert all(got[i] == (copied, len(copied)) for i in range(60))
+    assert all(got[100 + i][0] == f"own text {i}" for i in range(120)) and got[300][0] is None
+    few = [(i, copied, "a") for i in range(20)] + [(100 + i, f"x{i}\nrare", "a") for i in range(9)]      # 9 distinct texts with the line
+    out = line_dedup.drop_boilerplate(make(spark, few), F.col("source"), distinct_texts=True)
+    assert sorted(tuple(r)[:2] for r in out.collect()) == sorted((i, t) for i, t, _ in few)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     folder = "/root/testdata/sf0.001"
