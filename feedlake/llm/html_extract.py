@@ -9,8 +9,10 @@ to the end of the page). Then:
    pre-aggregated per task). Subtrees on at least ``min_pages`` pages and ``min_share`` of
    the host's pages are the site's template and are deleted;
 2. elements that never belong to the text (navigation, header and footer of the site,
-   asides, forms, scripts, styles, and elements whose class, id or role names menus,
-   sidebars, notices, adverts or comments) are deleted;
+   asides, forms, scripts, styles, graphics, and elements whose class, id or role names menus,
+   sidebars, notices, adverts or comments) are deleted. Names that only say what a layout
+   has or lacks (has-sidebar, no-header, with-menu) do not count, nor do names of an element
+   that wraps a main element or, if no article stands outside such elements, an article;
 3. if the page has main content (article, main, role=main), only that is kept. Paragraphs,
    headings and list items inside it are never taken for a template, so a sentence that many
    articles share stays.
@@ -41,13 +43,15 @@ MIN_PAGES = 10
 MIN_SHARE = 0.3
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span "
                     "strike strong sub sup time tt u var wbr".split())
 _DROPPED = frozenset("head nav header footer aside form button input menu dialog figcaption title".split()) - {"figcaption"}
+#: Elements whose content is no text, up to their end tag or their parent's end. They are not part of the tree.
+_SKIPPED = frozenset("svg object iframe select noscript template".split())
 _MAIN = frozenset(("article", "main"))
 _TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th".split())
 #: Tags whose start ends an open element of the second list.
@@ -55,27 +59,31 @@ _ENDS = {t: ("p",) for t in "p div ul ol dl table section article aside header f
 _ENDS |= {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th"),
           "option": ("option",)}
 #: An implied end does not reach beyond these.
-_SCOPE = frozenset("ul ol dl table div section article aside header footer nav main form body html blockquote td th li".split())
+_SCOPE = frozenset("ul ol dl table div section article aside header footer nav main form body html blockquote td th li".split()) | _SKIPPED
 _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side-?bar|"
     r"footers?|headers?|masthead|cookies?|consent|notices?|newsletters?|subscribe|popup|modal|comments?|replies|disqus|respond|share|sharing|social|related|"
     r"widgets?|pagination|pager|toolbar|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+#: What a name says of the layout around an element, not of the element.
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with)[_-]\S*", re.I)
 
 
 class Element:
-    __slots__ = ("tag", "noise", "main", "mark", "children")
+    #: noise: by its kind; named: by class, id or role; main: article, main or role=main.
+    __slots__ = ("tag", "noise", "named", "main", "mark", "children")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children = tag, []
-        self.noise, self.main, self.mark = tag in _DROPPED, tag in _MAIN, tag
+        self.noise, self.named, self.main, self.mark = tag in _DROPPED, False, tag in _MAIN, tag
         if attributes:
             for name, *values in _ATTRIBUTE.findall(attributes):
                 value = "".join(values)
                 self.mark += f" {name.lower()}={value}"
-                if value and tag not in ("body", "html", "article", "main") and _NOISE.search(value):
-                    self.noise = True
+                if value and tag not in ("body", "html", "article", "main") and _NOISE.search(value) and _NOISE.search(_LAYOUT.sub("", value)):
+                    self.named = True
                 if name.lower() == "role" and value.strip().lower() == "main":
                     self.main = True
+            self.named = self.named and not self.main
 
 
 def parse(text: str) -> Element:
@@ -106,7 +114,8 @@ def parse(text: str) -> Element:
                 if stack[i].tag in _SCOPE:
                     break
         element = Element(tag, m[4])
-        stack[-1].children.append(element)
+        if tag not in _SKIPPED:
+            stack[-1].children.append(element)
         if tag not in _VOID and not m[4].endswith("/"):
             stack.append(element)
     if at < len(text):
@@ -142,12 +151,39 @@ def subtree_hashes(root: Element) -> dict[int, int]:
     return out
 
 
+def _keep_wrappers(root: Element) -> None:
+    """Elements that wrap main content are not noise by their name."""
+    def wrappers(is_content) -> tuple[list[Element], bool]:
+        """Named elements around such content, and whether some of it stands outside of them."""
+        found: list[Element] = []
+        free, stack = False, [(root, ())]
+        while stack:
+            e, around = stack.pop()
+            if e.noise:
+                continue
+            if is_content(e):
+                found += around
+                free = free or not around
+            if e.named:
+                around = (*around, e)
+            stack.extend((c, around) for c in e.children if not isinstance(c, str))
+        return found, free
+
+    for e in wrappers(lambda e: e.main and e.tag != "article")[0]:
+        e.named = False
+    # with an article outside, those inside named elements are comments or teasers
+    found, free = wrappers(lambda e: e.tag == "article")
+    if not free:
+        for e in found:
+            e.named = False
+
+
 def _main_parts(root: Element) -> list[Element]:
     """Outermost main elements outside deleted ones."""
     found, stack = [], [root]
     while stack:
         e = stack.pop()
-        if e.noise:
+        if e.noise or e.named:
             continue
         if e.main:
             found.append(e)
@@ -160,6 +196,7 @@ def extract(text: str, template: frozenset[int] | set[int] = frozenset()) -> str
     """Main text of a page; ``template``: subtree hashes to delete."""
     root = parse(text)
     hashes = subtree_hashes(root) if template else {}
+    _keep_wrappers(root)
     parts = _main_parts(root)
     if any(p.tag == "main" or p.tag not in _MAIN for p in parts):        # articles inside a main element come with it
         parts = [p for p in parts if p.tag != "article"] or parts
@@ -182,7 +219,7 @@ def extract(text: str, template: frozenset[int] | set[int] = frozenset()) -> str
                 run.append(e)
             elif e.tag == "br":
                 run.append(" ")
-            elif not (e.noise or (hashes and hashes.get(id(e)) in template and not (parts and (e is part or e.tag in _TEXT_BLOCKS or e.tag in _INLINE)))):
+            elif not (e.noise or e.named or (hashes and hashes.get(id(e)) in template and not (parts and (e is part or e.tag in _TEXT_BLOCKS or e.tag in _INLINE)))):
                 if e.tag not in _INLINE:
                     flush()
                     todo.append(None)

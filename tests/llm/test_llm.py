@@ -233,6 +233,25 @@ def test_html_extraction(spark):
     assert all(got[10 + i][0] == f"Story {i} words" for i in range(12))
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='content has-sidebar'><article><p>one</p></article></div><div class='sidebar'>s</div>", "one"),
+    ("<div class='content no-sidebar'><p>one</p></div>", "one"),
+    ("<div class='page with-header'><div class='layout-with-left-menu'><p>one</p></div></div>", "one"),
+    ("<div class='casino-ads'><p>buy</p></div><p>one</p>", "one"),
+    ("<div class='sidebar-left'><article><p>one</p></article><div class='sidebar'>s</div></div>", "one"),
+    ("<div class='widget'><div id=header><main><p>one</p></main></div></div>", "one"),
+    ("<div role=main class='search content'><p>one</p></div><p>two</p>", "one"),
+    ("<main><div class='sidebar-left'><article><p>one</p></article></div></main>", "one"),
+    ("<article><p>one</p><div id=comments><article class=comment><p>c</p></article></div></article><div class=related><article>r</article></div>", "one"),
+    ("<article><p>one <svg class='i'/> two</p><p>three</p></article><svg><title>t</title></svg>", "one two\n\nthree"),
+    ("<article><div>one <svg class='i'> <path d=''> x</div><p>two</p></article><svg></svg>", "one\n\ntwo"),
+    ("<article><p>one <object data=x/> two</p><p>three <iframe src=x></p><p>four</p></article>", "one two\n\nthree\n\nfour"),
+    ("<article><p>one <object><p>x</p></object> two <select><option>a<option>b</select></p><noscript><p>n</p></noscript><svg><text>t</text></svg></article>", "one two"),
+])
+def test_html_keeps_whole_articles(page, text):
+    assert html_extract.extract(f"<html><body>{page}</body></html>") == text
+
+
 def test_url_filter_is_as_of(spark):
     at = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
     entries = spark.createDataFrame([("host", "a.example.com", "block", at(10)), ("host", "a.example.com", "remove", at(50)), ("domain", "example.com", "block", at(40)),
