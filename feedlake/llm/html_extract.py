@@ -5,9 +5,10 @@ light element tree (void elements, implied ends of p, li, td and the like, unclo
 to the end of the page). Then:
 
 1. each element below ``body`` that holds text gets a hash of its whole subtree (tag, class,
-   text and children); Spark counts, per host, the pages that hold it (each page once,
-   pre-aggregated per task). Subtrees on at least ``min_pages`` pages and ``min_share`` of
-   the host's pages are the site's template and are deleted;
+   text and children); Spark counts, per host, the distinct pages that hold it (copies of a
+   page, by the hash of its html, once, here and in the host's pages). Subtrees on at least
+   ``min_pages`` pages and ``min_share`` of the host's pages are the site's template and are
+   deleted;
 2. elements that never belong to the text (navigation, header and footer of the site,
    asides, forms, scripts, styles, graphics, and elements whose class, id or role names menus,
    sidebars, notices, adverts or comments) are deleted. Names that only say what a layout
@@ -239,25 +240,27 @@ def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: f
 
     At most 1 / min_share hashes per average element of a page remain for a host."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, int], int] = {}
+        done: set[tuple[str, int]] = set()           # saves parsing copies; those it forgets go in distinct()
         for batch in batches:
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root = parse(text or "")
-                for h in set(subtree_hashes(root).values()):
-                    counts[host, h] = counts.get((host, h), 0) + 1
-            if len(counts) > 200_000:                # send what has been counted, not all of a partition at once
-                yield _rows(counts)
-                counts = {}
-        yield _rows(counts)
-
-    def _rows(counts):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())],
-            names=["host", "subtree", "n"])
-
-    hosts = pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
-    seen = (pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, subtree long, n long")
-            .groupBy("host", "subtree").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages))
+            hosts, hashes, found = [], [], []
+            if len(done) > 200_000:
+                done.clear()
+            for host, page, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (host, page) in done:
+                    continue
+                done.add((host, page))
+                hosts.append(host)
+                hashes.append(page)
+                found.append(sorted(set(subtree_hashes(parse(text or "")).values())))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                                             names=["host", "page", "subtrees"])
+
+    page = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
+    hosts = page.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    # copies have equal lists: one row each is left before the lists are taken apart
+    distinct = page.mapInArrow(run, "host string, page long, subtrees array<long>").distinct()
+    seen = (distinct.select("host", F.explode("subtrees").alias("subtree"))
+            .groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
     return (seen.join(hosts, "host").where(F.col("n") >= F.col("pages") * min_share)
             .groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("subtrees")))
 

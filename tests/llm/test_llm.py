@@ -252,6 +252,18 @@ def test_html_keeps_whole_articles(page, text):
     assert html_extract.extract(f"<html><body>{page}</body></html>") == text
 
 
+def test_html_copies_of_a_page_are_no_template(spark):
+    story = lambda i: f"<div class='top'>Our site</div><article><div class='body'><div>Story {i} in a div</div></div></article>"
+    plain = lambda i: f"<div class='top'>Our site</div><div><p>Page {i} in a paragraph</p></div>"
+    rows = [(i, "http://a.example/copy", story("copied")) for i in range(12)] + [(100 + i, "http://a.example/x", story(i)) for i in range(15)]
+    rows += [(200 + i, "http://b.example/copy", plain("copied")) for i in range(12)] + [(300 + i, "http://b.example/x", plain(i)) for i in range(15)]
+    ship(spark)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages).collect()}
+    assert all(got[i] == "Story copied in a div" and got[200 + i] == "Page copied in a paragraph" for i in range(12))
+    assert all(got[100 + i] == f"Story {i} in a div" and got[300 + i] == f"Page {i} in a paragraph" for i in range(15))
+
+
 def test_url_filter_is_as_of(spark):
     at = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
     entries = spark.createDataFrame([("host", "a.example.com", "block", at(10)), ("host", "a.example.com", "remove", at(50)), ("domain", "example.com", "block", at(40)),
