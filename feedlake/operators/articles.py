@@ -171,15 +171,15 @@ def summary_trunc(body: Column, n: int = SUMMARY_CHARS) -> Column:
     return F.concat(F.left(body, F.lit(n)), F.lit("..."))
 
 
-def summary_prompt(title: Column, body: Column, n: int = PROMPT_CHARS) -> Column:
-    """The summarisation prompt."""
+def summary_prompt(title: Column, body: Column, n: int | None = None) -> Column:
+    """The summarisation prompt over the whole body; ``n=PROMPT_CHARS`` cuts it as the reference does."""
     return F.concat(F.lit(PROMPT_HEAD), F.lit("Title: "), title, F.lit("\n\n"),
-                    F.lit("Content: "), F.left(body, F.lit(n)))
+                    F.lit("Content: "), body if n is None else F.left(body, F.lit(n)))
 
 
-def embed_input(title: Column, body: Column, n: int = EMBED_CHARS) -> Column:
-    """Title, a space, first n body characters ('' for a NULL body)."""
-    return F.concat(title, F.lit(" "), F.coalesce(F.left(body, F.lit(n)), F.lit("")))
+def embed_input(title: Column, body: Column, n: int | None = None) -> Column:
+    """Title, a space, the body ('' for a NULL body); ``n=EMBED_CHARS`` cuts it as the reference does."""
+    return F.concat(title, F.lit(" "), F.coalesce(body if n is None else F.left(body, F.lit(n)), F.lit("")))
 
 
 # ------------------------------------------------------------ pipeline C

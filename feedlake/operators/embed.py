@@ -72,12 +72,12 @@ def default_summarizer(title: Column, body: Column) -> Column:
 
 def enrich(df: DataFrame, embedder: Embedder | None = None,
            summarizer: Callable[[Column, Column], Column] | None = None,
-           title: str = "title", body: str = "body_markdown") -> DataFrame:
-    """E1 + E3 on an article frame: adds ``summary`` and ``emb``."""
+           title: str = "title", body: str = "body_markdown", embed_chars: int | None = None) -> DataFrame:
+    """E1 + E3 on an article frame: adds ``summary`` and ``emb`` (of the whole body, or its first ``embed_chars``)."""
     embedder = embedder or hashing_embedder()
     summarizer = summarizer or default_summarizer
     df = df.withColumn("summary", summarizer(F.col(title), F.col(body)))
-    df = df.withColumn("__embed_in", embed_input(F.col(title), F.col(body)))
+    df = df.withColumn("__embed_in", embed_input(F.col(title), F.col(body), embed_chars))
     return embedder(df, "__embed_in", "emb").drop("__embed_in")
 
 

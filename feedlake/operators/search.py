@@ -189,7 +189,8 @@ def _anchor_candidates(req_grams: DataFrame, index: DataFrame, key: str) -> Data
 
 
 def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0,
-                    gram: int = 3, wildcards: bool = True, as_of: Column | None = None) -> DataFrame:
+                    gram: int = 3, wildcards: bool = True, as_of: Column | None = None,
+                    with_rejects: bool = False) -> DataFrame:
     """R6 over a table of requests ``(student_id, query, limit)``.
 
     * Requests with a query get R2 scores. Candidates come from equi-joins on
@@ -202,13 +203,15 @@ def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0,
       field iff it has at least as many characters as the query has ``_``:
       their answer is a global top-20 under the R2 order, joined by rank.
     * Requests without a query get the stable random order (R5) the same way.
-    * Limits outside 1..20 are rejected (filtered); scores stay in [0, 1].
+    * Limits outside 1..20 (or requests without a student) are rejected: left out, or with
+      ``with_rejects`` answered with no recommendations; scores stay in [0, 1].
 
     Result: one row per request with ``recommendations`` as an array of structs
-    ordered by rank, ``total_count`` and ``generated_at``.
+    ordered by rank, ``total_count`` and ``generated_at``; with ``with_rejects`` also
+    ``status`` (``ok`` or why the request was rejected).
     """
     generated_at = as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
-    valid, _ = validate_requests(requests)
+    valid, rejected = validate_requests(requests)
     p = posts.where(F.col("summary").isNotNull()).select(
         "id", "title", "summary", "body_markdown", "url", "published_at")
     order = [F.desc("score"), F.desc_nulls_first("published_at"), F.asc("article_id")]
@@ -334,12 +337,18 @@ def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0,
     grouped = hits.groupBy("student_id").agg(F.sort_array(F.collect_list(rec)).alias("recs"))
     out = valid.select("student_id").join(grouped, "student_id", "left")
     recs = F.coalesce(F.col("recs"), F.array().cast(grouped.schema["recs"].dataType))
-    return out.select(
+    out = out.select(
         "student_id",
         F.transform(recs, lambda r: r.dropFields("rank")).alias("recommendations"),
         F.size(recs).cast("long").alias("total_count"),
         generated_at.alias("generated_at"),
     )
+    if not with_rejects:
+        return out
+    reason = F.when(F.col("student_id").isNull(), F.lit("no student_id")).otherwise(F.lit(f"limit outside {MIN_LIMIT}..{MAX_LIMIT}"))
+    return out.withColumn("status", F.lit("ok")).unionByName(rejected.select(
+        "student_id", F.array().cast(out.schema["recommendations"].dataType).alias("recommendations"),
+        F.lit(0).cast("long").alias("total_count"), generated_at.alias("generated_at"), reason.alias("status")))
 
 
 # ---------------------------------------------------------------- R3, batch of query vectors

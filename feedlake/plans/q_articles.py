@@ -134,7 +134,7 @@ FROM api_typed""")
 def prompt(spark, sf_dir):
     """Summarisation prompt (compared by md5 and length)."""
     a = _api(spark, sf_dir, lookback_hours=None, item_type=None)
-    p = A.summary_prompt(F.col("title"), F.col("body_markdown"))
+    p = A.summary_prompt(F.col("title"), F.col("body_markdown"), A.PROMPT_CHARS)
     return a.select("id", F.md5(p).alias("prompt_md5"), F.length(p).alias("prompt_length"))
 
 
@@ -143,7 +143,7 @@ SELECT id, title || ' ' || COALESCE(left(body_markdown, 1000), '') AS embed_inpu
 def embed_input_q(spark, sf_dir):
     """Embedding input text."""
     a = _api(spark, sf_dir, lookback_hours=None, item_type=None)
-    return a.select("id", A.embed_input(F.col("title"), F.col("body_markdown")).alias("embed_input"))
+    return a.select("id", A.embed_input(F.col("title"), F.col("body_markdown"), A.EMBED_CHARS).alias("embed_input"))
 
 
 XML_ITEMS = f"""xml_items AS (

@@ -23,3 +23,10 @@ def test_enrich_adds_summary_and_embedding(spark):
     df = spark.createDataFrame([("T", "x" * 300)], "title string, body_markdown string")
     r = enrich(df, embedder=hashing_embedder(dim=8)).first()
     assert r["summary"] == "x" * 200 + "..." and len(r["emb"]) == 8
+
+
+def test_enrich_embeds_the_whole_body(spark):
+    df = spark.createDataFrame([("T", "a " * 600 + "end"), ("T", "a " * 600 + "other")], "title string, body_markdown string")
+    whole = [r["emb"] for r in enrich(df).collect()]
+    cut = [r["emb"] for r in enrich(df, embed_chars=1000).collect()]
+    assert whole[0] != whole[1] and cut[0] == cut[1]

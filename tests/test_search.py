@@ -85,6 +85,15 @@ def test_recommend_batch_matches_brute_force(spark):
     assert all(r["total_count"] == len(r["recommendations"]) for r in out)
 
 
+def test_recommend_batch_answers_rejected_requests_on_request(spark):
+    reqs = [("s1", "alpha", 2), ("s2", "x", 0), ("s3", None, 21), ("s4", None, None), (None, "alpha", 3)]
+    rdf = spark.createDataFrame(reqs, "student_id string, query string, limit int")
+    out = S.recommend_batch(rdf, _posts(spark), seed=3, with_rejects=True).collect()
+    got = {r["student_id"]: (r["status"], r["total_count"]) for r in out}
+    assert len(out) == len(reqs) and got.pop("s1")[0] == "ok"
+    assert got == {"s2": ("limit outside 1..20", 0), "s3": ("limit outside 1..20", 0), "s4": ("limit outside 1..20", 0), None: ("no student_id", 0)}
+
+
 def test_vector_batch_matches_brute_force_with_slices(spark):
     import math
     import random
