@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedlake.llm import (decontamination, html_extract, jaccard_join, line_dedup, packing, quality_rules, secret_scan, ship,
-                          suffix_dedup, token_files, url_filter)
+from feedlake.llm import (decontamination, fill_middle, html_extract, jaccard_join, line_dedup, packing, quality_rules, secret_scan,
+                          sharding, ship, suffix_dedup, token_files, url_filter, vector_codes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -151,3 +151,70 @@ FROM documents d LEFT JOIN texts t ON d.doc_id = t.doc_id
 def _op10(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate(docs, F.col("source"), counts=True)
+
+
+def _op11_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds of codebook and assignment as a chain of common table expressions."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+  SELECT x.vec_id, x.p, arg_min(b.k, (list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(x.v, b.v)]), b.k)) AS k,
+         min(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(x.v, b.v)])) AS d
+  FROM parts x JOIN book{i} b ON x.p = b.p GROUP BY x.vec_id, x.p)""")
+        if i < rounds:
+            steps.append(f"""means{i} AS (
+  SELECT p, k, list(m ORDER BY j) AS v FROM (
+    SELECT n.p, n.k, t.j, CAST(floor(sum(x.v[t.j]) / count(*)) AS BIGINT) AS m
+    FROM near{i} n JOIN parts x ON n.vec_id = x.vec_id AND n.p = x.p CROSS JOIN (SELECT unnest(range(1, 1 + (SELECT max(len(v)) FROM parts))) AS j) t GROUP BY n.p, n.k, t.j) GROUP BY p, k),
+book{i + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.v, b.v) AS v FROM book{i} b LEFT JOIN means{i} m ON b.p = m.p AND b.k = m.k)""")
+    chain = ",\n".join(steps)
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, embedding AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, p, [CAST(floor(1024 * CAST(e[p * (len(e) // 4) + i + 1] AS DOUBLE)) AS BIGINT) for i in range(len(e) // 4)] AS v
+  FROM kept, (SELECT unnest(range(4)) AS p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept QUALIFY k < 256),
+book0 AS MATERIALIZED (SELECT p, k, v FROM parts JOIN first USING (vec_id)),
+{chain},
+coded AS (
+  SELECT vec_id, string_agg(lpad(lower(to_hex(k)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id),
+sums AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM coded JOIN kept USING (vec_id) GROUP BY label),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM book{rounds})
+SELECT c.vec_id, c.code, c.error, s.label_error, (SELECT codebooks_sha256 FROM digest) AS codebooks_sha256
+FROM coded c JOIN kept x ON c.vec_id = x.vec_id JOIN sums s ON x.label IS NOT DISTINCT FROM s.label
+"""
+
+
+@_query("op11_vector_codes", _op11_sql())
+def _op11(spark, sf_dir):
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op12_sharding")
+def _op12(spark, sf_dir):
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
+_OP13_SQL = """
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t,
+         sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+numbers AS (
+  SELECT doc_id, text, t, len(t) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(t) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(t) + 1) AS b,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS h4 FROM units),
+formed AS (
+  SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 50 THEN 'plain'
+                               WHEN h4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(t[1:least(a, b)], '') AS p, array_to_string(t[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(t[greatest(a, b) + 1:], '') AS s FROM numbers)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM formed
+"""
+
+
+@_query("op13_fill_middle", _OP13_SQL)
+def _op13(spark, sf_dir):
+    return fill_middle.digests(fill_middle.fill_in_middle(_table(spark, sf_dir, "documents")))
