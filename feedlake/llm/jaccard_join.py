@@ -2,7 +2,7 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles. Documents of equal
 sets are one class from the start (grouped by size and a 128-bit fingerprint, with map-side
-aggregation), so copies cost one row each. Two sets of s <= t shingles link if they share
+aggregation), and of large classes only the representative is listed at all. Two sets of s <= t shingles link if they share
 at least c(s, t) = ceil(S (s + t) / (100 + S)) of them (S = similarity in percent).
 
 * Light sets (at most ``boundary`` shingles): every size pair (s, t) that can link has a
@@ -55,16 +55,23 @@ MAX_LIGHT = 16
 #: bound touches cost only: any one global order gives the same links.
 FREQUENT = 1 << 19
 #: Repeats within a chunk from which a shingle is reported as possibly frequent.
-LOCAL_REPEATS = 4
+LOCAL_REPEATS = 2
 PIVOT_ROUNDS = 2
 
+#: Classes of copies that are told to every task, the largest ones (about 40 bytes each), and the
+#: least number of their rows. The bound touches cost only: entries of other copies are dropped later.
+KNOWN_CLASSES, CLASS_ROWS = 1 << 14, 16
+#: List entries that one bucket should hold.
+BUCKET_ENTRIES = 1 << 19
+
 #: Members of a list that are compared with each other at once.
 BLOCK = 1024
 #: 64-bit words of a set's parity signature, at least.
 SIGNATURE_WORDS = 32
 
-#: Kinds of list entries: a shingle of a list, a subset of sets of one size, a subset of sets of two sizes.
-LISTED, SAME, MIXED = 0, 1, 2
+#: Kinds of list entries: a shingle of a list, a subset of sets of one size, a subset of sets of
+#: two sizes. OFTEN is added if the shingle, or every one of the subset, is known to be frequent.
+LISTED, SAME, MIXED, OFTEN = 0, 1, 2, 4
 
 _KEY = np.uint64(0x6A09E667F3BCC909)
 
@@ -106,6 +113,12 @@ def _chunk_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray
         yield a, b, *shingle_sets(d, o, k)
 
 
+def _fingerprints(h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of every set, as two columns."""
+    total = [np.r_[np.uint64(0), np.cumsum(X.mix(h ^ salt))] for salt in (_KEY, X._STEP[1])]
+    return tuple(t[cuts[1:]] - t[cuts[:-1]] for t in total)
+
+
 def describe_sets(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (fingerprint), bits (signature) per row, and (kind 1) shingles repeated within a chunk with their count."""
     names = ["kind", "doc_id", "n_shingles", "f1", "f2", "bits"]
@@ -113,8 +126,7 @@ def describe_sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, h, cuts in _chunk_sets(batch.column(1), k):
-                total = [np.r_[np.uint64(0), np.cumsum(X.mix(h ^ salt))] for salt in (_KEY, X._STEP[1])]
-                f1, f2 = (t[cuts[1:]] - t[cuts[:-1]] for t in total)
+                f1, f2 = _fingerprints(h, cuts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), pa.array(np.diff(cuts).astype(np.int64)),
                      pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), _signatures(h, cuts)], names=names)
@@ -160,25 +172,32 @@ def choose_boundary(sizes: dict[int, int], list_length: float, similarity: int =
     return min(range(most + 1), key=lambda x: (cost(x), x))
 
 
-def _subset_keys(own: np.ndarray, boundary: int, similarity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every subset that a light set shares with the sets it links with, one family per size pair, and its kind."""
-    s, keys, kinds = len(own), [], []
-    mixed = X.mix(own + _KEY)
-    whole = np.add.reduce(mixed, keepdims=True)
+def _subset_keys(own: np.ndarray, hot: np.ndarray, boundary: int, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every subset that a light set shares with the sets it links with, one family per size pair,
+    another 64 bits of it, and its kind. ``hot``: which shingles are frequent."""
+    s, rare = len(own), (~hot).astype(np.int64)
+    keys, checks, kinds = [], [], []
+    mixed, again = X.mix(own + _KEY), X.mix(own ^ X._STEP[3])
+    whole, whole_again = np.add.reduce(mixed, keepdims=True), np.add.reduce(again, keepdims=True)
     for t in partners(s, similarity):
         if not 0 < t <= boundary or (c := overlap(s, t, similarity)) > s:
             continue
         low, high = min(s, t), max(s, t)
         left = np.array(list(combinations(range(s), s - c)), np.int64).reshape(math.comb(s, c), s - c)     # the shingles left out
         keys.append(X.mix(whole - mixed[left].sum(axis=1, dtype=np.uint64) + np.array([low * 1000 + high], np.uint64) * X._STEP[2]))
-        kinds.append(np.full(len(keys[-1]), SAME if s == t else MIXED, np.int8))
-    return (np.concatenate(keys), np.concatenate(kinds)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int8))
+        checks.append(X.mix(whole_again - again[left].sum(axis=1, dtype=np.uint64) + np.array([low * 1000 + high], np.uint64) * X._STEP[4]))
+        kinds.append(np.where(rare[left].sum(axis=1) == rare.sum(), OFTEN, 0).astype(np.int8) + np.int8(SAME if s == t else MIXED))
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8)
+    return np.concatenate(keys), np.concatenate(checks), np.concatenate(kinds)
 
 
-def list_entries(docs: DataFrame, frequent: np.ndarray, boundary: int, k: int, similarity: int, buckets: int) -> DataFrame:
+def list_entries(docs: DataFrame, frequent: np.ndarray, boundary: int, k: int, similarity: int, buckets: int, copied: np.ndarray) -> DataFrame:
     """Packed entries per bucket of keys: subset keys of light sets, listed shingles of the others.
 
-    ``frequent``: shingles by falling count; they come last in the global order."""
+    ``frequent``: shingles by falling count; they come last in the global order, and their
+    entries are dealt to buckets by document, not by key. ``copied``: fingerprint and
+    representative (3 columns, sorted) of large classes, whose other rows have no entries."""
     lowest = -(-similarity * (boundary + 1) // 100)
     place = np.argsort(frequent)
     known = frequent[place]
@@ -189,8 +208,15 @@ def list_entries(docs: DataFrame, frequent: np.ndarray, boundary: int, k: int, s
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, h, cuts in _chunk_sets(batch.column(1), k):
                 size = np.diff(cuts)
+                if len(copied):
+                    f1, f2 = _fingerprints(h, cuts)
+                    at = np.minimum(np.searchsorted(copied[:, 0], f1), len(copied) - 1)
+                    other = (copied[at, 0] == f1) & (copied[at, 1] == f2) & (copied[at, 2] != ids[a:b].astype(np.int64).view(np.uint64))
+                    h, size = h[np.repeat(~other, size)], np.where(other, 0, size)
+                    cuts = np.r_[0, np.cumsum(size)]
                 doc = np.repeat(np.arange(b - a), size)
                 order_key = h.copy()
+                hot = np.zeros(len(h), bool)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     hot = known[at] == h
@@ -199,56 +225,62 @@ def list_entries(docs: DataFrame, frequent: np.ndarray, boundary: int, k: int, s
                 rank = np.arange(len(h)) - np.repeat(cuts[:-1], size)
                 limit = np.where(size >= max(1, lowest), size - -(-similarity * size // 100) + 1, 0)
                 listed = rank < limit[doc]
-                key, owner, kind = [h[order][listed]], [doc[listed]], [np.full(int(listed.sum()), LISTED, np.int8)]
+                key, owner, kind = [h[order][listed]], [doc[listed]], [np.where(hot[order][listed], OFTEN | LISTED, LISTED).astype(np.int8)]
+                check = [np.zeros(len(key[0]), np.uint64)]
                 for d in np.flatnonzero((size > 0) & (size <= boundary)):
-                    own, own_kind = _subset_keys(h[cuts[d]:cuts[d + 1]], boundary, similarity)
+                    own, own_check, own_kind = _subset_keys(h[cuts[d]:cuts[d + 1]], hot[cuts[d]:cuts[d + 1]], boundary, similarity)
                     key.append(own)
                     owner.append(np.full(len(own), d))
                     kind.append(own_kind)
-                key, owner, kind = (np.concatenate(x) for x in (key, owner, kind))
-                bucket = (X.mix(key) % np.uint64(buckets)).astype(np.int64)
+                    check.append(own_check)
+                key, owner, kind, check = (np.concatenate(x) for x in (key, owner, kind, check))
+                node = ids[a:b].astype(np.int64)[owner]
+                bucket = (X.mix(np.where(kind & OFTEN, X.mix(node.view(np.uint64)), key)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                key, owner, kind = key[order], owner[order], kind[order]
+                key, owner, kind, check, node = key[order], owner[order], kind[order], check[order], node[order]
                 at = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 present = np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(present, pa.int32()), *(pa.array([v[at[p]:at[p + 1]].tobytes() for p in present], pa.binary())
-                     for v in (key, ids[a:b][owner].astype(np.int64), np.minimum(size[owner], 2**31 - 1).astype(np.int32), kind))],
-                    names=["bucket", "keys", "docs", "sizes", "kinds"])
+                     for v in (key, check, node, np.minimum(size[owner], 2**31 - 1).astype(np.int32), kind))],
+                    names=["bucket", "keys", "checks", "docs", "sizes", "kinds"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(
-        run, "bucket int, keys binary, docs binary, sizes binary, kinds binary")
+        run, "bucket int, keys binary, checks binary, docs binary, sizes binary, kinds binary")
 
 
 def _shared_keys(table: pa.Table) -> pa.Table:
-    """One bucket: the entries of keys that two documents or more have, each once."""
+    """One bucket: the entries of keys that two documents or more have, each once, and all entries of frequent shingles."""
     key, _ = X.joined(table.column("keys"), np.uint64)
+    check, _ = X.joined(table.column("checks"), np.uint64)
     doc, _ = X.joined(table.column("docs"), np.int64)
     size, _ = X.joined(table.column("sizes"), np.int32)
     kind, _ = X.joined(table.column("kinds"), np.int8)
-    order = np.lexsort((size, doc, key, kind))
-    key, doc, size, kind = key[order], doc[order], size[order], kind[order]
+    order = np.lexsort((size, doc, check, key, kind))
+    key, check, doc, size, kind = key[order], check[order], doc[order], size[order], kind[order]
     if len(key):                                                 # rows that repeat an id bring equal entries
-        once = np.r_[True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (doc[1:] != doc[:-1]) | (size[1:] != size[:-1])]
-        key, doc, size, kind = key[once], doc[once], size[once], kind[once]
-    new = np.r_[True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])] if len(key) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    n = np.diff(np.r_[first, len(key)])
-    several = np.repeat(doc[first] != doc[np.r_[first[1:], len(key)] - 1], n) if len(first) else new
-    return pa.table({"key": pa.array(key.view(np.int64)[several]), "doc": pa.array(doc[several]),
-                     "size": pa.array(size[several]), "kind": pa.array(kind[several])})
+        new = np.r_[True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | (kind[1:] != kind[:-1])]
+        once = new | np.r_[True, (doc[1:] != doc[:-1]) | (size[1:] != size[:-1])]
+        key, check, doc, size, kind, new = key[once], check[once], doc[once], size[once], kind[once], new[once]
+        first = np.flatnonzero(new)
+        n = np.diff(np.r_[first, len(key)])
+        several = np.repeat(doc[first] != doc[np.r_[first[1:], len(key)] - 1], n) | (kind & OFTEN > 0)
+        key, check, doc, size, kind = key[several], check[several], doc[several], size[several], kind[several]
+    kind = kind & np.int8(~OFTEN)
+    return pa.table({"key": pa.array(key.view(np.int64)), "check": pa.array(check.view(np.int64)), "doc": pa.array(doc),
+                     "size": pa.array(size), "kind": pa.array(kind)})
 
 
 def _light_links(subsets: DataFrame) -> DataFrame:
     """Links (a, b) between light sets that share a subset: in a family of one size to its least member,
     in a family of two sizes to the least member of the other size."""
     # the complement turns the greatest of (size, ~doc) into the least doc of the larger size
-    ends = subsets.groupBy("kind", "key").agg(F.min(F.struct("size", "doc")).alias("low"),
+    ends = subsets.groupBy("kind", "key", "check").agg(F.min(F.struct("size", "doc")).alias("low"),
                                               F.max(F.struct("size", F.bitwise_not("doc").alias("other"))).alias("high"))
     least_high = F.bitwise_not("high.other")
     other = (F.when(F.col("kind") == SAME, F.col("low.doc")).when(F.col("size") < F.col("high.size"), least_high)
              .when(F.col("low.size") < F.col("size"), F.col("low.doc")))
-    return subsets.join(ends, ["kind", "key"]).select(F.col("doc").alias("a"), other.alias("b")).where("a <> b")
+    return subsets.join(ends, ["kind", "key", "check"]).select(F.col("doc").alias("a"), other.alias("b")).where("a <> b")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: int) -> DataFrame:
@@ -347,10 +379,13 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
                        groups: int | None = None, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark = docs.sparkSession
-    groups = groups or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     described = materialize(describe_sets(docs, k), "jaccard-sets")
     rows = described.where("kind = 0").select("doc_id", "n_shingles", "f1", "f2")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    large = classes.where(F.col("rows") >= CLASS_ROWS).orderBy(F.desc("rows"), "rep").limit(KNOWN_CLASSES).select("f1", "f2", "rep").toPandas()     # bounded
+    copied = large.to_numpy(np.int64).reshape(-1, 3).view(np.uint64)
+    copied = copied[np.argsort(copied[:, 0], kind="stable")]
+    classes = classes.drop("rows")
 
     repeated = described.where("kind = 1").groupBy(F.col("f1").alias("h")).agg(F.sum("n_shingles").alias("n"))
     top = repeated.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()              # bounded by FREQUENT
@@ -360,8 +395,11 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
         total = rows.agg(F.sum("n_shingles")).first()[0] or 1
         boundary = choose_boundary(sizes, float((top["n"].to_numpy(float) ** 2).sum()) / total, similarity)
 
-    entries = list_entries(docs, frequent, boundary, k, similarity, groups)
-    shared = entries.groupBy("bucket").applyInArrow(_shared_keys, "key long, doc long, size int, kind tinyint")
+    if groups is None:
+        listed = rows.agg(F.sum(F.ceil(F.col("n_shingles") * (100 - similarity) / 100) + 1)).first()[0] or 0
+        groups = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(listed) // BUCKET_ENTRIES)
+    entries = list_entries(docs, frequent, boundary, k, similarity, groups, copied)
+    shared = entries.groupBy("bucket").applyInArrow(_shared_keys, "key long, check long, doc long, size int, kind tinyint")
     # copies are known already: one entry per class (and node)
     node = materialize(rows.where("n_shingles > 0 and doc_id is not null").join(classes, ["n_shingles", "f1", "f2"])
                        .select(F.col("doc_id").alias("doc"), "rep").distinct(), "jaccard-reps")
@@ -405,8 +443,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
         found = materialize(_verify(pairs, docs, k, similarity), "jaccard-verified")
         if found.isEmpty():
             continue
-        links = links.union(found)
-        component = connected_components(links)
+        component = connected_components(found, known=component)
     out = rows.join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -418,6 +455,6 @@ def keep_one_per_component(docs: DataFrame, **settings) -> DataFrame:
     with a null id stay."""
     chosen = jaccard_components(docs, **settings).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(chosen, "doc_id", "left_semi")
-    order = [F.xxhash64(*docs.columns), *(F.col(c) for c in docs.columns)]
+    order = [F.col("text"), F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))]    # maps and variants have no order of their own
     first = kept.withColumn("__n", F.row_number().over(W.partitionBy("doc_id").orderBy(*order))).where("__n = 1").drop("__n")
     return first.union(docs.where("doc_id is null")).select(*docs.columns)

@@ -153,7 +153,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     base = materialize(docs.select(F.col("doc_id").cast("long"), (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"),
                                    F.crc32(body.cast("binary")).alias("text_crc32"), F.unhex(F.md5(body.cast("binary"))).alias("hub"),
                                    F.monotonically_increasing_id().alias("node"), *carry), "shard-rows")
-    linked = base.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that the join below has an exchange of its own, whose hot groups can be split
+    linked = materialize(base.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1"), "shard-hubs")
     base = materialize(base.join(linked, "hub", "left").withColumn("linked", F.col("n").isNotNull()).drop("n"), "shard-linked")
     n, m = base.agg(F.count("*"), F.coalesce(F.count_if("linked"), F.lit(0))).first()
     quotas = row_quotas(n, shards)
