@@ -13,7 +13,9 @@ to the end of the page). Then:
    asides, forms, scripts, styles, graphics, and elements whose class, id or role names menus,
    sidebars, notices, adverts or comments) are deleted. Names that only say what a layout
    has or lacks (has-sidebar, no-header, with-menu) do not count, nor do names of an element
-   that wraps a main element or, if no article stands outside such elements, an article;
+   that wraps a main element or, if no article stands outside such elements, an article.
+   Inside main content, a text block goes only if one of its names is such a word as a whole
+   (``notice``, not ``search-engine``), and the headings of a header stay;
 3. if the page has main content (article, main, role=main), only that is kept. Paragraphs,
    headings and list items inside it are never taken for a template, so a sentence that many
    articles share stays.
@@ -22,7 +24,8 @@ Character references are decoded, white space within a block becomes one blank,
 joined in page order by two line feeds. ``br`` is white space within its block.
 
 Edge cases: null or empty html, or a page without text, gives an empty string; malformed
-markup never fails (an unclosed ``<`` is text); pages with a null or odd url share the empty
+markup never fails and takes time in proportion to its length (a tag that the next ``<`` or the end of the page
+cuts off is markup if it has an attribute, else text); pages with a null or odd url share the empty
 host; rows that repeat a page id are handled one by one; extra columns are ignored.
 """
 
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -43,9 +47,11 @@ from feedlake.session import materialize
 MIN_PAGES = 10
 MIN_SHARE = 0.3
 
+#: Attributes: possessive, and no further than the next "<" outside quotes, so that a tag is read once.
+_ATTRIBUTES = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S | re.I)
+    rf"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b{_ATTRIBUTES}>.*?(?:</\1\s*+>|\Z)"
+    rf"|<[!?][^<>]*+(?:>|(?=<)|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)({_ATTRIBUTES})(>?)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span "
@@ -65,23 +71,27 @@ _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side-?bar|"
     r"footers?|headers?|masthead|cookies?|consent|notices?|newsletters?|subscribe|popup|modal|comments?|replies|disqus|respond|share|sharing|social|related|"
     r"widgets?|pagination|pager|toolbar|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+#: The same word as a whole name, which counts for a text block of the main content, too.
+_NOISE_NAME = re.compile(r"(?:^|\s)" + _NOISE.pattern.removeprefix(r"(?:^|[\s_-])").removesuffix(r"(?:$|[\s_-])") + r"(?:$|\s)", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a name says of the layout around an element, not of the element.
 _LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with)[_-]\S*", re.I)
 
 
 class Element:
-    #: noise: by its kind; named: by class, id or role; main: article, main or role=main.
-    __slots__ = ("tag", "noise", "named", "main", "mark", "children")
+    #: noise: by its kind; named: by class, id or role; exact: by a whole name; main: article, main or role=main.
+    __slots__ = ("tag", "noise", "named", "exact", "main", "mark", "children")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children = tag, []
-        self.noise, self.named, self.main, self.mark = tag in _DROPPED, False, tag in _MAIN, tag
+        self.noise, self.named, self.exact, self.main, self.mark = tag in _DROPPED, False, False, tag in _MAIN, tag
         if attributes:
             for name, *values in _ATTRIBUTE.findall(attributes):
                 value = "".join(values)
                 self.mark += f" {name.lower()}={value}"
                 if value and tag not in ("body", "html", "article", "main") and _NOISE.search(value) and _NOISE.search(_LAYOUT.sub("", value)):
                     self.named = True
+                    self.exact = self.exact or bool(_NOISE_NAME.search(value))
                 if name.lower() == "role" and value.strip().lower() == "main":
                     self.main = True
             self.named = self.named and not self.main
@@ -90,6 +100,12 @@ class Element:
 def parse(text: str) -> Element:
     root = Element("html")
     stack, at = [root], 0
+    opened: Counter[str] = Counter()                 # open elements by tag, so that no search is in vain
+
+    def close(i: int) -> None:
+        opened.subtract(e.tag for e in stack[i:])
+        del stack[i:]
+
     for m in _TOKEN.finditer(text):
         if m.start() > at:
             stack[-1].children.append(text[at:m.start()])
@@ -97,20 +113,23 @@ def parse(text: str) -> Element:
         tag = m[3]
         if tag is None:
             continue
+        if not m[5] and "=" not in m[4] and not m[2]:            # a "<" of the text
+            stack[-1].children.append(m[0])
+            continue
         tag = tag.lower()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
             continue
         if tag in ("html", "body"):
             continue
         ended = _ENDS.get(tag)
-        if ended:
+        if ended and any(opened[t] > 0 for t in ended):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ended:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in _SCOPE:
                     break
@@ -119,6 +138,7 @@ def parse(text: str) -> Element:
             stack[-1].children.append(element)
         if tag not in _VOID and not m[4].endswith("/"):
             stack.append(element)
+            opened[tag] += 1
     if at < len(text):
         stack[-1].children.append(text[at:])
     return root
@@ -193,6 +213,18 @@ def _main_parts(root: Element) -> list[Element]:
     return found
 
 
+def _outermost(root: Element, tags: frozenset[str]) -> list[Element]:
+    """Descendants with one of the tags, outside of each other and of deleted elements, in page order."""
+    found, stack = [], [root]
+    while stack:
+        e = stack.pop()
+        if e.tag in tags:
+            found.append(e)
+        elif e is root or not (e.noise or e.named):
+            stack.extend(c for c in reversed(e.children) if not isinstance(c, str))
+    return found
+
+
 def extract(text: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     """Main text of a page; ``template``: subtree hashes to delete."""
     root = parse(text)
@@ -220,7 +252,10 @@ def extract(text: str, template: frozenset[int] | set[int] = frozenset()) -> str
                 run.append(e)
             elif e.tag == "br":
                 run.append(" ")
-            elif not (e.noise or e.named or (hashes and hashes.get(id(e)) in template and not (parts and (e is part or e.tag in _TEXT_BLOCKS or e.tag in _INLINE)))):
+            elif e.tag == "header" and parts and not e.named:    # of an article: its headings
+                todo += reversed([h for h in _outermost(e, _HEADINGS)])
+            elif not (e.noise or (e.exact if parts and e.tag in _TEXT_BLOCKS else e.named)
+                      or (hashes and hashes.get(id(e)) in template and not (parts and (e is part or e.tag in _TEXT_BLOCKS or e.tag in _INLINE)))):
                 if e.tag not in _INLINE:
                     flush()
                     todo.append(None)
