@@ -16,7 +16,8 @@ Edge cases: captures with a null url or time match nothing (verdict ``none``); h
 compared in lower case without port and user; entries with a null column are ignored; of
 entries of one value and time, allow wins over block and block over remove; entry times are
 inclusive, so a capture at the very time of an entry is judged by it. Repeated captures are
-reported as often as they come. Extra columns pass through.
+reported as often as they come. Extra columns pass through, whatever their names, but for those
+named like a column of the result (``verdict``, ...), which give way to it.
 """
 
 from __future__ import annotations
@@ -60,12 +61,17 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     lists = lists.select("*", F.explode(F.sequence(
         month(F.greatest("valid_from", F.lit(low))), month(F.least(F.coalesce("valid_to", F.lit(high)), F.lit(high))), F.expr("interval 1 month"))).alias("month")) \
         if low is not None else lists.withColumn("month", F.col("valid_from")).limit(0)
-    distinct = captures.select("url", "fetched_at").dropna().distinct()
+    # dealt anew, since a url has many keys: what fits one task before need not after
+    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = captures.select("url", "fetched_at").dropna().distinct().repartition(parts, "url", "fetched_at")
     keys = distinct.select("url", "fetched_at", month(F.col("fetched_at")).alias("month"), F.explode(url_keys(F.col("url"))).alias("k"))
     hit = (keys.select("url", "fetched_at", "month", "k.kind", "k.value").join(lists, ["kind", "value", "month"])
            .where((F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))))
     weight = F.when(F.col("kind") == "prefix", 2).when(F.col("kind") == "host", 1).otherwise(0)
     best = hit.groupBy("url", "fetched_at").agg(F.max(F.struct(weight.alias("w"), F.length("value").alias("n"), "value", "kind", "action", "valid_from")).alias("m"))
-    out = captures.join(best, ["url", "fetched_at"], "left")
-    return out.select(*captures.columns, F.coalesce("m.action", F.lit("none")).alias("verdict"), F.col("m.kind").alias("matched_kind"),
-                      F.col("m.value").alias("matched_value"), F.col("m.valid_from").alias("listed_at"))
+    left, right = captures.alias("__capture"), best.alias("__best")
+    same = (F.col("__capture.url") == F.col("__best.url")) & (F.col("__capture.fetched_at") == F.col("__best.fetched_at"))
+    found = {"verdict": F.coalesce("__best.m.action", F.lit("none")), "matched_kind": F.col("__best.m.kind"),
+             "matched_value": F.col("__best.m.value"), "listed_at": F.col("__best.m.valid_from")}
+    kept = [F.col(f"__capture.`{c}`") for c in captures.columns if c not in found]
+    return left.join(right, same, "left").select(*kept, *(c.alias(name) for name, c in found.items()))
