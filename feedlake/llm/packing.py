@@ -8,8 +8,9 @@ each length adds are kept, so the counts are read off by walking back; a filling
 fits the remaining counts is repeated as often as they allow. All windows but the last few
 of a group come out full; ``padding`` counts what a sequence needs.
 
-Only lengths and checksums are shuffled, never ids; a group's size is set by the number of
-groups, and no document count or length can make one group hot.
+Only lengths and checksums are written and shuffled, never ids. The number of groups follows
+from the measured number of rests (``GROUP_RESTS`` each), whatever the session's settings: the
+last windows of a group are its only padding, and no document count or length can make one group hot.
 
 Edge cases: null and empty texts are the end id alone; rows that repeat an id are packed one
 by one; a null id is reported as null; an empty table gives no pieces.
@@ -25,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from feedlake.llm import tokens
+from feedlake.session import materialize
 
 CAPACITY = 2048
 END_ID = 1
+#: Rests that a group should hold. Fewer means more windows that are left open.
+GROUP_RESTS = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -125,7 +129,8 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, groups: int | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
-    groups = groups or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = materialize(cut_documents(docs, tokenizer, capacity, end_id), "pieces")
+    groups = groups or max(1, round(pieces.where(F.col("length") < capacity).count() / GROUP_RESTS))
 
     def run(table: pa.Table) -> pa.Table:
         # the order of arrival must not matter when a task is repeated
@@ -135,7 +140,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         out = table.select([c.split()[0] for c in PIECES.split(", ")])
         return out.append_column("sequence_id", pa.array((np.int64(group) << 40) + sequence)).append_column("offset", pa.array(offset))
 
-    pieces = cut_documents(docs, tokenizer, capacity, end_id)
     # copies of one row must not fill one group: the start tells their pieces apart, the rows themselves need no order
     keyed = pieces.withColumn("group", F.pmod(F.xxhash64("spread", "start"), F.lit(groups)).cast("long")).drop("spread")
     return keyed.groupBy("group").applyInArrow(run, PIECES + ", sequence_id long, offset long")
