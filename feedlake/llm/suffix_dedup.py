@@ -388,11 +388,11 @@ def _finish(length: int, texts: bool):
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, groups: int | None = None, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of every row of ``docs``.
 
-    ``length``: bytes of a repeated string, 32 to 83. ``groups``: number of blocks, one per
+    ``length``: bytes of a repeated string, 32 to 64. ``groups``: number of blocks, one per
     shuffle partition unless given; there are twice as many buckets (a block and a bucket
     exchange one row, so more of either multiplies the rows)."""
-    if not 32 <= length <= SEED + 63:
-        raise ValueError("length must be between 32 and 83")
+    if not 32 <= length <= 64:                                       # ranks reach 64 bytes: beyond, equal strings need not be neighbours
+        raise ValueError("length must be between 32 and 64")
     groups = groups or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("block"),
                        F.col("doc_id").cast("long").alias("doc_id"), "text")
