@@ -99,13 +99,13 @@ def transform_report(posts: DataFrame, as_of: Column, status: str = STATUS_BASIC
 def table_counts(spark: SparkSession, tables: Mapping[str, DataFrame | str | None]) -> DataFrame:
     """Row count per table; a missing table reports 'N/A'.
 
-    A table is a DataFrame, or a path read as a versioned table (see
+    A table is a DataFrame, or the path of one (see
     ``feedlake.sources.tables``); None or an absent path counts as missing.
     """
-    from feedlake.sources.tables import read_current
+    from feedlake.sources.tables import read
     parts = []
     for name, t in tables.items():
-        df = read_current(spark, t) if isinstance(t, str) else t
+        df = read(spark, t) if isinstance(t, str) else t
         if df is None:
             parts.append(spark.range(1).select(F.lit(name).alias("table_name"), F.lit("N/A").alias("row_count")))
         else:

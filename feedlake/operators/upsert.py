@@ -44,16 +44,28 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         rank.append(F.col(c).alias(f"__ord_{c}"))
     comparable = [c for c in rest if _orderable(df, c)]
     carried = [c for c in rest if c not in comparable]
-    parts = rank + [F.col(c) for c in comparable] + [F.col(c) for c in order] + [F.col(c) for c in carried]
-    agg = df.groupBy(*keys).agg(F.max(F.struct(*parts)).alias("__w"))
+    parts = rank + [F.col(c) for c in comparable] + [F.col(c) for c in order]
+    if not carried:
+        agg = df.groupBy(*keys).agg(F.max(F.struct(*parts)).alias("__w"))
+    else:
+        # maps and variants have no order: their JSON breaks ties, and they ride along as the value of max_by
+        text = F.to_json(F.struct(*[F.col(c) for c in carried])).alias("__json")
+        value = F.struct(*[F.col(c) for c in [*comparable, *order, *carried]])
+        agg = df.groupBy(*keys).agg(F.max_by(value, F.struct(*parts, text)).alias("__w"))
     cols = [F.col(k) for k in keys] + [F.col(f"__w.{c}").alias(c) for c in df.columns if c not in keys]
     return agg.select(*cols).select(*df.columns)
 
 
+def _has_no_order(t: T_.DataType) -> bool:
+    if isinstance(t, T_.StructType):
+        return any(_has_no_order(f.dataType) for f in t.fields)
+    if isinstance(t, T_.ArrayType):
+        return _has_no_order(t.elementType)
+    return isinstance(t, (T_.MapType, T_.VariantType))
+
+
 def _orderable(df: DataFrame, c: str) -> bool:
-    from pyspark.sql import types as T
-    t = df.schema[c].dataType
-    return not isinstance(t, (T.MapType, T.VariantType))
+    return not _has_no_order(df.schema[c].dataType)
 
 
 def dedup_min_fetch(rows: DataFrame, group_cols: Sequence[str], ts: str = "fetched_at",
@@ -94,7 +106,7 @@ def S(c: str) -> Column:
 def upsert(target: DataFrame, source: DataFrame, key: str,
            update: dict[str, Column], insert: dict[str, Column],
            when_changed: Column | None = None, source_key: str | None = None,
-           null_keys: str = "reject") -> DataFrame:
+           null_keys: str = "reject", on_key: bool = False) -> DataFrame:
     """MERGE INTO target USING source ON t.key = s.key as a DataFrame.
 
     ``update`` maps target columns to their new value for matched rows (other
@@ -103,6 +115,9 @@ def upsert(target: DataFrame, source: DataFrame, key: str,
     MATCHED condition; a NULL result does not update (three-valued logic, as
     in SQL). Source keys must be unique (use ``latest_per_key`` first).
 
+    ``on_key``: join on the key column itself, so that a target that is already hash-partitioned
+    by it (a bucketed table) is not shuffled; NULL keys should then be rare in the target.
+
     ``null_keys``: ``"reject"`` drops source rows with a NULL key (they can
     never match), ``"insert"`` inserts them on every run as the warehouse does.
     Returns the whole new target with an ``_action`` column:
@@ -120,7 +135,9 @@ def upsert(target: DataFrame, source: DataFrame, key: str,
     t_key = F.coalesce(T(key).cast("string"),
                        F.concat(F.lit("\u0000t"), F.xxhash64(*[T(c) for c in target.columns if _orderable(target, c)]).cast("string")))
     t = t.withColumn("__k", t_key)
-    if null_keys != "insert" and isinstance(source.schema[skey].dataType, T_.StringType):
+    if on_key:
+        joined = t.join(s, T(key) == S(skey), "full_outer")
+    elif null_keys != "insert" and isinstance(source.schema[skey].dataType, T_.StringType):
         # no NULL source keys: join on the source key itself, so a source that is
         # already hash-partitioned by its key (the dedup aggregation) is not shuffled again
         joined = t.join(s, F.col("__k") == S(skey), "full_outer")
@@ -173,8 +190,15 @@ def merge_by_url(target: DataFrame, stream_rows: DataFrame, as_of: Column,
     and first_fetched_at are kept. Insert otherwise, with last_updated_at =
     ``as_of``.
     """
-    src = source_by_key(stream_rows, "url", first=["article_id", "published_at"],
-                        latest=["title", "body", "body_length"])
+    first, latest = ["article_id", "published_at"], ["title", "body", "body_length"]
+    src = source_by_key(stream_rows.where(F.col("url").isNotNull()), "url", first=first, latest=latest)
+    if null_keys == "insert":                        # rows without a key are no group: each distinct one is inserted
+        src = src.unionByName(dedup_min_fetch(stream_rows.where(F.col("url").isNull()), ["url", *first, *latest]).select(*src.columns))
+    return merge_articles(target, src, as_of, null_keys)
+
+
+def merge_articles(target: DataFrame, src: DataFrame, as_of: Column, null_keys: str = "reject") -> DataFrame:
+    """M1 from source rows that are one per URL already (``first_fetched_at`` included)."""
     changed = (T("title") != S("title")) | (T("body") != S("body"))
     update = {"title": S("title"), "body": S("body"), "body_length": S("body_length"),
               "last_updated_at": as_of}
@@ -184,25 +208,45 @@ def merge_by_url(target: DataFrame, stream_rows: DataFrame, as_of: Column,
     return upsert(target, src, "url", update, insert, when_changed=changed, null_keys=null_keys)
 
 
-def merge_by_url_into(target_path: str, stream_rows: DataFrame, as_of: Column, buckets: int = 64,
-                      schema=POSTS_BY_URL_SCHEMA) -> list[int]:
-    """M1 applied in place to a bucketed ``posts_by_url`` table (touched buckets only).
+BATCH = "_batch"
 
-    A table that does not exist yet is made with ``schema``.
 
-    The table keeps the merge's ``_action`` column as the action of the last
-    merge that touched each row. Returns the rewritten buckets.
+def merge_articles_into(target_path: str, source: DataFrame, as_of: Column, buckets: int = 64,
+                        batch: str | None = None, schema=POSTS_BY_URL_SCHEMA, finish: bool = True) -> list[int]:
+    """M1 applied in place to a bucketed ``posts_by_url`` table (touched buckets only).
+
+    ``source`` has one row per URL (``source_by_key`` or the change stream); rows without a URL
+    are rejected. A table that does not exist yet is made with ``schema``. Every row keeps the
+    action of the last merge that touched it (``_action``) and, with ``batch``, its name
+    (``_batch``): the same batch merged again changes nothing, its own actions included.
+    ``finish=False`` stops after the first of the two writes; the next one to open the table does
+    the second. Returns the touched buckets.
     """
-    from feedlake.sources.tables import bucketed_merge
+    from feedlake.sources.tables import bucketed_merge, stage_merge
 
     def merge(target, src):
         if target is None:
             target = src.sparkSession.createDataFrame([], schema)
-        if ACTION in target.columns:
-            target = target.drop(ACTION)
-        return merge_by_url(target, src, as_of)
+        for c in (ACTION, BATCH):
+            if c not in target.columns:
+                target = target.withColumn(c, F.lit(None).cast("string"))
+        merged = merge_articles(target.withColumnRenamed(ACTION, "__was"), src, as_of)
+        here = F.lit(batch).cast("string")
+        again = (F.col(ACTION) == MATCHED) & F.coalesce(F.col(BATCH) == here, F.lit(False))
+        return merged.withColumns({
+            ACTION: F.when(again, F.col("__was")).otherwise(F.col(ACTION)),
+            BATCH: F.when(F.col(ACTION) == KEEP, F.col(BATCH)).otherwise(here)}).drop("__was")
+
+    run = bucketed_merge if finish else stage_merge
+    return run(target_path, source.where(F.col("url").isNotNull()), "url", merge, buckets)
+
 
-    return bucketed_merge(target_path, stream_rows, "url", merge, buckets)
+def merge_by_url_into(target_path: str, stream_rows: DataFrame, as_of: Column, buckets: int = 64,
+                      schema=POSTS_BY_URL_SCHEMA, batch: str | None = None) -> list[int]:
+    """``merge_articles_into`` from article-view rows: G1 and one row per URL first."""
+    src = source_by_key(stream_rows.where(F.col("url").isNotNull()), "url", first=["article_id", "published_at"],
+                        latest=["title", "body", "body_length"])
+    return merge_articles_into(target_path, src, as_of, buckets, batch, schema)
 
 
 POST_UPDATE_COLS = ["title", "body_markdown", "level", "tags", "summary", "emb", "url", "published_at",
@@ -211,7 +255,7 @@ POST_COLS = ["id", "title", "body_markdown", "level", "tags", "summary", "emb",
              "created_at", "updated_at"]
 
 
-def merge_posts(target: DataFrame, source: DataFrame, null_keys: str = "reject") -> DataFrame:
+def merge_posts(target: DataFrame, source: DataFrame, null_keys: str = "reject", on_key: bool = False) -> DataFrame:
     """M2/M3: upsert by id into the 11-column posts table.
 
     Matched rows take the source's nine update columns unconditionally
@@ -221,7 +265,17 @@ def merge_posts(target: DataFrame, source: DataFrame, null_keys: str = "reject")
     update = {c: S(c) for c in POST_UPDATE_COLS}
     insert = {c: S(c) for c in POST_COLS}
     return upsert(target.select(*POST_COLS), source.select(*POST_COLS), "id", update, insert,
-                  null_keys=null_keys)
+                  null_keys=null_keys, on_key=on_key)
+
+
+def merge_posts_into(source: DataFrame, name: str, partitions: int = 16, buckets: int = 16) -> list[int]:
+    """M2/M3 applied in place to a bucketed catalog table ``name`` of posts (``tables.create_bucketed_table``).
+
+    Only touched partitions are read and rewritten, and their rows are not shuffled. The
+    source must be one row per id; rows without an id are rejected. Returns the touched partitions.
+    """
+    from feedlake.sources.tables import merge_into_table
+    return merge_into_table(source, name, "id", lambda t, s: merge_posts(t, s, on_key=True).drop(ACTION), partitions, buckets)
 
 
 def longer_body(posts: DataFrame, fetched: DataFrame, max_length: int = 500,

@@ -125,12 +125,12 @@ def chunks_labelled(spark, sf_dir):
 
 @register("full_refresh", POST_CHUNKS_SQL)
 def full_refresh(spark, sf_dir):
-    """TRUNCATE + INSERT as a new version of the chunk table, read back."""
+    """TRUNCATE + INSERT of the chunk table, read back."""
     path = scratch_dir(spark, f"chunks-{uuid.uuid4().hex}")
     old = C.paragraph_chunks(D.posts(spark, sf_dir, with_emb=False), sep=SEP, as_of=D.ts_ntz(D.AS_OF))
-    tables.write_version(old, path)
-    tables.write_version(C.post_chunks(D.posts(spark, sf_dir, with_emb=False), D.ts_ntz(D.AS_OF)), path)
-    return _out(tables.read_current(spark, path))
+    tables.overwrite(old, path)
+    tables.overwrite(C.post_chunks(D.posts(spark, sf_dir, with_emb=False), D.ts_ntz(D.AS_OF)), path)
+    return _out(tables.read(spark, path))
 
 
 @register("partial_refresh", with_(POSTS, f"""old_posts AS (

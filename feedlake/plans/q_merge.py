@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedlake.operators import articles as A
+from feedlake.operators import pipelines as P
 from feedlake.operators import upsert as U
-from feedlake.operators.embed import EMBED_DIM, enrich
+from feedlake.operators.embed import EMBED_DIM
 from feedlake.plans.oracle import (AS_OF, ARTICLE_VIEW, ENTRIES, POSTS, RAW_FEEDS, TARGET_CUTOFF,
                                    with_)
 from feedlake.plans.q_articles import API, API_TYPED, XML_ITEMS
@@ -88,7 +89,7 @@ def merge_buckets(spark, sf_dir):
     target = D.posts_by_url(spark, sf_dir).withColumn(U.ACTION, F.lit(None).cast("string"))
     tables.write_bucketed(target, path, "url", BUCKETS)
     U.merge_by_url_into(path, stream_rows(spark, sf_dir), D.ts_ntz(D.AS_OF), BUCKETS)
-    t = spark.read.parquet(path).drop(tables.BUCKET, U.ACTION)
+    t = spark.read.parquet(path).drop(tables.BUCKET, U.ACTION, U.BATCH)
     return t.withColumn("body_md5", F.md5("body")).drop("body")
 
 
@@ -175,9 +176,7 @@ def _emb_dims_null(m):
 def merge_by_id(spark, sf_dir):
     """M2: API JSON transform with enrichment, upsert by id (unconditional update)."""
     as_of = D.ts_ntz(D.AS_OF)
-    src = A.complete(A.parse_api(D.raw_api_feeds(spark, sf_dir), as_of=as_of)).where(F.col("id").isNotNull())
-    src = U.latest_per_key(src, ["id"], ["fetched_at"])          # dedup first, then enrich
-    src = enrich(src).withColumn("created_at", as_of).withColumn("updated_at", as_of)
+    src = P.latest_api_posts(D.raw_api_feeds(spark, sf_dir), as_of)
     m = U.merge_posts(D.prior_posts(spark, sf_dir), src)
     return _emb_dims_null(_posts_out(m))
 
@@ -200,15 +199,44 @@ PRIOR_BASIC = f"""prior AS (
 def merge_basic(spark, sf_dir):
     """M3: RSS XML transform without models, upsert by id = md5(link)."""
     as_of = D.ts_ntz(D.AS_OF)
-    items = A.lookback(A.parse_rss(D.raw_xml_feeds(spark, sf_dir)), as_of)
-    src = items.where(F.col("title").isNotNull()).select(
-        "id", "title", "body_markdown", "level", "tags", "url", "published_at", "fetched_at")
-    src = U.latest_per_key(src.drop("level", "tags"), ["id"], ["fetched_at"])
-    src = src.select(
-        "id", "title", "body_markdown", F.lit(A.RSS_LEVEL).alias("level"),
-        F.array(*[F.lit(t) for t in A.RSS_TAGS]).alias("tags"),
-        A.summary_trunc(F.col("body_markdown")).alias("summary"),
-        F.lit(None).cast("array<float>").alias("emb"), "url", "published_at",
-        as_of.alias("created_at"), as_of.alias("updated_at"))
+    src = P.latest_rss_posts(D.raw_xml_feeds(spark, sf_dir), as_of)
     m = U.merge_posts(D.prior_posts(spark, sf_dir, id_rule="md5url"), src)
     return _emb_dims_null(_posts_out(m))
+
+
+# ------------------------------------------------------------ M2, M3 in place
+
+PARTITIONS = 8
+
+POSTS_TABLE_OUT = """
+SELECT id, title, md5(body_markdown) AS body_md5, level, array_to_string(tags, ',') AS tags,
+       md5(summary) AS summary_md5, CAST(emb_dims AS BIGINT) AS emb_dims, url, published_at, created_at, updated_at
+FROM merged"""
+
+
+def posts_table_out(t):
+    return _emb_dims_null(_posts_out(t.withColumn(U.ACTION, F.lit(None).cast("string"))).drop(U.ACTION))
+
+
+def _merged_in_place(spark, prior, source):
+    import uuid
+    from feedlake.session import scratch_dir
+    from feedlake.sources import tables
+    name = f"posts_{uuid.uuid4().hex}"
+    tables.create_bucketed_table(prior, name, "id", scratch_dir(spark, name), PARTITIONS, PARTITIONS)
+    U.merge_posts_into(source, name, PARTITIONS, PARTITIONS)
+    return posts_table_out(spark.table(name))
+
+
+@register("merge_by_id_into", with_(POSTS, API, API_TYPED, PRIOR_POSTS, SRC_BY_ID, MERGED_POSTS) + POSTS_TABLE_OUT)
+def merge_by_id_into(spark, sf_dir):
+    """M2 in place: the target's scan keeps its bucketing by id (no exchange), touched partitions are rewritten."""
+    source = P.latest_api_posts(D.raw_api_feeds(spark, sf_dir), D.ts_ntz(D.AS_OF))
+    return _merged_in_place(spark, D.prior_posts(spark, sf_dir), source)
+
+
+@register("merge_basic_into", with_(POSTS, XML_ITEMS, PRIOR_BASIC, SRC_BASIC, MERGED_POSTS) + POSTS_TABLE_OUT)
+def merge_basic_into(spark, sf_dir):
+    """M3 in place."""
+    source = P.latest_rss_posts(D.raw_xml_feeds(spark, sf_dir), D.ts_ntz(D.AS_OF))
+    return _merged_in_place(spark, D.prior_posts(spark, sf_dir, id_rule="md5url"), source)

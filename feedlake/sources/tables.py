@@ -1,135 +1,179 @@
-"""Versioned parquet tables: all-or-nothing replacement without a table format.
-
-A table is a folder of ``v=<n>`` sub-folders plus a small ``_CURRENT`` file
-naming the live version. A writer writes a complete new version, then
-replaces the pointer (write to a temporary name, rename), so readers see the
-old or the new table, never a half-written one, and a failed job leaves the
-live version untouched. The previous version is kept until the next write.
-For a stream the version is derived from the batch id, so a replayed batch
-rewrites the same version (idempotent).
+"""Parquet tables that are replaced, whole or by touched buckets, without a lost row.
+
+Spark's overwrite removes old files before the new ones are in place, so a driver that dies in
+between would leave a table without them. A replacement is therefore written twice: first
+beside the table, into ``<path>_pending``, which is complete once Spark's own ``_SUCCESS`` file
+is in it; then over the table (all of it, or only the buckets it has, by dynamic partition
+overwrite); then the pending copy goes. Whoever opens the table next finishes a replacement that
+was interrupted, or drops a pending copy that is not complete. One writer at a time is assumed,
+as ``foreachBatch`` gives.
+
+Two layouts follow a key:
+
+* folders ``bucket=<hash of the key>`` (``bucketed_merge``), for tables known by their path;
+* catalog tables partitioned the same way and, within a partition, bucketed by the key
+  (``create_bucketed_table``, ``merge_into_table``): the target of a merge then comes out of
+  its scan hash-partitioned by the key and is not shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-POINTER = "_CURRENT"
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BUCKET = "bucket"
+_WHOLE = "whole"
 
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
-
-
-def current_version(spark: SparkSession, path: str) -> int | None:
-    fs, jvm = _fs(spark, path)
-    ptr = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
-    if not fs.exists(ptr):
-        return None
-    stream = fs.open(ptr)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
-        return int(reader.readLine().strip())
-    finally:
-        stream.close()
-
-
-def _set_pointer(spark: SparkSession, path: str, version: int) -> None:
-    fs, jvm = _fs(spark, path)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}/.{POINTER}.{version}.tmp")
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(f"{version}\n".encode()))
-    finally:
-        out.close()
-    dst = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    fs.rename(tmp, dst)
-
-
-def write_version(df: DataFrame, path: str, version: int | None = None, keep: int = 2,
-                  partition_by: list[str] | None = None) -> int:
-    """Write ``df`` as a new version of the table at ``path`` and make it current."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _pending(path: str, kind: str = "") -> str:
+    return f"{path.rstrip('/')}_pending" + (f"/{kind}" if kind else "")
+
+
+# ------------------------------------------------------------ replacement
+
+
+def stage(df: DataFrame, path: str, by: str | None = None) -> None:
+    """First write of a replacement: the new content, whole or (``by``) the partitions it has."""
     spark = df.sparkSession
-    cur = current_version(spark, path)
-    version = version if version is not None else (0 if cur is None else cur + 1)
+    _drop(spark, _pending(path))
     w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(f"{path}/v={version}")
-    _set_pointer(spark, path, version)
-    fs, jvm = _fs(spark, path)
-    for old in range(0, version - keep + 1):
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}")
-        if fs.exists(p):
-            fs.delete(p, True)
-    return version
+    (w.partitionBy(by) if by else w).parquet(_pending(path, by or _WHOLE))
 
 
-def read_current(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    """The live version of the table, or None when the table does not exist (yet)."""
-    v = current_version(spark, path)
-    if v is None:
-        return None
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.parquet(f"{path}/v={v}")
+def recover(spark: SparkSession, path: str, by: str = BUCKET) -> bool:
+    """Second write: put a complete pending copy over the table. False if there is none."""
+    for kind in (_WHOLE, by):
+        pending = _pending(path, kind)
+        if exists(spark, f"{pending}/_SUCCESS"):
+            w = spark.read.parquet(pending).write.mode("overwrite")
+            if kind == by:
+                w = w.option("partitionOverwriteMode", "dynamic").partitionBy(by)
+            w.parquet(path)
+            _drop(spark, _pending(path))
+            return True
+    _drop(spark, _pending(path))
+    return False
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    return current_version(spark, path) is not None
+def overwrite(df: DataFrame, path: str) -> None:
+    """The full refresh (TRUNCATE, then INSERT) of the table at ``path``."""
+    stage(df, path)
+    recover(df.sparkSession, path)
 
 
-# ------------------------------------------------------------ bucketed tables, incremental merge
+def read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table, after any interrupted replacement is finished; None if there is none."""
+    recover(spark, path)
+    return spark.read.parquet(path) if exists(spark, path) else None
 
-BUCKET = "bucket"
+
+# ------------------------------------------------------------ folders by bucket
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def bucket_of(key_col, buckets: int):
-    from pyspark.sql import functions as F
-    return F.pmod(F.xxhash64(key_col), F.lit(buckets)).cast("int")
+def touched_buckets(source: DataFrame, key: str, buckets: int) -> list[int]:
+    """The buckets that the source's keys lie in (a collect of at most ``buckets`` numbers)."""
+    return sorted(r[0] for r in source.select(bucket_of(F.col(key), buckets).alias("b")).distinct().collect())
 
 
-def bucketed_merge(target_path: str, source: DataFrame, key: str, merge, buckets: int = 64,
-                   staging: str | None = None) -> list[int]:
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Write a table in the ``bucket=<b>`` layout that ``bucketed_merge`` maintains."""
+    (df.withColumn(BUCKET, bucket_of(F.col(key), buckets)).repartition(BUCKET)
+     .write.mode("overwrite").partitionBy(BUCKET).parquet(path))
+
+
+def stage_merge(target_path: str, source: DataFrame, key: str, merge: Callable, buckets: int = 64) -> list[int]:
+    """First write of ``bucketed_merge``; the second is ``recover``."""
+    spark = source.sparkSession
+    target = read(spark, target_path)
+    touched = touched_buckets(source, key, buckets)
+    if touched:
+        if target is not None:
+            target = target.where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+        merged = merge(target, source).withColumn(BUCKET, bucket_of(F.col(key), buckets))
+        stage(merged.repartition(BUCKET), target_path, BUCKET)           # one file per bucket
+    return touched
+
+
+def bucketed_merge(target_path: str, source: DataFrame, key: str, merge: Callable, buckets: int = 64) -> list[int]:
     """Merge ``source`` into a table stored as ``bucket=<b>`` folders, rewriting touched buckets only.
 
-    ``merge(target_rows, source_rows) -> rows`` is the upsert (e.g. M1). The
-    buckets touched by the source keys are listed with a bounded collect (at
-    most ``buckets`` values). Only those buckets of the target are read
-    (partition pruning), merged, staged, and written back with dynamic
-    partition overwrite. The rest of the table is neither read nor rewritten,
-    so a merge costs the size of the source's buckets, not of the table. The
-    merge must be idempotent (M1 is): a failed or replayed run is repaired by
-    running it again. Returns the touched buckets.
+    ``merge(target_rows, source_rows) -> rows`` is the upsert (e.g. M1). Only the buckets that
+    the source's keys lie in are read (partition pruning), merged and written back, so a merge
+    costs the size of the source's buckets, not of the table. Returns the touched buckets.
     """
-    import uuid
-    from pyspark.sql import functions as F
-    spark = source.sparkSession
-    src = source.withColumn(BUCKET, bucket_of(F.col(key), buckets))
-    touched = sorted(r[0] for r in src.select(BUCKET).distinct().collect())
-    if not touched:
-        return []
-    fs, jvm = _fs(spark, target_path)
-    exists = fs.exists(jvm.org.apache.hadoop.fs.Path(target_path))
-    if exists:
-        tgt = spark.read.parquet(target_path).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
-    else:
-        tgt = None
-    merged = merge(tgt, src.drop(BUCKET))
-    merged = merged.withColumn(BUCKET, bucket_of(F.col(key), buckets))
-    staging = staging or f"{target_path.rstrip('/')}_staging/{uuid.uuid4().hex}"
-    merged.write.mode("overwrite").partitionBy(BUCKET).parquet(staging)
-    (spark.read.parquet(staging).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(target_path))
-    fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
+    touched = stage_merge(target_path, source, key, merge, buckets)
+    recover(source.sparkSession, target_path)
     return touched
 
 
-def write_bucketed(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Write a table in the ``bucket=<b>`` layout that ``bucketed_merge`` maintains."""
-    from pyspark.sql import functions as F
-    df.withColumn(BUCKET, bucket_of(F.col(key), buckets)).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+# ------------------------------------------------------------ bucketed catalog tables
+
+
+def _located(spark: SparkSession, name: str) -> str:
+    return next(r["data_type"] for r in spark.sql(f"DESCRIBE FORMATTED {name}").collect() if r["col_name"] == "Location")
+
+
+def create_bucketed_table(df: DataFrame, name: str, key: str, path: str, partitions: int = 16, buckets: int = 16) -> None:
+    """Catalog table ``name`` at ``path`` with the rows of ``df``: partitions by the key's hash, each bucketed by the key."""
+    (df.withColumn(BUCKET, bucket_of(F.col(key), partitions)).repartition(buckets, key)
+     .write.mode("overwrite").format("parquet").option("path", path)
+     .partitionBy(BUCKET).bucketBy(buckets, key).saveAsTable(name))
+
+
+def recover_table(spark: SparkSession, name: str, key: str, buckets: int = 16) -> bool:
+    """Put a complete pending copy over the partitions of ``name`` that it has."""
+    pending = _pending(_located(spark, name), BUCKET)
+    done = exists(spark, f"{pending}/_SUCCESS")
+    if done:
+        rows = spark.read.parquet(pending).repartition(buckets, key).select(*spark.table(name).columns)
+        before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            rows.write.mode("overwrite").insertInto(name)
+        finally:
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    _drop(spark, _pending(_located(spark, name)))
+    return done
+
+
+def merged_partitions(source: DataFrame, name: str, key: str, merge: Callable, partitions: int) -> tuple[list[int], DataFrame]:
+    """The touched partitions of ``name`` and their merged rows."""
+    touched = touched_buckets(source.where(F.col(key).isNotNull()), key, partitions)
+    target = source.sparkSession.table(name).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    return touched, merge(target, source).withColumn(BUCKET, bucket_of(F.col(key), partitions))
+
+
+def merge_into_table(source: DataFrame, name: str, key: str, merge: Callable, partitions: int = 16, buckets: int = 16) -> list[int]:
+    """Merge ``source`` into a table of ``create_bucketed_table``; ``merge`` must join on the key itself.
+
+    The scan of the touched partitions is hash-partitioned by the key, so only the source is
+    shuffled. Returns the touched partitions, the only ones that are rewritten.
+    """
+    spark = source.sparkSession
+    recover_table(spark, name, key, buckets)
+    touched, merged = merged_partitions(source, name, key, merge, partitions)
+    if touched:
+        stage(merged, _located(spark, name), BUCKET)
+        recover_table(spark, name, key, buckets)
+    return touched

@@ -77,8 +77,8 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_json_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RAW feed rows: one row per landed feed, the whole entry array as a variant.
+def raw_json_feeds(spark: SparkSession, sf_dir: str, earlier: bool = False) -> DataFrame:
+    """RAW feed rows: one row per landed feed, the whole entry array as a variant (``earlier``: bodies in their earlier revision).
 
     A feed is the entries of one source fetched at one time, within one
     FEED_SPAN of doc ids, so no group is unbounded. Every feed was also
@@ -86,6 +86,8 @@ def raw_json_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     (the duplicates G1 collapses).
     """
     e = feed_entries(spark, sf_dir)
+    if earlier:
+        e = e.withColumn("body", revised_old(F.col("body")))
     e = e.withColumn("fetched_at", F.explode(F.array(
         F.col("fetched_at"), F.timestamp_add("HOUR", F.lit(-24), F.col("fetched_at")))))
     entry = F.struct("id", "title", "url", "published_at", "body")

@@ -1,12 +1,14 @@
 """The change stream and the recurring merge (ST1-ST6, S14).
 
-The raw table is a folder of parquet files that only grows. A Structured
-Streaming file source over it is the append-only change stream: the
-checkpoint records which files were consumed, so each run sees only new
-rows, and the merge commits together with the offsets (``foreachBatch``).
-The target is a versioned table (``feedlake.sources.tables``); every batch is
-merged into the live version. M1 is idempotent, so a batch replayed after a
-failure changes no row: exactly-once results.
+A raw table is a folder of parquet files that only grows. A Structured Streaming file source
+over it is the append-only stream: the checkpoint records which files were consumed, so each
+run sees only new rows. The rows go through the same transforms as in a batch
+(``feedlake.operators.pipelines``) and the keyed change stream (``feedlake.streaming.changes``);
+``foreachBatch`` merges what is new or changed into the target, rewriting touched buckets only.
+
+Exactly once: offsets are committed after the merge. A batch that is replayed finds its name
+in the rows it has merged and changes nothing; a merge that was cut off between its two writes
+is finished by the next one (``feedlake.sources.tables``).
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from feedlake.operators import pipelines as P
 from feedlake.operators import upsert as U
-from feedlake.sources import tables
+from feedlake.streaming.changes import change_stream
 
 RAW_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
@@ -27,7 +30,10 @@ RAW_SCHEMA = T.StructType([
     T.StructField("fetched_at", T.TimestampNTZType()),
     T.StructField("raw_data", T.VariantType()),
 ])
+API_SCHEMA = T.StructType([T.StructField("xml", T.VariantType()), T.StructField("fetched_at", T.TimestampNTZType())])
+RSS_SCHEMA = T.StructType([T.StructField("xml", T.StringType()), T.StructField("fetched_at", T.TimestampNTZType())])
 MERGE_INTERVAL = "5 minutes"   # fixed value: the reference's task schedule
+BUCKETS = 64
 
 
 def raw_stream(spark: SparkSession, raw_path: str, schema: T.StructType = RAW_SCHEMA,
@@ -39,23 +45,13 @@ def raw_stream(spark: SparkSession, raw_path: str, schema: T.StructType = RAW_SC
     return r.parquet(raw_path)
 
 
-def article_changes(raw: DataFrame, raw_col: str = "raw_data") -> DataFrame:
-    """ST1 + ST3: the article view over the stream, with the change metadata columns.
+def article_changes(raw: DataFrame) -> DataFrame:
+    """ST1: the article view over the append-only stream, with the metadata columns of such a stream.
 
-    The flatten is stateless, so it runs inside every micro-batch; the source
-    is append-only, so the action is always INSERT and nothing is an update.
+    The flatten is the batch one and stateless; every row is an INSERT and none an update.
+    ``article_change_stream`` tells changed articles from new ones.
     """
-    elems = F.explode(F.try_variant_get(F.col(raw_col), "$", "array<variant>"))
-    f = raw.select(F.col("id").alias("raw_id"), "source_url", "fetched_at", elems.alias("v"))
-    body = F.try_variant_get("v", "$.body", "string")
-    return f.select(
-        "raw_id", "source_url", "fetched_at",
-        F.try_variant_get("v", "$.id", "string").alias("article_id"),
-        F.try_variant_get("v", "$.title", "string").alias("title"),
-        F.try_variant_get("v", "$.url", "string").alias("url"),
-        F.try_variant_get("v", "$.published_at", "string").try_cast("timestamp_ntz").alias("published_at"),
-        body.alias("body"), F.length(body).cast("long").alias("body_length"),
-        F.lit("INSERT").alias("_action"), F.lit(False).alias("_is_update"))
+    return P.article_rows(raw).withColumns({"_action": F.lit("INSERT"), "_is_update": F.lit(False)})
 
 
 def inserts_only(changes: DataFrame) -> DataFrame:
@@ -63,6 +59,21 @@ def inserts_only(changes: DataFrame) -> DataFrame:
     return changes.where(F.col("_action") == "INSERT")
 
 
+def article_change_stream(raw: DataFrame) -> DataFrame:
+    """ST3, pipeline A: new and changed articles, keyed by url; id and date are those of the first fetch."""
+    return change_stream(P.article_rows(raw), "url", P.ARTICLE_VALUES, first=["article_id", "published_at"])
+
+
+def api_change_stream(raw: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """ST3, pipeline B: new and changed API items, keyed by id."""
+    return change_stream(P.api_rows(raw, as_of), "id", P.API_VALUES)
+
+
+def rss_change_stream(raw: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """ST3, pipeline C: new and changed RSS items, keyed by id."""
+    return change_stream(P.rss_rows(raw, as_of), "id", P.RSS_VALUES)
+
+
 def snapshot(df: DataFrame, name: str = "processed_stream_records") -> DataFrame:
     """Materialise a micro-batch once (persist) and expose it as a temp view."""
     df = df.persist()
@@ -70,66 +81,74 @@ def snapshot(df: DataFrame, name: str = "processed_stream_records") -> DataFrame
     return df.sparkSession.table(name)
 
 
-def merge_batch_fn(target_path: str, as_of: Column | None = None,
-                   on_merged: Callable[[DataFrame, int], None] | None = None):
-    """ST5: the ``foreachBatch`` body: merge one micro-batch into the target table.
+def _now(as_of: Column | None) -> Column:
+    return as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
+
+
+def merge_articles_fn(target_path: str, as_of: Column | None = None, buckets: int = BUCKETS, stream: str = "",
+                      on_merged: Callable[[list[int], int], None] | None = None, finish: bool = True):
+    """ST5: the ``foreachBatch`` body of pipeline A: merge one micro-batch of changes by URL.
 
-    The next version is built from the live one, whatever the batch id, so a new
-    checkpoint on a table with a history loses nothing. A replayed batch meets its
-    own rows and changes none; its rows then have ``_action`` MATCHED. A missing
-    table starts empty.
+    ``stream`` names the stream (its checkpoint), so that batch 0 of another one is not taken
+    for a replay. A missing table starts empty.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = tables.read_current(spark, target_path)
-        if target is None:
-            target = spark.createDataFrame([], U.POSTS_BY_URL_SCHEMA)
-        if U.ACTION in target.columns:
-            target = target.drop(U.ACTION)
-        now = as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
-        rows = snapshot(inserts_only(batch))
-        merged = U.merge_by_url(target, rows, now)
-        tables.write_version(merged, target_path)
-        rows.unpersist()
+        rows = snapshot(batch)
+        try:
+            touched = U.merge_articles_into(target_path, rows, _now(as_of), buckets, f"{stream}#{batch_id}", finish=finish)
+        finally:
+            rows.unpersist()
         if on_merged is not None:
-            on_merged(merged, batch_id)
+            on_merged(touched, batch_id)
     return run
 
 
-def merge_batch_into_buckets_fn(target_path: str, as_of: Column | None = None, buckets: int = 64):
-    """ST5 for a bucketed target: each micro-batch rewrites only the buckets it touches.
-
-    M1 is idempotent (merging the same rows twice changes nothing more), so a
-    batch replayed after a failure needs no version bookkeeping.
-    """
+def merge_posts_fn(table: str, posts: Callable[[DataFrame, Column], DataFrame], as_of: Column | None = None,
+                   partitions: int = 16, buckets: int = 16):
+    """ST5 of pipelines B and C: changes are made posts (enriched) and merged by id into a bucketed catalog table."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        now = as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
-        rows = snapshot(inserts_only(batch))
-        U.merge_by_url_into(target_path, rows, now, buckets)
-        rows.unpersist()
+        rows = snapshot(batch)
+        try:
+            U.merge_posts_into(posts(rows, _now(as_of)), table, partitions, buckets)
+        finally:
+            rows.unpersist()
     return run
 
 
-def start_merge_stream(spark: SparkSession, raw_path: str, target_path: str, checkpoint: str,
-                       as_of: Column | None = None, available_now: bool = True,
-                       interval: str = MERGE_INTERVAL, max_files: int | None = None,
-                       buckets: int | None = None) -> StreamingQuery:
-    """ST5 + ST6: stream the raw table into the target by URL.
-
-    ``available_now=True`` drains what is there and stops (a scheduled run);
-    otherwise the merge fires every ``interval`` and, as in the reference's
-    ``SYSTEM$STREAM_HAS_DATA`` guard, an interval with no new files runs no
-    batch. With ``buckets`` the target is a bucketed table rewritten per
-    touched bucket (large tables); without, each batch writes a new version.
-    """
-    changes = article_changes(raw_stream(spark, raw_path, max_files=max_files))
-    fn = (merge_batch_fn(target_path, as_of) if buckets is None
-          else merge_batch_into_buckets_fn(target_path, as_of, buckets))
+def _start(changes: DataFrame, fn: Callable, checkpoint: str, available_now: bool, interval: str) -> StreamingQuery:
+    """ST6: ``available_now`` drains what is there and stops (a scheduled run); otherwise the merge
+    fires every ``interval``, and an interval with no new files runs no batch (SYSTEM$STREAM_HAS_DATA)."""
     w = changes.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
 
+def start_merge_stream(spark: SparkSession, raw_path: str, target_path: str, checkpoint: str,
+                       as_of: Column | None = None, available_now: bool = True,
+                       interval: str = MERGE_INTERVAL, max_files: int | None = None,
+                       buckets: int = BUCKETS) -> StreamingQuery:
+    """ST5 + ST6, pipeline A: stream the raw table into the bucketed target by URL."""
+    changes = article_change_stream(raw_stream(spark, raw_path, max_files=max_files))
+    return _start(changes, merge_articles_fn(target_path, as_of, buckets, checkpoint), checkpoint, available_now, interval)
+
+
+def start_api_stream(spark: SparkSession, raw_path: str, table: str, checkpoint: str, as_of: Column | None = None,
+                     embedder=None, summarizer: Callable | None = None, available_now: bool = True,
+                     interval: str = MERGE_INTERVAL, partitions: int = 16, buckets: int = 16) -> StreamingQuery:
+    """ST5 + ST6, pipeline B: only new and changed items reach the models and the merge by id."""
+    changes = api_change_stream(raw_stream(spark, raw_path, API_SCHEMA), as_of)
+    fn = merge_posts_fn(table, lambda rows, now: P.api_posts(rows, now, embedder, summarizer), as_of, partitions, buckets)
+    return _start(changes, fn, checkpoint, available_now, interval)
+
+
+def start_rss_stream(spark: SparkSession, raw_path: str, table: str, checkpoint: str, as_of: Column | None = None,
+                     available_now: bool = True, interval: str = MERGE_INTERVAL,
+                     partitions: int = 16, buckets: int = 16) -> StreamingQuery:
+    """ST5 + ST6, pipeline C."""
+    changes = rss_change_stream(raw_stream(spark, raw_path, RSS_SCHEMA), as_of)
+    return _start(changes, merge_posts_fn(table, P.rss_posts, as_of, partitions, buckets), checkpoint, available_now, interval)
+
+
 def batches_run(q: StreamingQuery) -> int:
     """Number of micro-batches a finished query ran (0 when the stream had no data)."""
     return sum(1 for p in q.recentProgress if p.get("numInputRows", 0) > 0)

@@ -158,3 +158,19 @@ def test_bucketed_merge_rewrites_touched_buckets_only(spark, tmp_path):
     assert len(unchanged) == len([f for f in before if f"/bucket={touched[0]}/" not in f])
     t = spark.read.parquet(path)
     assert t.count() == 200 and t.where(F.col("url") == "u3").first()["title"] == "new"
+
+
+def test_latest_per_key_carries_maps_and_variants(spark):
+    df = spark.createDataFrame([("a", 1, "x", {"k": 1}), ("a", 2, "y", {"k": 2}), ("a", 2, "y", {"k": 3}), ("b", 1, "z", None)],
+                               "id string, t int, v string, m map<string,int>")
+    df = df.withColumns({"j": F.parse_json(F.to_json("m")), "s": F.struct("m")})
+    got = {r["id"]: (r["t"], r["v"], r["m"], r["j"] and r["j"].toJson()) for r in U.latest_per_key(df, ["id"], ["t"]).collect()}
+    assert got == {"a": (2, "y", {"k": 3}, '{"k":3}'), "b": (1, "z", None, None)}
+
+
+def test_rows_without_a_key_are_inserted_each(spark):
+    target = spark.createDataFrame([], TARGET_SCHEMA)
+    rows = spark.createDataFrame([(None, f"a{i}", f"t{i}", T0, "b", 1, T0) for i in range(5)] + [(None, "a0", "t0", T0, "b", 1, T0)], ROWS_SCHEMA)
+    now = F.lit(NOW).cast("timestamp_ntz")
+    assert U.merge_by_url(target, rows, now).count() == 0
+    assert U.merge_by_url(target, rows, now, null_keys="insert").count() == 5      # identical rows are one (G1)
