@@ -1,4 +1,4 @@
-"""Scored text search, vector search and recommendations.
+"""Scored text search, vector search and random recommendations.
 
 Each function is DataFrame -> DataFrame. Top-k is ``orderBy(...).limit(k)``,
 which Spark plans as ``TakeOrderedAndProject`` (a per-partition top-k and one
@@ -122,7 +122,7 @@ def recommend_random(posts: DataFrame, limit: int = DEFAULT_LIMIT, seed: int | N
                     "title", "summary", "url"))
 
 
-# ---------------------------------------------------------------- R6, batch
+# ---------------------------------------------------------------- character n-grams (R6, see recommend.py)
 
 
 def ngrams(text: Column, n: int) -> Column:
@@ -135,24 +135,12 @@ def ngrams(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), 1))
 
 
-def _literal_segments(q: Column) -> Column:
+def literal_segments(q: Column) -> Column:
     """Pieces of a LIKE query between its wildcards; every piece must occur in a match."""
     return F.filter(F.split(q, "[%_]"), lambda s: F.length(s) > 0)
 
 
-def validate_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split requests into valid ones and rejects (limit outside 1..20 or no student)."""
-    ok = (F.col("limit").between(MIN_LIMIT, MAX_LIMIT) & F.col("student_id").isNotNull())
-    return requests.where(ok), requests.where(~ok | ok.isNull())
-
-
-def _ranked_pool(posts: DataFrame, order: list[Column]) -> DataFrame:
-    """The first MAX_LIMIT posts under one global order, with their rank 1..20."""
-    top = posts.orderBy(*order).limit(MAX_LIMIT)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-
-
-def _request_grams(rq: DataFrame, gram: int) -> DataFrame:
+def request_grams(rq: DataFrame, gram: int) -> DataFrame:
     """(student_id, n, tri): the distinct n-grams of each request's literal pieces, n = its ``g``."""
     parts = None
     for n in range(1, gram + 1):
@@ -165,7 +153,7 @@ def _request_grams(rq: DataFrame, gram: int) -> DataFrame:
     return parts
 
 
-def _anchor_candidates(req_grams: DataFrame, index: DataFrame, key: str) -> DataFrame:
+def anchor_candidates(req_grams: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """(student_id, key) pairs whose ``index`` entry holds the request's ANCHORS rarest grams.
 
     The first step is an equi-join on the rarest gram; the next ones are
@@ -188,236 +176,113 @@ def _anchor_candidates(req_grams: DataFrame, index: DataFrame, key: str) -> Data
     return cand
 
 
-def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0,
-                    gram: int = 3, wildcards: bool = True, as_of: Column | None = None,
-                    with_rejects: bool = False) -> DataFrame:
-    """R6 over a table of requests ``(student_id, query, limit)``.
-
-    * Requests with a query get R2 scores. Candidates come from equi-joins on
-      character n-grams (a necessary condition for LIKE), then the real LIKE
-      decides. A query of letters and digits only is looked up in an n-gram
-      index of the posts' token vocabulary (token -> posts); other queries use
-      an n-gram index of the whole text. Each request joins through its rarest
-      n-grams only. No requests × posts product is formed.
-    * Requests whose query has no literal character (only wildcards) match a
-      field iff it has at least as many characters as the query has ``_``:
-      their answer is a global top-20 under the R2 order, joined by rank.
-    * Requests without a query get the stable random order (R5) the same way.
-    * Limits outside 1..20 (or requests without a student) are rejected: left out, or with
-      ``with_rejects`` answered with no recommendations; scores stay in [0, 1].
-
-    Result: one row per request with ``recommendations`` as an array of structs
-    ordered by rank, ``total_count`` and ``generated_at``; with ``with_rejects`` also
-    ``status`` (``ok`` or why the request was rejected).
-    """
-    generated_at = as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
-    valid, rejected = validate_requests(requests)
-    p = posts.where(F.col("summary").isNotNull()).select(
-        "id", "title", "summary", "body_markdown", "url", "published_at")
-    order = [F.desc("score"), F.desc_nulls_first("published_at"), F.asc("article_id")]
-
-    # --- classify the requests once; a bounded collect (at most 2 + 2*gram rows)
-    #     says which branches this batch needs, so no other branch is built
-    rq = valid.select("student_id", "query", "limit", F.lower(F.col("query")).alias("q"))
-    segs = _literal_segments(F.col("q")) if wildcards else F.array(F.col("q"))
-    rq = rq.withColumn("segs", F.coalesce(segs, F.array().cast("array<string>")))
-    longest = F.aggregate(F.col("segs"), F.lit(0), lambda acc, s: F.greatest(acc, F.length(s)))
-    rq = rq.withColumn("g", F.least(F.lit(gram), longest))
-    kind = (F.when(F.col("q").isNull(), F.lit("none")).when(F.col("g") == 0, F.lit("all"))
-            .when(F.col("q").rlike(TOKEN_ONLY), F.lit("tok")).otherwise(F.lit("gen")))
-    # the classified requests feed every branch below: write them once (one row per request)
-    rq = materialize(rq.withColumn("kind", kind), "requests")
-    present = {(r["kind"], r["g"]) for r in rq.select("kind", "g").distinct().collect()}
-    tok_sizes = sorted(g for k, g in present if k == "tok")
-    gen_sizes = sorted(g for k, g in present if k == "gen")
-    tok_rq = rq.where(F.col("kind") == "tok")
-    gen_rq = rq.where(F.col("kind") == "gen")
-    text_all = F.lower(F.concat_ws("\n", "title", "summary", "body_markdown"))
-    cands = []
-
-    # (a) a query of letters and digits only occurs inside one token of the text:
-    #     find the vocabulary tokens that contain it through an n-gram index of the
-    #     (small) vocabulary, then the posts holding those tokens
-    if tok_sizes:
-        post_tokens = (p.select("id", F.explode(F.array_distinct(F.split(text_all, TOKEN_SPLIT))).alias("tok"))
-                       .where(F.length("tok") > 0))
-        post_tokens = materialize(post_tokens, "post-tokens")
-        vocab = post_tokens.select("tok").distinct()
-        tok_grams = _request_grams(tok_rq, gram)
-        needed = tok_grams.select("n", "tri").distinct()
-        vocab_grams = None
-        for n in tok_sizes:
-            vg = vocab.select("tok", F.lit(n).alias("n"), F.explode(ngrams(F.col("tok"), n)).alias("tri"))
-            vg = vg.join(needed.where(F.col("n") == n), ["n", "tri"], "left_semi")
-            vocab_grams = vg if vocab_grams is None else vocab_grams.unionByName(vg)
-        vocab_grams = materialize(vocab_grams, "vocab-grams")
-        tok_hits = (_anchor_candidates(tok_grams, vocab_grams, "tok")
-                    .join(tok_rq.select("student_id", "q"), "student_id")
-                    .where(F.contains(F.col("tok"), F.col("q"))).select("student_id", "tok"))
-        cands.append(tok_hits.join(post_tokens, "tok").select("student_id", "id").distinct())
-
-    # (b) other queries (blanks, punctuation, wildcards): n-grams of the whole text
-    if gen_sizes:
-        gen_grams = _request_grams(gen_rq, gram)
-        needed = gen_grams.select("n", "tri").distinct()
-        post_grams = None
-        for n in gen_sizes:
-            pg = p.select("id", F.lit(n).alias("n"), F.explode(ngrams(text_all, n)).alias("tri"))
-            pg = pg.join(needed.where(F.col("n") == n), ["n", "tri"], "left_semi")
-            post_grams = pg if post_grams is None else post_grams.unionByName(pg)
-        # the scan feeds two consumers (frequencies and candidates): write it once
-        post_grams = materialize(post_grams, "post-grams")
-        cands.append(_anchor_candidates(gen_grams, post_grams, "id"))
-    has_gram = tok_rq.unionByName(gen_rq)
-
-    # verification: the posts' text is lower-cased once, before the pair join
-    lp = p.select("id", "title", "summary", "url", "published_at",
-                  F.lower("title").alias("l_title"), F.lower("summary").alias("l_summary"),
-                  F.lower("body_markdown").alias("l_body"))
-    lq = F.lower(F.col("query"))
-    plain = ~F.col("query").rlike(r"[%_\\\\]")
-
-    def hit(c):
-        # a backslash is an ordinary character, not LIKE's escape
-        like = F.like(F.col(c), F.concat(F.lit("%"), F.replace(lq, F.lit("\\"), F.lit("\\\\")), F.lit("%")))
-        return F.when(plain, F.contains(F.col(c), lq)).otherwise(like) if wildcards else F.contains(F.col(c), lq)
-
-    score = (F.when(hit("l_title"), F.lit(TITLE_WEIGHT)).when(hit("l_summary"), F.lit(SUMMARY_WEIGHT))
-             .when(hit("l_body"), F.lit(BODY_WEIGHT)).otherwise(F.lit(0.0)))
-    cols = ["student_id", "rank", "article_id", "score", "title", "summary", "url"]
-    parts = []
-    if cands:
-        cand = cands[0] if len(cands) == 1 else cands[0].unionByName(cands[1])
-        matched = (cand.join(has_gram.select("student_id", "query", "limit"), "student_id")
-                   .join(lp, "id")
-                   .select("student_id", "limit", F.col("id").alias("article_id"), score.alias("score"),
-                           "title", "summary", "url", "published_at")
-                   .where(F.col("score") > 0))
-        w = Window.partitionBy("student_id").orderBy(*order)
-        parts.append(matched.withColumn("rank", F.row_number().over(w))
-                     .where(F.col("rank") <= F.col("limit"))
-                     .where(F.col("rank") <= MAX_LIMIT).select(*cols))
-
-    # --- queries of wildcards only: '%' + q + '%' matches a field iff the field has at least as many
-    #     characters as q has '_'; one global pool per distinct count, joined by rank
-    if ("all", 0) in present:
-        alls = rq.where(F.col("kind") == "all").withColumn(
-            "u", F.length(F.regexp_replace("q", "[^_]", "")))
-        for u in sorted(r["u"] for r in alls.select("u").distinct().collect()):   # <= longest query
-            sc = (F.when(F.length("title") >= u, F.lit(TITLE_WEIGHT))
-                  .when(F.length("summary") >= u, F.lit(SUMMARY_WEIGHT))
-                  .when(F.length("body_markdown") >= u, F.lit(BODY_WEIGHT)).otherwise(F.lit(0.0)))
-            everything = p.select(F.col("id").alias("article_id"), sc.alias("score"),
-                                  "title", "summary", "url", "published_at").where(F.col("score") > 0)
-            pool_all = _ranked_pool(everything, order)
-            parts.append(alls.where(F.col("u") == u)
-                         .select("student_id", "limit", F.explode(F.sequence(F.lit(1), F.col("limit"))).alias("rank"))
-                         .join(pool_all, "rank").select(*cols))
-
-    # --- requests without a query: stable random order, same rank join
-    if ("none", 0) in present:
-        rnd = p.select(F.col("id").alias("article_id"), F.lit(1.0).alias("score"),
-                       "title", "summary", "url", "published_at",
-                       random_order(F.col("id"), seed).alias("r"))
-        pool_rnd = _ranked_pool(rnd, [F.asc("r"), F.asc("article_id")]).drop("r")
-        parts.append(rq.where(F.col("kind") == "none")
-                     .select("student_id", "limit", F.explode(F.sequence(F.lit(1), F.col("limit"))).alias("rank"))
-                     .join(pool_rnd, "rank").select(*cols))
-
-    if parts:
-        hits = parts[0]
-        for h in parts[1:]:
-            hits = hits.unionByName(h)
-    else:
-        hits = valid.limit(0).select(
-            "student_id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("article_id"),
-            F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("title"),
-            F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("url"))
-    rec = F.struct("rank", "article_id", "score", "title", "summary", "url")
-    grouped = hits.groupBy("student_id").agg(F.sort_array(F.collect_list(rec)).alias("recs"))
-    out = valid.select("student_id").join(grouped, "student_id", "left")
-    recs = F.coalesce(F.col("recs"), F.array().cast(grouped.schema["recs"].dataType))
-    out = out.select(
-        "student_id",
-        F.transform(recs, lambda r: r.dropFields("rank")).alias("recommendations"),
-        F.size(recs).cast("long").alias("total_count"),
-        generated_at.alias("generated_at"),
-    )
-    if not with_rejects:
-        return out
-    reason = F.when(F.col("student_id").isNull(), F.lit("no student_id")).otherwise(F.lit(f"limit outside {MIN_LIMIT}..{MAX_LIMIT}"))
-    return out.withColumn("status", F.lit("ok")).unionByName(rejected.select(
-        "student_id", F.array().cast(out.schema["recommendations"].dataType).alias("recommendations"),
-        F.lit(0).cast("long").alias("total_count"), generated_at.alias("generated_at"), reason.alias("status")))
-
-
 # ---------------------------------------------------------------- R3, batch of query vectors
 
-MAX_BROADCAST_QUERIES = 4096   # query vectors shipped to every task at once (checked, sliced above)
-
-
-def _topk_cosine_partition(batches, queries, dim: int, k: int):
-    """Per partition: cosine of every post vector with every query, top k per query."""
+QUERY_BYTES = 32 << 20        # query vectors that are sent to every task; beyond, they are dealt to groups of tasks
+POST_BLOCK = 4096             # post vectors that are multiplied at once
+
+
+class _TopK:
+    """The best ``k`` rows per query seen so far by one task: score falling, then id rising."""
+
+    def __init__(self, n: int, k: int):
+        import numpy as np
+        self.k, self.scores, self.ids = k, np.full((n, 0), -np.inf), np.empty((n, 0), object)
+
+    def add(self, rows, ids, scores) -> None:
+        """``scores``: one row per query in ``rows``, one column per id."""
+        import numpy as np
+        if not len(rows) or not len(ids):
+            return
+        width = self.scores.shape[1]
+        if width < self.k:                                     # room for k rows of every query
+            more = self.k - width
+            self.scores = np.hstack([self.scores, np.full((len(self.scores), more), -np.inf)])
+            self.ids = np.hstack([self.ids, np.full((len(self.ids), more), None, object)])
+        place = np.argsort(ids, kind="stable")
+        ids, scores = ids[place], scores[:, place]
+        for j, own in zip(rows, scores):
+            least = self.scores[j, -1]
+            better = np.flatnonzero(own >= least)              # equal scores can win by their id
+            if len(better) > 4 * self.k:
+                cut = np.partition(own[better], len(better) - self.k)[len(better) - self.k]
+                better = better[own[better] >= cut]
+            full = self.ids[j][[x is not None for x in self.ids[j]]]
+            all_ids = np.concatenate([full, ids[better]])
+            all_scores = np.concatenate([self.scores[j, :len(full)], own[better]])
+            order = np.lexsort((all_ids.astype(str), -all_scores))[:self.k]
+            self.ids[j, :len(order)], self.scores[j, :len(order)] = all_ids[order], all_scores[order]
+
+
+def _batch_topk(queries: list[tuple], k: int):
+    """``mapInPandas`` body: exact best ``k`` posts per query over all batches of a task."""
     import numpy as np
-    import pandas as pd
-    qids = [q[0] for q in queries]
-    qm = np.array([q[1] for q in queries], dtype=np.float64).reshape(len(queries), dim)
-    qn = np.linalg.norm(qm, axis=1)
-    for pdf in batches:
-        pdf = pdf[pdf["vec"].map(lambda v: v is not None and len(v) == dim)]
-        if pdf.empty:
-            continue
-        em = np.vstack(pdf["vec"].map(lambda v: np.asarray(v, dtype=np.float64)).to_list())
-        en = np.linalg.norm(em, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sims = (em @ qm.T) / np.outer(en, qn)
-        sims[~np.isfinite(sims)] = 0.0                          # a zero norm gives 0 (V1)
-        ids = pdf["id"].to_numpy()
-        out = []
-        for j, qid in enumerate(qids):
-            col = sims[:, j]
-            order = np.lexsort((ids, -col))[:k]                 # score DESC, id ASC
-            out.append(pd.DataFrame({"query_id": qid, "id": ids[order], "score": col[order]}))
-        yield pd.concat(out, ignore_index=True)
+
+    by_dim: dict[int, tuple] = {}
+    for dim in sorted({len(v) for _, v in queries}):
+        at = [i for i, (_, v) in enumerate(queries) if len(v) == dim]
+        m = np.array([queries[i][1] for i in at], dtype=np.float64).reshape(len(at), dim)
+        by_dim[dim] = (np.array(at), m, np.linalg.norm(m, axis=1))
+
+    def run(batches):
+        import pandas as pd
+        top = _TopK(len(queries), k)
+        for pdf in batches:
+            size = pdf["vec"].map(len)
+            for dim, (at, m, norm) in by_dim.items():
+                own = pdf[size == dim]
+                for a in range(0, len(own), POST_BLOCK):
+                    part = own.iloc[a:a + POST_BLOCK]
+                    x = np.vstack(part["vec"].to_list()).astype(np.float64).reshape(len(part), dim)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        sims = (m @ x.T) / np.outer(norm, np.linalg.norm(x, axis=1))
+                    sims[~np.isfinite(sims)] = 0.0             # a zero norm gives 0 (V1)
+                    top.add(at, part["id"].to_numpy(object), sims)
+        out = [(queries[j][0], i, s) for j in range(len(queries)) for i, s in zip(top.ids[j], top.scores[j]) if i is not None]
+        yield pd.DataFrame(out, columns=["query_id", "id", "score"])
+    return run
 
 
 def search_vector_batch(posts: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT,
-                        vec_col: str = "emb", max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                        vec_col: str = "emb", max_bytes: int = QUERY_BYTES) -> DataFrame:
     """R3 for a batch of query vectors ``(query_id, query_vector)``, exact top ``limit`` per query.
 
-    The query vectors are collected in slices of at most ``max_queries`` (a
-    checked bound) and broadcast; each task multiplies its partition's post
-    vectors with the query matrix (Arrow batches, numpy) and keeps ``limit``
-    rows per query, so a task emits at most ``queries x limit`` rows. A window
-    with a ``WindowGroupLimit`` then takes the global top ``limit`` per query.
-    No requests x posts product is materialised.
+    Each task multiplies its posts' vectors with the query matrix (Arrow batches, numpy) and keeps
+    ``limit`` rows per query over all its batches; a window with a ``WindowGroupLimit`` takes
+    the best of all tasks. The posts are scanned once: query vectors of at most ``max_bytes`` are
+    sent to all tasks, more are dealt into groups that meet every post in a shuffled join of
+    (group, post block) instead. A query and a post of unlike length have no cosine and are no
+    match; a query whose vector is null or matches nothing has one row with null id, score and rank.
+    Repeated query ids are answered by their first vector (in order of its components).
     """
     spark = posts.sparkSession
     p = posts.where(F.col(vec_col).isNotNull() & F.col("summary").isNotNull()).select(
         "id", F.col(vec_col).alias("vec"))
-    n_queries = queries.count()
-    slices = max(1, -(-n_queries // max_queries))
-    q = queries.select(F.col("query_id").cast("string").alias("query_id"), "query_vector")
+    q = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("query_vector").cast("array<double>").alias("qv"))
+    q = materialize(q.groupBy("query_id").agg(F.min("qv").alias("qv")), "query-vectors")
     schema = "query_id string, id string, score double"
-    parts = []
-    for s in range(slices):
-        part = q if slices == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)
-        rows = [(r[0], list(r[1])) for r in part.collect()]     # at most about max_queries rows
-        if not rows:
-            continue
-        dim = len(rows[0][1])
-        rows = [r for r in rows if r[1] is not None and len(r[1]) == dim]
-        bq = spark.sparkContext.broadcast(rows)
-        k = limit
-
-        def fn(batches, bq=bq, dim=dim, k=k):
-            return _topk_cosine_partition(batches, bq.value, dim, k)
-
-        parts.append(p.mapInPandas(fn, schema))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
-    cand = parts[0]
-    for x in parts[1:]:
-        cand = cand.unionByName(x)
+    size = q.agg(F.sum(F.lit(64) + 8 * F.greatest(F.size("qv"), F.lit(0)))).first()[0] or 0
+    if size <= max_bytes:
+        rows = [(r[0], list(r[1])) for r in q.where(F.col("qv").isNotNull()).collect()]      # at most max_bytes
+        sent = spark.sparkContext.broadcast(rows)
+
+        def run(batches):
+            yield from _batch_topk(sent.value, limit)(batches)
+
+        cand = p.mapInPandas(run, schema) if rows else spark.createDataFrame([], schema)
+    else:
+        groups = -(-size // max_bytes)
+        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), p.count() // (16 * POST_BLOCK) + 1)
+        grouped = q.where(F.col("qv").isNotNull()).withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
+        left = p.withColumns({"b": F.pmod(F.xxhash64("id"), F.lit(blocks)), "g": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1)))})
+        right = grouped.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1))))
+
+        def pairs(a, b):
+            import pandas as pd
+            rows = list(zip(b["query_id"], b["qv"].map(list)))
+            return next(_batch_topk(rows, limit)(iter([a[["id", "vec"]]]))) if len(rows) and len(a) else pd.DataFrame(columns=["query_id", "id", "score"])
+
+        cand = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInPandas(pairs, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    best = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return q.select("query_id").join(best, "query_id", "left")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from feedlake.operators import recommend as R
 from feedlake.operators import search as S
 from feedlake.plans.oracle import POSTS, text_score, with_
 from feedlake.plans.registry import register
+from feedlake.session import scratch_dir
 from feedlake.sources import testdata as D
 
 # Parameters of the registered queries (the query words occur in the test prose).
@@ -81,16 +85,16 @@ def recommend_random(spark, sf_dir):
 
 
 REQUESTS_SQL = """requests AS (
-  SELECT 's' || CAST(conv_id AS VARCHAR) AS student_id,
-         CASE WHEN regexp_extract(arg_min(text, turn), '([A-Za-z]{7,})', 1) <> ''
+  SELECT conv_id AS request_id, CASE WHEN conv_id % 97 <> 5 THEN 's' || CAST(conv_id % 100 AS VARCHAR) END AS student_id,
+         CASE WHEN conv_id % 10 = 3 THEN NULL
+              WHEN regexp_extract(arg_min(text, turn), '([A-Za-z]{7,})', 1) <> ''
               THEN lower(regexp_extract(arg_min(text, turn), '([A-Za-z]{7,})', 1)) END AS query,
-         CAST(count(*) AS INTEGER) AS "limit"
+         CASE WHEN conv_id % 8 = 5 THEN 5 ELSE CAST(count(*) AS INTEGER) END AS "limit"
   FROM conversations GROUP BY conv_id)"""
 
-
-@register("recommend_batch", with_(POSTS, REQUESTS_SQL, f"""valid AS (
-  SELECT * FROM requests WHERE "limit" BETWEEN 1 AND 20 AND student_id IS NOT NULL)""", f"""text_hits AS (
-  SELECT v.student_id, p.id AS article_id,
+RECOMMEND_SQL = with_(POSTS, REQUESTS_SQL, """valid AS (
+  SELECT * FROM requests WHERE "limit" BETWEEN 1 AND 20 AND student_id IS NOT NULL)""", """text_hits AS (
+  SELECT v.request_id, p.id AS article_id,
          CAST(CASE WHEN lower(p.title) LIKE '%' || v.query || '%' THEN 1.0
                    WHEN lower(p.summary) LIKE '%' || v.query || '%' THEN 0.7
                    WHEN lower(p.body_markdown) LIKE '%' || v.query || '%' THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score,
@@ -98,30 +102,61 @@ REQUESTS_SQL = """requests AS (
   FROM valid v JOIN posts p ON p.summary IS NOT NULL AND (
        lower(p.title) LIKE '%' || v.query || '%' OR lower(p.summary) LIKE '%' || v.query || '%'
        OR lower(p.body_markdown) LIKE '%' || v.query || '%')
-  WHERE v.query IS NOT NULL)""", f"""ranked AS (
-  SELECT student_id, article_id, score, "limit",
-         row_number() OVER (PARTITION BY student_id ORDER BY score DESC, published_at DESC NULLS FIRST, article_id) AS rank
+  WHERE v.query IS NOT NULL)""", """ranked AS (
+  SELECT request_id, article_id, score, "limit",
+         row_number() OVER (PARTITION BY request_id ORDER BY score DESC, published_at DESC NULLS FIRST, article_id) AS rank
   FROM text_hits)""", f"""rnd AS (
   SELECT id AS article_id, row_number() OVER (ORDER BY md5(id || '#{SEED}'), id) AS rank
   FROM posts WHERE summary IS NOT NULL)""", """hits AS (
-  SELECT student_id, rank, article_id, score FROM ranked WHERE rank <= "limit"
+  SELECT request_id, rank, article_id, score FROM ranked WHERE rank <= "limit"
   UNION ALL
-  SELECT v.student_id, r.rank, r.article_id, 1.0 FROM valid v JOIN rnd r ON r.rank <= v."limit"
+  SELECT v.request_id, r.rank, r.article_id, 1.0 FROM valid v JOIN rnd r ON r.rank <= v."limit"
   WHERE v.query IS NULL)""") + """
-SELECT v.student_id, h.rank, h.article_id, h.score,
-       count(h.article_id) OVER (PARTITION BY v.student_id) AS total_count
-FROM valid v LEFT JOIN hits h ON h.student_id = v.student_id""")
+SELECT v.request_id, v.student_id, h.rank, h.article_id, h.score, count(h.article_id) OVER (PARTITION BY v.request_id) AS total_count,
+       CASE WHEN v.student_id IS NULL THEN 'no student_id' WHEN "limit" BETWEEN 1 AND 20 THEN 'ok' ELSE 'limit outside 1..20' END AS status
+FROM requests v LEFT JOIN hits h ON h.request_id = v.request_id"""
+
+
+def _flat(out):
+    """One row per recommendation; a request without any has one row."""
+    each = out.select("request_id", "student_id", "total_count", "status", F.posexplode_outer("recommendations").alias("i", "r"))
+    return each.select("request_id", "student_id", (F.col("i") + 1).cast("long").alias("rank"), F.col("r.article_id").alias("article_id"),
+                       F.col("r.score").alias("score"), "total_count", "status")
+
+
+@register("recommend_batch", RECOMMEND_SQL)
 def recommend_batch(spark, sf_dir):
     """Batch of requests from conversations; one row per recommendation."""
-    reqs = D.requests(spark, sf_dir)
-    out = S.recommend_batch(reqs, D.posts(spark, sf_dir, with_emb=False), seed=SEED,
-                            as_of=D.ts_ntz(D.AS_OF))
-    flat = out.select("student_id", "total_count",
-                      F.explode_outer(F.arrays_zip(F.sequence(F.lit(1), F.greatest(F.size("recommendations"), F.lit(1))).alias("rank"),
-                                                   F.col("recommendations").alias("r"))).alias("x"))
-    return flat.select(
-        "student_id",
-        F.when(F.col("x.r").isNotNull(), F.col("x.rank")).cast("long").alias("rank"),
-        F.col("x.r.article_id").alias("article_id"),
-        F.col("x.r.score").alias("score"),
-        "total_count")
+    out = R.recommend_batch(D.requests(spark, sf_dir), D.posts(spark, sf_dir, with_emb=False), seed=SEED, as_of=D.ts_ntz(D.AS_OF))
+    return _flat(out)
+
+
+def _updated_index(spark, sf_dir):
+    """An index built for the posts as they were, then told the posts that are new or changed since."""
+    path = scratch_dir(spark, f"search-index-{uuid.uuid4().hex}")
+    before, now = D.prior_posts(spark, sf_dir), D.posts(spark, sf_dir, with_emb=False)
+    R.build_index(before, path)
+    same = before.select("id", F.col("body_markdown").alias("old"))
+    R.update_index(path, now.join(same, "id", "left").where(~F.col("old").eqNullSafe(F.col("body_markdown"))).drop("old"))
+    return R.read_index(spark, path)
+
+
+@register("recommend_kept_index", RECOMMEND_SQL)
+def recommend_kept_index(spark, sf_dir):
+    """R6 over a stored index that was updated with a merge's changed rows."""
+    out = R.recommend_batch(D.requests(spark, sf_dir), D.posts(spark, sf_dir, with_emb=False), seed=SEED, as_of=D.ts_ntz(D.AS_OF),
+                            index=_updated_index(spark, sf_dir))
+    return _flat(out)
+
+
+@register("index_postings", with_(POSTS, """fields AS (
+  SELECT id, published_at, 1.0 AS w, title AS t FROM posts WHERE summary IS NOT NULL
+  UNION ALL SELECT id, published_at, 0.7, summary FROM posts WHERE summary IS NOT NULL
+  UNION ALL SELECT id, published_at, 0.5, body_markdown FROM posts WHERE summary IS NOT NULL)""", """tokens AS (
+  SELECT id, published_at, w, unnest(list_distinct(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}]+'))) AS token FROM fields)""") + """
+SELECT token, count(*) AS posts, CAST(sum(score) AS DOUBLE) AS weight, max(published_at) AS latest
+FROM (SELECT token, id, max(w) AS score, max(published_at) AS published_at FROM tokens WHERE token <> '' GROUP BY token, id) GROUP BY token""")
+def index_postings(spark, sf_dir):
+    """The postings of the updated index, by token."""
+    return _updated_index(spark, sf_dir).groupBy("token").agg(
+        F.count("*").alias("posts"), F.sum(F.col("score").cast("decimal(18,1)")).cast("double").alias("weight"), F.max("published_at").alias("latest"))

@@ -248,19 +248,21 @@ def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recommendation requests ``(student_id, query, limit)`` from conversations.
+    """Recommendation requests ``(request_id, student_id, query, limit)`` from conversations.
 
     One request per conversation: the query is the first word of seven or more
-    letters in the opening user turn (NULL when there is none, which asks for
-    random picks) and the limit is the number of turns, which may fall outside
-    1..20 and is then rejected by validation.
+    letters in the opening user turn (NULL when there is none, empty for some) and the limit
+    is the number of turns (none for some), which may fall outside 1..20. Students ask
+    several times; some requests name none.
     """
     c = table(spark, sf_dir, "conversations")
     opening = F.min_by(F.col("text"), F.col("turn"))
     g = c.groupBy("conv_id").agg(opening.alias("opening"), F.count("*").alias("turns"))
     word = F.regexp_extract(F.col("opening"), r"([A-Za-z]{7,})", 1)
+    conv = F.col("conv_id")
     return g.select(
-        F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("student_id"),
-        F.when(word != "", F.lower(word)).alias("query"),
-        F.col("turns").cast("int").alias("limit"),
+        conv.alias("request_id"),
+        F.when(conv % 97 != 5, F.concat(F.lit("s"), (conv % 100).cast("string"))).alias("student_id"),
+        F.when(conv % 10 == 3, F.lit("")).when(word != "", F.lower(word)).alias("query"),
+        F.when(conv % 8 != 5, F.col("turns").cast("int")).alias("limit"),
     )

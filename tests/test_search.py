@@ -1,7 +1,9 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from feedlake.operators import recommend as R
 from feedlake.operators import search as S
 
 T0 = dt.datetime(2024, 1, 1)
@@ -61,9 +63,11 @@ def brute_recommend(posts, requests, seed):
     rnd = sorted(live, key=lambda p: (hashlib.md5(f"{p[0]}#{seed}".encode()).hexdigest(), p[0]))
     out = {}
     for sid, q, lim in requests:
-        if lim is None or not 1 <= lim <= 20:
+        lim = 5 if lim is None else lim
+        if not 1 <= lim <= 20:
+            out[sid] = []
             continue
-        if q is None:
+        if not q:
             out[sid] = [(p[0], 1.0) for p in rnd[:lim]]
             continue
         hits = [(p, score(p, q)) for p in live if score(p, q) > 0]
@@ -78,23 +82,44 @@ def test_recommend_batch_matches_brute_force(spark):
             ("s10", "in body", 5), ("s11", "50% off", 3), ("s12", "hidden, no", 4), ("s13", "ALPHA", 20),
             ("s14", "___", 6), ("s15", "%_____%", 6), ("s16", "", 2), ("s17", "________", 3)]
     rdf = spark.createDataFrame(reqs, "student_id string, query string, limit int")
-    out = S.recommend_batch(rdf, _posts(spark), seed=3, as_of=F.lit(T0).cast("timestamp_ntz")).collect()
+    out = R.recommend_batch(rdf, _posts(spark), seed=3, as_of=F.lit(T0).cast("timestamp_ntz")).collect()
     got = {r["student_id"]: [(x["article_id"], x["score"]) for x in r["recommendations"]] for r in out}
     want = brute_recommend(POSTS, reqs, 3)
     assert got == want
     assert all(r["total_count"] == len(r["recommendations"]) for r in out)
 
 
-def test_recommend_batch_answers_rejected_requests_on_request(spark):
-    reqs = [("s1", "alpha", 2), ("s2", "x", 0), ("s3", None, 21), ("s4", None, None), (None, "alpha", 3)]
-    rdf = spark.createDataFrame(reqs, "student_id string, query string, limit int")
-    out = S.recommend_batch(rdf, _posts(spark), seed=3, with_rejects=True).collect()
-    got = {r["student_id"]: (r["status"], r["total_count"]) for r in out}
-    assert len(out) == len(reqs) and got.pop("s1")[0] == "ok"
-    assert got == {"s2": ("limit outside 1..20", 0), "s3": ("limit outside 1..20", 0), "s4": ("limit outside 1..20", 0), None: ("no student_id", 0)}
-
-
-def test_vector_batch_matches_brute_force_with_slices(spark):
+def test_requests_are_answered_one_by_one(spark):
+    reqs = [(1, "s1", "alpha", 2), (2, "s1", "body", 3), (3, "s1", None, 1), (4, "s1", "", 2), (5, "s2", None, None), (6, "s2", "x", 0),
+            (7, "s2", None, 21), (8, None, "alpha", 3), (9, "s3", "   ", 5), (10, "s3", ".,;", 5), (11, "s3", "al%a", None)]
+    rdf = spark.createDataFrame(reqs, "request_id long, student_id string, query string, limit int")
+    out = {r["request_id"]: r for r in R.recommend_batch(rdf, _posts(spark), seed=3).collect()}
+    want = brute_recommend(POSTS, [(i, q, lim) for i, s, q, lim in reqs if s], 3)
+    assert {i: [(x["article_id"], x["score"]) for x in r["recommendations"]] for i, r in out.items()} == {**want, 8: []}
+    assert {i: r["status"] for i, r in out.items() if r["status"] != "ok"} == {6: "limit outside 1..20", 7: "limit outside 1..20", 8: "no student_id"}
+    assert R.recommend_batch(rdf, _posts(spark), with_rejects=False).count() == 8
+    assert R.recommend_batch(rdf.limit(0), _posts(spark)).collect() == []
+
+
+def test_kept_index_follows_changed_posts(spark, tmp_path):
+    path = str(tmp_path / "index")
+    cols = "id string, title string, summary string, body_markdown string, url string, published_at timestamp_ntz"
+    post = lambda i, body, summary="sum": (str(i), f"title{i}", summary, body, "u", T0)
+    before = spark.createDataFrame([post(i, f"old word{i}") for i in range(40)], cols)
+    after = spark.createDataFrame([post(3, "fresh words"), post(4, "old word4", None), post(90, "fresh old")], cols)
+    now = before.where("id not in (3, 4)").unionByName(after)
+    R.build_index(before, path, 8)
+    touched = R.update_index(path, after, 8)
+    assert 1 <= len(touched) <= 3
+    rows = lambda df: sorted(map(tuple, df.select("id", "token", "score", "published_at").collect()))
+    assert rows(R.read_index(spark, path)) == rows(R.post_tokens(now))
+    rdf = spark.createDataFrame([(1, "s", "fresh", 5), (2, "s", "old", 20), (3, "s", "word4", 5)], "request_id long, student_id string, query string, limit int")
+    got = {r["request_id"]: [x["article_id"] for x in r["recommendations"]] for r in R.recommend_batch(rdf, now, index=R.read_index(spark, path)).collect()}
+    assert got[1] == ["3", "90"] and len(got[2]) == 20 and got[3] == []
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 100])
+def test_vector_batch_matches_brute_force(spark, max_bytes):
     import math
     import random
     rnd = random.Random(5)
@@ -104,7 +129,7 @@ def test_vector_batch_matches_brute_force_with_slices(spark):
     pdf = spark.createDataFrame(posts, "id string, summary string, emb array<double>").repartition(3)
     queries = [(f"q{j}", [rnd.uniform(-1, 1) for _ in range(4)]) for j in range(5)]
     qdf = spark.createDataFrame(queries, "query_id string, query_vector array<double>")
-    got = S.search_vector_batch(pdf, qdf, limit=3, max_queries=2).collect()
+    got = S.search_vector_batch(pdf, qdf, limit=3, max_bytes=max_bytes).collect()
     got = {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in got}
 
     def cos(a, b):
@@ -124,3 +149,16 @@ def test_backslash_is_an_ordinary_character(spark):
     df = spark.createDataFrame([("a\\b_c",), ("ab_c",), ("a\\bxc",)], "t string")
     assert [r.t for r in df.where(contains_ci("t", "A\\b")).collect()] == ["a\\b_c", "a\\bxc"]
     assert [r.t for r in df.where(contains_ci("t", F.lit("\\b_c"))).collect()] == ["a\\b_c", "a\\bxc"]
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 40])
+def test_vector_batch_with_unlike_lengths_and_nulls(spark, max_bytes):
+    pdf = spark.createDataFrame([(str(i), "s", [float(i), 1.0, 0.0][:2 + i % 2]) for i in range(30)] + [("n", "s", None)], "id string, summary string, emb array<float>")
+    qdf = spark.createDataFrame([("two", [1.0, 0.0]), ("three", [1.0, 0.0, 0.0]), ("seven", [1.0] * 7), ("none", None), ("two", [1.0, 0.0])], "query_id string, query_vector array<double>")
+    rows = S.search_vector_batch(pdf, qdf, limit=4, max_bytes=max_bytes).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+    assert sorted(got["two"]) == [(1, "28"), (2, "26"), (3, "24"), (4, "22")] and sorted(got["three"]) == [(1, "29"), (2, "27"), (3, "25"), (4, "23")]
+    assert got["seven"] == got["none"] == [(None, None)]
+    assert S.search_vector_batch(pdf.limit(0), qdf).count() == 4 and S.search_vector_batch(pdf, qdf.limit(0)).count() == 0
