@@ -26,7 +26,8 @@ from feedlake.operators.search import (BODY_WEIGHT, DEFAULT_LIMIT, MAX_LIMIT, MI
 from feedlake.session import materialize
 from feedlake.sources import tables
 
-GRAM = 3
+#: Characters of the n-grams that queries are looked up by (fewer for shorter queries).
+GRAM = 5
 INDEX_BUCKETS = 64
 
 
@@ -79,21 +80,27 @@ def matching_tokens(postings: DataFrame, pieces: DataFrame) -> DataFrame:
     """(piece, token) for every vocabulary token that contains the piece (lower case, letters and digits).
 
     The join is on the piece's rarest n-gram (n = GRAM, or its length if it is shorter)."""
-    pieces = materialize(pieces.distinct(), "pieces")
+    pieces = pieces.distinct()
     sizes = sorted(r[0] for r in pieces.select(F.least(F.length("piece"), F.lit(GRAM))).distinct().collect())     # at most GRAM numbers
     if not sizes:
         return pieces.select("piece", F.col("piece").alias("token"))
-    vocab = materialize(postings.select("token").distinct(), "vocabulary")
-    grams = [vocab.where(F.length("token") >= n).select("token", F.lit(n).alias("n"), F.explode(ngrams(F.col("token"), n)).alias("tri")) for n in sizes]
     wanted = [pieces.where(F.least(F.length("piece"), F.lit(GRAM)) == n).select("piece", F.lit(n).alias("n"), F.explode(ngrams(F.col("piece"), n)).alias("tri"))
               for n in sizes]
-    for more in (grams, wanted):
-        while len(more) > 1:
-            more[0] = more[0].unionByName(more.pop())
-    counts = grams[0].groupBy("n", "tri").agg(F.count("*").alias("df"))
+    vocab = postings.select("token").distinct()
+    sets = F.concat(*(F.transform(ngrams(F.col("token"), n), _sized(n)) for n in sizes))
+    grams = vocab.select("token", F.explode(sets).alias("x")).select("token", "x.n", "x.tri")
+    while len(wanted) > 1:
+        wanted[0] = wanted[0].unionByName(wanted.pop())
+    # only what the pieces ask for is written, and read twice
+    grams = materialize(grams.join(wanted[0].select("n", "tri").distinct(), ["n", "tri"], "left_semi"), "vocabulary-grams")
+    counts = grams.groupBy("n", "tri").agg(F.count("*").alias("df"))
     anchor = (wanted[0].join(counts, ["n", "tri"]).groupBy("piece").agg(F.min(F.struct("df", "n", "tri")).alias("a"))
               .select("piece", "a.n", "a.tri"))
-    return anchor.join(grams[0], ["n", "tri"]).where(F.contains(F.col("token"), F.col("piece"))).select("piece", "token")
+    return anchor.join(grams, ["n", "tri"]).where(F.contains(F.col("token"), F.col("piece"))).select("piece", "token")
+
+
+def _sized(n: int):
+    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("tri"))
 
 
 # ---------------------------------------------------------------- the batch

@@ -5,10 +5,11 @@ micro-batch a key's latest row is compared with it: a key without state gives an
 hash an UPDATE, an equal one nothing. So a feed that is fetched again and again passes on what
 is new or changed in it, and nothing else is enriched or merged. All three pipelines use it.
 
-A key's rows of one batch arrive in Arrow chunks and only the best row so far is held, so a
-key with very many rows in a batch needs no more memory than others. State grows with the
-number of distinct keys (two numbers each), not with their rows. Rows without a key have no
-state: each is passed on as an INSERT.
+A key's rows of one batch arrive in Arrow chunks and only the first and the last row so far are
+held, so a key with very many rows in a batch needs no more memory than others. Rows pass through
+Python as one JSON column, beside the key and one that ranks them, because every column costs
+time for every key. State grows with the number of distinct keys (one hash each), not with
+their rows. Rows without a key have no state: each is passed on as an INSERT.
 """
 
 from __future__ import annotations
@@ -24,32 +25,28 @@ INSERT, UPDATE = "INSERT", "UPDATE"
 ACTION, IS_UPDATE = "_action", "_is_update"
 
 
-def _state_function(columns: list[str], first: list[str], order: str, first_order: str):
-    def run(key, chunks: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
-        latest = earliest = None
-        for chunk in chunks:
-            # a missing time counts as latest; ties go by hash, so the order of arrival does not matter
-            chunk = chunk.sort_values([order, "__h1", "__h2"], na_position="last", kind="stable")
-            own = chunk.iloc[[-1, 0]]
-            both = own if latest is None else pd.concat([latest, earliest, own])
-            both = both.sort_values([order, "__h1", "__h2"], na_position="last", kind="stable")
-            latest, earliest = both.iloc[[-1]], both.iloc[[0]]
-        if latest is None:
-            return
-        now = (int(latest["__h1"].iloc[0]), int(latest["__h2"].iloc[0]))
-        known = tuple(state.get) if state.exists else None
-        if known == now:
-            return
-        state.update(now)
-        out = latest[columns].reset_index(drop=True)
-        for c in first:
-            out[c] = earliest[c].reset_index(drop=True)
-        out[first_order] = earliest[order].reset_index(drop=True)
-        out[ACTION] = INSERT if known is None else UPDATE
-        out[IS_UPDATE] = known is not None
-        yield out
-    return run
+_NTZ = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+_HASH = 32                  # characters of a rank that are the row's hash
+
+
+def _compare(key, chunks: Iterator, state: GroupState) -> Iterator:
+    """The latest row of a key if its hash is not the known one, with the earliest row of the batch."""
+    import pandas as pd
+    first = last = None                                        # (rank, row)
+    for chunk in chunks:
+        ranks, rows = chunk["__rank"].array, chunk["__row"].array
+        low, high = (0, 0) if len(ranks) == 1 else (int(ranks.argmin()), int(ranks.argmax()))
+        if first is None or ranks[low] < first[0]:
+            first = ranks[low], rows[low]
+        if last is None or ranks[high] > last[0]:
+            last = ranks[high], rows[high]
+    if last is None:
+        return
+    now = last[0][-_HASH:]
+    known = state.get[0] if state.exists else None
+    if known != now:
+        state.update((now,))
+        yield pd.DataFrame({"last": [last[1]], "first": [first[1]], IS_UPDATE: [known is not None]})
 
 
 def change_stream(rows: DataFrame, key: str, values: Sequence[str], first: Sequence[str] = (),
@@ -57,17 +54,22 @@ def change_stream(rows: DataFrame, key: str, values: Sequence[str], first: Seque
     """Changes of a stream of rows, at most one per ``key`` and micro-batch.
 
     ``values`` are the columns whose change counts. The row passed on is the one latest by
-    ``order``, with the ``first`` columns of the earliest one; ``first_<order>`` is the
-    earliest time, ``_action`` INSERT or UPDATE, ``_is_update`` the flag.
+    ``order`` (a timestamp; a missing one counts as latest, ties go by hash), with the ``first``
+    columns of the earliest one; ``first_<order>`` is the earliest time, ``_action`` INSERT or
+    UPDATE, ``_is_update`` the flag. Columns must be of types that JSON can hold.
     """
-    columns, first_order = rows.columns, f"first_{order}"
-    values = [F.col(c) for c in values]
+    first_order = f"first_{order}"
     # nulls are hashed as such: xxhash64 alone skips them
-    marked = [F.struct(c.isNull().alias("n"), c.alias("v")) for c in values]
-    hashed = rows.withColumns({"__h1": F.xxhash64(*marked), "__h2": F.xxhash64(F.lit(1), *marked)})
-    out = T.StructType([*rows.schema.fields, T.StructField(first_order, rows.schema[order].dataType),
-                        T.StructField(ACTION, T.StringType()), T.StructField(IS_UPDATE, T.BooleanType())])
-    keyed = hashed.where(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(
-        _state_function(columns, list(first), order, first_order), out, "h1 long, h2 long", "append", GroupStateTimeout.NoTimeout)
+    marked = [F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in values]
+    digest = F.concat(*(F.lpad(F.lower(F.hex(h)), _HASH // 2, "0") for h in (F.xxhash64(*marked), F.xxhash64(F.lit(1), *marked))))
+    rank = F.concat(F.coalesce(F.date_format(order, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("~")), F.lit(" "), digest)
+    packed = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), rank.alias("__rank"),
+                                                       F.to_json(F.struct(*rows.columns), _NTZ).alias("__row"))
+    changed = packed.groupBy("__key").applyInPandasWithState(
+        _compare, f"last string, first string, {IS_UPDATE} boolean", "hash string", "append", GroupStateTimeout.NoTimeout)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
+    parsed = changed.select(F.from_json("last", schema, _NTZ).alias("l"), F.from_json("first", schema, _NTZ).alias("f"), IS_UPDATE)
+    keyed = parsed.select(*(F.col(f"{'f' if c in first else 'l'}.{c}").alias(c) for c in rows.columns), F.col(f"f.{order}").alias(first_order),
+                          F.when(F.col(IS_UPDATE), F.lit(UPDATE)).otherwise(F.lit(INSERT)).alias(ACTION), F.col(IS_UPDATE))
     without = rows.where(F.col(key).isNull()).withColumns({first_order: F.col(order), ACTION: F.lit(INSERT), IS_UPDATE: F.lit(False)})
     return keyed.unionByName(without)
