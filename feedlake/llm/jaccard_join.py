@@ -381,7 +381,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
     spark = docs.sparkSession
     described = materialize(describe_sets(docs, k), "jaccard-sets")
     rows = described.where("kind = 0").select("doc_id", "n_shingles", "f1", "f2")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    # written, so that the join below has an exchange of its own, whose hot classes can be split
+    classes = materialize(rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2")
+                          .agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "jaccard-classes")
     large = classes.where(F.col("rows") >= CLASS_ROWS).orderBy(F.desc("rows"), "rep").limit(KNOWN_CLASSES).select("f1", "f2", "rep").toPandas()     # bounded
     copied = large.to_numpy(np.int64).reshape(-1, 3).view(np.uint64)
     copied = copied[np.argsort(copied[:, 0], kind="stable")]
