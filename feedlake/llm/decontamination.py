@@ -245,7 +245,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)],
                                                      names=["doc_id", "item_id", "start", "end", "edits"])
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(X.lean(run), schema)
         out = part if out is None else out.union(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -264,5 +264,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
                     clean[[a + r[0] for r in own.search(texts)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(X.lean(run), docs.schema)
     return docs

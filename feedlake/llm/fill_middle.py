@@ -99,7 +99,7 @@ def store_frames(docs: DataFrame, frame_bytes: int = FRAME_BYTES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))],
                                                  names=["doc_id", "n", "marked", "frames", "units", "chars"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FRAMES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(X.lean(run), FRAMES)
 
 
 def with_plan(frames: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate: int = SPM_RATE) -> DataFrame:
@@ -177,7 +177,7 @@ def transform(frames: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate: i
                 names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "frames"])
 
     plan = with_plan(frames, seed, rate, spm_rate)
-    return plan.select("doc_id", "n", "form", "first_cut", "second_cut", "frames", "units", "chars").mapInArrow(run, OUTPUT)
+    return plan.select("doc_id", "n", "form", "first_cut", "second_cut", "frames", "units", "chars").mapInArrow(X.lean(run), OUTPUT)
 
 
 def marker_places(frames: list[bytes], form: str, opener) -> list[tuple[int, int]]:
@@ -242,7 +242,7 @@ def digests(outputs: DataFrame) -> DataFrame:
                                              names=[*kept, "output_sha256", "restored_sha256"])
 
     kept = ["doc_id", "n", "form", "prefix_chars", "middle_chars"]
-    return outputs.select(*kept, "frames").mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string")
+    return outputs.select(*kept, "frames").mapInArrow(X.lean(run), "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string")
 
 
 def fill_in_middle(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate: int = SPM_RATE, frame_bytes: int = FRAME_BYTES) -> DataFrame:

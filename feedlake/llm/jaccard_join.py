@@ -139,7 +139,7 @@ def describe_sets(docs: DataFrame, k: int) -> DataFrame:
                     [pa.array(np.ones(m, np.int32)), pa.array([None] * m, pa.int64()), pa.array(n[often].astype(np.int64)),
                      pa.array(s[first][often].view(np.int64)), pa.array(np.zeros(m, np.int64)), pa.nulls(m, pa.list_(pa.int64()))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, doc_id long, n_shingles long, f1 long, f2 long, bits array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(X.lean(run), "kind int, doc_id long, n_shingles long, f1 long, f2 long, bits array<long>")
 
 
 def _signatures(h: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -245,8 +245,7 @@ def list_entries(docs: DataFrame, frequent: np.ndarray, boundary: int, k: int, s
                      for v in (key, check, node, np.minimum(size[owner], 2**31 - 1).astype(np.int32), kind))],
                     names=["bucket", "keys", "checks", "docs", "sizes", "kinds"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(
-        run, "bucket int, keys binary, checks binary, docs binary, sizes binary, kinds binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(X.lean(run), "bucket int, keys binary, checks binary, docs binary, sizes binary, kinds binary")
 
 
 def _shared_keys(table: pa.Table) -> pa.Table:
@@ -312,7 +311,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: int) -> DataF
                 keep.append(both > 0 and 100 * both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(X.lean(run), "a long, b long")
 
 
 def _fits(similarity: int):
@@ -372,7 +371,7 @@ def _remaining_pairs(at: DataFrame, bits: DataFrame, similarity: int) -> DataFra
         a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         return pa.table({"a": pa.array(doc[a]), "b": pa.array(doc[b]), "size": pa.array(size[a]), "psize": pa.array(size[b])})
 
-    return cells.groupBy("key", "low", "high").applyInArrow(run, "a long, b long, size int, psize int")
+    return cells.groupBy("key", "low", "high").applyInArrow(X.lean_group(run), "a long, b long, size int, psize int")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, boundary: int | None = None,
@@ -401,7 +400,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMI
         listed = rows.agg(F.sum(F.ceil(F.col("n_shingles") * (100 - similarity) / 100) + 1)).first()[0] or 0
         groups = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(listed) // BUCKET_ENTRIES)
     entries = list_entries(docs, frequent, boundary, k, similarity, groups, copied)
-    shared = entries.groupBy("bucket").applyInArrow(_shared_keys, "key long, check long, doc long, size int, kind tinyint")
+    shared = entries.groupBy("bucket").applyInArrow(X.lean_group(_shared_keys), "key long, check long, doc long, size int, kind tinyint")
     # copies are known already: one entry per class (and node)
     node = materialize(rows.where("n_shingles > 0 and doc_id is not null").join(classes, ["n_shingles", "f1", "f2"])
                        .select(F.col("doc_id").alias("doc"), "rep").distinct(), "jaccard-reps")

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from feedlake.llm import tokens
+from feedlake.llm import textops as X, tokens
 from feedlake.session import materialize
 
 CAPACITY = 2048
@@ -124,7 +124,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                     [batch.column(0).take(pa.array(a + row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(total[row]),
                      batch.column(2).take(pa.array(a + row))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "spread"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("spread")).mapInArrow(run, PIECES + ", spread long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("spread")).mapInArrow(X.lean(run), PIECES + ", spread long")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, groups: int | None = None) -> DataFrame:
@@ -142,4 +142,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     # copies of one row must not fill one group: the start tells their pieces apart, the rows themselves need no order
     keyed = pieces.withColumn("group", F.pmod(F.xxhash64("spread", "start"), F.lit(groups)).cast("long")).drop("spread")
-    return keyed.groupBy("group").applyInArrow(run, PIECES + ", sequence_id long, offset long")
+    return keyed.groupBy("group").applyInArrow(X.lean_group(run), PIECES + ", sequence_id long, offset long")

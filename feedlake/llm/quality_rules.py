@@ -120,7 +120,7 @@ def cell_counts(docs: DataFrame, good: np.ndarray, buckets: int = BUCKETS) -> tu
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(target[at])],
                                          names=["cell", "raw", "target"])
 
-    rows = (docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "cell int, raw long, target long")
+    rows = (docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(X.lean(count), "cell int, raw long, target long")
             .groupBy("cell").agg(F.sum("raw"), F.sum("target")).collect())          # at most ``buckets`` rows
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for cell, a, b in rows:
@@ -155,7 +155,7 @@ def fit_threshold(docs: DataFrame, good: np.ndarray, bad: np.ndarray, weights: n
 
     # ``wanted`` holds at most max_labels ids
     rows = (docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(wanted), "doc_id", "left_semi")
-            .mapInArrow(score, "doc_id long, score double").groupBy("doc_id").agg(F.min("score")).collect())
+            .mapInArrow(X.lean(score), "doc_id long, score double").groupBy("doc_id").agg(F.min("score")).collect())
     score_of = dict(rows)
     of = lambda ids: np.array([score_of[i] for i in ids.tolist() if i in score_of])
     fine, junk = of(good), of(bad)
@@ -191,7 +191,7 @@ def score_documents(docs: DataFrame, weights: np.ndarray, threshold: float) -> D
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *STATS.fields,
                            T.StructField("score", T.DoubleType()), T.StructField("base_failed", T.BooleanType()),
                            T.StructField("kept", T.BooleanType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(X.lean(run), schema)
 
 
 def keep_documents(docs: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
@@ -203,7 +203,7 @@ def keep_documents(docs: DataFrame, weights: np.ndarray, threshold: float) -> Da
             cols, score = _measure(batch.column(at), weights)
             yield batch.filter(pa.array(~_fails(cols) & (score >= threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(X.lean(run), docs.schema)
 
 
 def _measure(column: pa.Array, weights: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:

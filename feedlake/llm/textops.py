@@ -7,7 +7,9 @@ content alone, so every task and every machine computes the same values.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,45 @@ _STEP = np.random.default_rng(7).integers(1, 1 << 63, 16, dtype=np.uint64) * np.
 _powers: list[np.ndarray] = []
 
 
+#: Seconds between two returns of freed memory within a task.
+RETURN_S = 0.25
+_returned = [0.0]
+
+
+def give_back(now: bool = False) -> None:
+    """Hand freed memory back to the system: the allocators of Arrow and of the C library keep several times what a batch needs."""
+    if not now and time.monotonic() - _returned[0] < RETURN_S:
+        return
+    _returned[0] = time.monotonic()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):                # not glibc
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` for mapInArrow, giving memory back between batches and at the end of a task."""
+    def fed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            give_back()
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(fed(batches))
+        give_back(now=True)
+    return lean_run
+
+
+def lean_group(run: Callable) -> Callable:
+    """``run`` for applyInArrow, giving memory back between groups."""
+    def lean_run(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+    return lean_run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the 64 output bits."""
     x = x ^ (x >> np.uint64(33))

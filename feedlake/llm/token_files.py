@@ -105,7 +105,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, FRAMES).write.mode("overwrite").parquet(path)
+    rows.mapInArrow(X.lean(run), FRAMES).write.mode("overwrite").parquet(path)
 
 
 _FRAME_NAMES = ["part", "part_start", "doc_ids", "id_known", "n_tokens", "ranked", "control", "data"]
@@ -131,7 +131,7 @@ def read_frames(frames: DataFrame, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "part int, part_start long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return frames.mapInArrow(run, schema)
+    return frames.mapInArrow(X.lean(run), schema)
 
 
 def read_token_files(spark, path: str, with_ids: bool = False) -> DataFrame:
@@ -139,7 +139,7 @@ def read_token_files(spark, path: str, with_ids: bool = False) -> DataFrame:
     frames = spark.read.parquet(path)
     # one row per writing task; the last frame of a part ends with the part's total
     last = frames.select("part", F.col("part_start"), F.length("n_tokens").alias("size"), "n_tokens")
-    total = last.mapInArrow(_frame_totals, "part int, total long").groupBy("part").agg(F.max("total").alias("total"))
+    total = last.mapInArrow(X.lean(_frame_totals), "part int, total long").groupBy("part").agg(F.max("total").alias("total"))
     before = total.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before"))
     docs = read_frames(frames, with_ids).join(F.broadcast(before), "part")       # as many rows as the writer had tasks
     return docs.select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

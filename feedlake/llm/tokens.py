@@ -9,7 +9,7 @@ import numpy as np
 from feedlake.llm import textops as X
 
 #: Distinct pieces whose ids a Python worker remembers (about 40 bytes each).
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 #: Bytes of text that are cut into pieces at once.
 BATCH_BYTES = 1 << 21
 
