@@ -12,7 +12,7 @@ _shipped: set[str] = set()
 
 #: Bytes of rows that are handed to a Python worker at once, unless the session says otherwise
 #: (Spark's default of 64 MiB is held by the JVM and by the worker of every running task).
-BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def ship(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ from feedlake.llm import textops as X
 #: Distinct pieces whose ids a Python worker remembers (about 40 bytes each).
 REMEMBERED = 500_000
 #: Bytes of text that are cut into pieces at once.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 19
 
 _LETTER, _SPACE, _BREAK, _MARK, _OTHER = range(5)
 _KIND = np.full(256, _OTHER, np.uint8)
