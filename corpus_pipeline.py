@@ -57,7 +57,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The quality, near-duplicate and token stages have no SQL form; tests hold run() against a brute-force version.
+#: The quality, near-duplicate and token stages have no SQL form; tests hold the stages' operators against brute force.
 ORACLE_SQL = None
 
 
