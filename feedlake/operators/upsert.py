@@ -209,6 +209,8 @@ def merge_articles(target: DataFrame, src: DataFrame, as_of: Column, null_keys:
 
 
 BATCH = "_batch"
+#: The table as it is stored: files written before the first merge lack the last two columns of a merge.
+ARTICLES_TABLE = f"{POSTS_BY_URL_SCHEMA}, {ACTION} string, {BATCH} string, bucket int"
 
 
 def merge_articles_into(target_path: str, source: DataFrame, as_of: Column, buckets: int = 64,
@@ -227,9 +229,7 @@ def merge_articles_into(target_path: str, source: DataFrame, as_of: Column, buck
     def merge(target, src):
         if target is None:
             target = src.sparkSession.createDataFrame([], schema)
-        for c in (ACTION, BATCH):
-            if c not in target.columns:
-                target = target.withColumn(c, F.lit(None).cast("string"))
+            target = target.withColumns({c: F.lit(None).cast("string") for c in (ACTION, BATCH)})
         merged = merge_articles(target.withColumnRenamed(ACTION, "__was"), src, as_of)
         here = F.lit(batch).cast("string")
         again = (F.col(ACTION) == MATCHED) & F.coalesce(F.col(BATCH) == here, F.lit(False))
@@ -238,7 +238,8 @@ def merge_articles_into(target_path: str, source: DataFrame, as_of: Column, buck
             BATCH: F.when(F.col(ACTION) == KEEP, F.col(BATCH)).otherwise(here)}).drop("__was")
 
     run = bucketed_merge if finish else stage_merge
-    return run(target_path, source.where(F.col("url").isNotNull()), "url", merge, buckets)
+    return run(target_path, source.where(F.col("url").isNotNull()), "url", merge, buckets,
+               f"{schema}, {ACTION} string, {BATCH} string, bucket int")
 
 
 def merge_by_url_into(target_path: str, stream_rows: DataFrame, as_of: Column, buckets: int = 64,

@@ -89,7 +89,7 @@ def merge_buckets(spark, sf_dir):
     target = D.posts_by_url(spark, sf_dir).withColumn(U.ACTION, F.lit(None).cast("string"))
     tables.write_bucketed(target, path, "url", BUCKETS)
     U.merge_by_url_into(path, stream_rows(spark, sf_dir), D.ts_ntz(D.AS_OF), BUCKETS)
-    t = spark.read.parquet(path).drop(tables.BUCKET, U.ACTION, U.BATCH)
+    t = tables.read(spark, path, U.ARTICLES_TABLE).drop(tables.BUCKET, U.ACTION, U.BATCH)
     return t.withColumn("body_md5", F.md5("body")).drop("body")
 
 

@@ -51,7 +51,7 @@ def stream_merge(spark, sf_dir):
     Equals the batch merge ``merge_by_url``; rows of buckets that no batch touched are kept.
     """
     _, target_path, _, _ = _run_stream(spark, sf_dir)
-    t = tables.read(spark, target_path).drop(tables.BUCKET, U.BATCH)
+    t = tables.read(spark, target_path, U.ARTICLES_TABLE).drop(tables.BUCKET, U.BATCH)
     return t.withColumns({"body_md5": F.md5("body"), U.ACTION: F.coalesce(U.ACTION, F.lit(U.KEEP))}).drop("body")
 
 
@@ -90,7 +90,7 @@ def stream_into_existing(spark, sf_dir):
     second = _source(raw.where(F.col("fetched_at") > later))
     MS.merge_articles_fn(target_path, _as_of(), stream=ckpt, finish=False)(second, 1)
     _drain(spark, raw_path, target_path, ckpt)
-    t = tables.read(spark, target_path).drop(tables.BUCKET, U.BATCH, U.ACTION)
+    t = tables.read(spark, target_path, U.ARTICLES_TABLE).drop(tables.BUCKET, U.BATCH, U.ACTION)
     return t.withColumn("body_md5", F.md5("body")).drop("body")
 
 

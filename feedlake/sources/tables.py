@@ -78,10 +78,14 @@ def overwrite(df: DataFrame, path: str) -> None:
     recover(df.sparkSession, path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table, after any interrupted replacement is finished; None if there is none."""
+def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The table, after any interrupted replacement is finished; None if there is none.
+
+    With ``schema`` no file is asked for its columns, and files that lack one have nulls in it."""
     recover(spark, path)
-    return spark.read.parquet(path) if exists(spark, path) else None
+    if not exists(spark, path):
+        return None
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
 # ------------------------------------------------------------ folders by bucket
@@ -102,10 +106,10 @@ def write_bucketed(df: DataFrame, path: str, key: str, buckets: int = 64) -> Non
      .write.mode("overwrite").partitionBy(BUCKET).parquet(path))
 
 
-def stage_merge(target_path: str, source: DataFrame, key: str, merge: Callable, buckets: int = 64) -> list[int]:
+def stage_merge(target_path: str, source: DataFrame, key: str, merge: Callable, buckets: int = 64, schema: str | None = None) -> list[int]:
     """First write of ``bucketed_merge``; the second is ``recover``."""
     spark = source.sparkSession
-    target = read(spark, target_path)
+    target = read(spark, target_path, schema)
     touched = touched_buckets(source, key, buckets)
     if touched:
         if target is not None:
@@ -115,14 +119,14 @@ def stage_merge(target_path: str, source: DataFrame, key: str, merge: Callable,
     return touched
 
 
-def bucketed_merge(target_path: str, source: DataFrame, key: str, merge: Callable, buckets: int = 64) -> list[int]:
+def bucketed_merge(target_path: str, source: DataFrame, key: str, merge: Callable, buckets: int = 64, schema: str | None = None) -> list[int]:
     """Merge ``source`` into a table stored as ``bucket=<b>`` folders, rewriting touched buckets only.
 
     ``merge(target_rows, source_rows) -> rows`` is the upsert (e.g. M1). Only the buckets that
     the source's keys lie in are read (partition pruning), merged and written back, so a merge
     costs the size of the source's buckets, not of the table. Returns the touched buckets.
     """
-    touched = stage_merge(target_path, source, key, merge, buckets)
+    touched = stage_merge(target_path, source, key, merge, buckets, schema)
     recover(source.sparkSession, target_path)
     return touched
 

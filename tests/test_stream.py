@@ -49,7 +49,7 @@ def _filled(spark, path, buckets=8):
 
 
 def _table(spark, path):
-    return tables.read(spark, path).drop(tables.BUCKET, U.BATCH, U.ACTION)
+    return tables.read(spark, path, U.ARTICLES_TABLE).drop(tables.BUCKET, U.BATCH, U.ACTION)
 
 
 def test_stream_equals_batch_and_idles(spark):
@@ -76,12 +76,12 @@ def test_replayed_batch_changes_nothing_not_even_its_actions(spark):
     batch = _source(_raw_batch(spark, 1, [("a1", "new", "u1", "b"), ("a2", "x", "u2", "bb")]))
     fn = MS.merge_articles_fn(target_path, as_of=_now(), buckets=8, stream="s")
     fn(batch, 0)
-    first = _rows(tables.read(spark, target_path))
+    first = _rows(tables.read(spark, target_path, U.ARTICLES_TABLE))
     assert {r["url"]: r["_action"] for r in first} == {"u1": "UPDATE", "u2": "INSERT"} and {r["_batch"] for r in first} == {"s#0"}
     fn(batch, 0)
-    assert _rows(tables.read(spark, target_path)) == first
+    assert _rows(tables.read(spark, target_path, U.ARTICLES_TABLE)) == first
     fn(batch, 1)                                    # the same rows in another batch: merged, equal
-    assert {r["_action"] for r in _rows(tables.read(spark, target_path))} == {"MATCHED"}
+    assert {r["_action"] for r in _rows(tables.read(spark, target_path, U.ARTICLES_TABLE))} == {"MATCHED"}
 
 
 def test_merge_cut_off_between_its_writes_is_finished_by_the_next_reader(spark):
@@ -134,7 +134,7 @@ def test_processing_time_trigger(spark):
         q.processAllAvailable()
     finally:
         q.stop()
-    assert tables.read(spark, target_path).count() == 1
+    assert tables.read(spark, target_path, U.ARTICLES_TABLE).count() == 1
 
 
 def test_change_stream_flags_new_changed_and_equal_rows(spark):
