@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlake.functions.dates import iso_utc, rss_utc
 from feedlake.functions.text import char_length
 
 # Fixed values of the reference's transforms.
@@ -27,10 +28,9 @@ PROMPT_CHARS = 2000                         # body characters in the summary pro
 EMBED_CHARS = 1000                          # body characters in the embedding input
 PROMPT_HEAD = ("Summarize this blog post in 2-3 sentences in Japanese. "
                "Focus on the main topic and key takeaways:\n\n")
-RSS_DATE_FORMAT = "dd MMM yyyy HH:mm:ss"    # 'DY, DD MON YYYY HH24:MI:SS' without the day name
 
 RSS_SCHEMA = ("channel struct<item: array<struct<title: string, link: string, "
-              "description: string, pubDate: string>>>")
+              "description: string, pubDate: string, `content:encoded`: string>>>")
 
 
 def now_ntz() -> Column:
@@ -40,13 +40,14 @@ def now_ntz() -> Column:
 # ------------------------------------------------------------ pipeline A
 
 
-def article_view(raw: DataFrame, raw_col: str = "raw_data") -> DataFrame:
+def article_view(raw: DataFrame, raw_col: str = "raw_data", wall_clock: bool = False) -> DataFrame:
     """P1 + J7: one typed row per element of each raw row's entry array.
 
     ``variant_explode`` is the lateral FLATTEN: a NULL or missing array gives
     no rows (inner semantics); an object yields one row per key. Fields are
     read with ``try_variant_get`` so a wrong type becomes NULL instead of an
-    error; the timestamp is parsed tolerantly (TRY_TO_TIMESTAMP_NTZ).
+    error; the timestamp is parsed tolerantly (TRY_TO_TIMESTAMP_NTZ). An offset
+    is applied (UTC); ``wall_clock=True`` ignores it, as the warehouse does.
     """
     spark = raw.sparkSession
     f = raw.lateralJoin(spark.tvf.variant_explode(F.col(raw_col).outer()).alias("f"))
@@ -57,7 +58,7 @@ def article_view(raw: DataFrame, raw_col: str = "raw_data") -> DataFrame:
         F.try_variant_get(v, "$.id", "string").alias("article_id"),
         F.try_variant_get(v, "$.title", "string").alias("title"),
         F.try_variant_get(v, "$.url", "string").alias("url"),
-        F.try_variant_get(v, "$.published_at", "string").try_cast("timestamp_ntz").alias("published_at"),
+        iso_utc(F.try_variant_get(v, "$.published_at", "string"), wall_clock).alias("published_at"),
         body.alias("body"),
         char_length(body).alias("body_length"),
     )
@@ -112,25 +113,27 @@ def api_contents(raw: DataFrame, raw_col: str = "xml") -> DataFrame:
     return f.select(F.col("article.value").alias("article"), "fetched_at")
 
 
-def strict_ntz(s: Column) -> Column:
+def strict_ntz(s: Column, wall_clock: bool = False) -> Column:
     """TO_TIMESTAMP_NTZ: a value that does not parse fails the job, whatever the ANSI setting."""
-    ts = s.try_cast("timestamp_ntz")
+    ts = iso_utc(s, wall_clock)
     return F.when(s.isNotNull() & ts.isNull(),
                   F.raise_error(F.concat(F.lit("cannot parse timestamp: "), s))).otherwise(ts)
 
 
-def api_fields(contents: DataFrame, host: str = POST_HOST, strict_dates: bool = True) -> DataFrame:
+def api_fields(contents: DataFrame, host: str = POST_HOST, strict_dates: bool = True,
+               wall_clock: bool = False) -> DataFrame:
     """P2 projection: typed article columns from the API JSON element.
 
     ``strict_dates`` follows the reference's TO_TIMESTAMP_NTZ (a bad date is
-    an error); ``False`` gives NULL instead (TRY_ form).
+    an error); ``False`` gives NULL instead (TRY_ form). Dates with an offset
+    become UTC; ``wall_clock=True`` ignores the offset, as the warehouse does.
     """
     a = F.col("article")
 
     def s(path: str) -> Column:
         return F.try_variant_get(a, path, "string")
 
-    parse = strict_ntz if strict_dates else (lambda c: c.try_cast("timestamp_ntz"))
+    parse = strict_ntz if strict_dates else iso_utc
 
     return contents.select(
         api_id(s("$.key"), s("$.id"), s("$.name"), s("$.publishedAt")).alias("id"),
@@ -140,14 +143,15 @@ def api_fields(contents: DataFrame, host: str = POST_HOST, strict_dates: bool =
                      F.try_variant_get(a, "$.isMembership", "boolean")).alias("level"),
         api_tags(s("$.hashtag"), s("$.user.urlname")).alias("tags"),
         api_url(s("$.user.urlname"), s("$.key"), host).alias("url"),
-        parse(s("$.publishedAt")).alias("published_at"),
+        parse(s("$.publishedAt"), wall_clock).alias("published_at"),
         s("$.type").alias("type"),
         F.col("fetched_at"),
     )
 
 
 def parse_api(raw: DataFrame, as_of: Column | None = None, lookback_hours: int | None = LOOKBACK_HOURS,
-              item_type: str | None = ITEM_TYPE, host: str = POST_HOST, strict_dates: bool = True) -> DataFrame:
+              item_type: str | None = ITEM_TYPE, host: str = POST_HOST, strict_dates: bool = True,
+              wall_clock: bool = False) -> DataFrame:
     """P2 with P8 and P9: the ``parsed_articles`` step of the enriched transform.
 
     The look-back filter is applied to the raw rows before the flatten, so it
@@ -155,7 +159,7 @@ def parse_api(raw: DataFrame, as_of: Column | None = None, lookback_hours: int |
     """
     if lookback_hours is not None:
         raw = lookback(raw, as_of, lookback_hours)
-    out = api_fields(api_contents(raw), host, strict_dates)
+    out = api_fields(api_contents(raw), host, strict_dates, wall_clock)
     if item_type is not None:
         out = out.where(F.col("type") == item_type)
     return out.drop("type")
@@ -186,13 +190,15 @@ def embed_input(title: Column, body: Column, n: int | None = None) -> Column:
 
 
 def parse_rss(raw: DataFrame, max_items: int | None = None, xml_col: str = "xml",
-              mode: str = "PERMISSIVE") -> DataFrame:
+              mode: str = "PERMISSIVE", with_content: bool = False, reference_dates: bool = False) -> DataFrame:
     """P3 + J6: RSS items of each raw XML row, all of them; ``max_items=PARITY_ITEMS`` cuts as the original view does.
 
     The XML is parsed once per row with ``from_xml`` and the items are
     position-exploded; the reference's cross join with 50 generated indices
     and six XMLGET calls per index become one generator. ``mode="FAILFAST"``
-    makes malformed XML an error (the load semantics of S2).
+    makes malformed XML an error (the load semantics of S2). Dates with a zone
+    become UTC; ``reference_dates=True`` answers NULL for them, as the
+    warehouse's format does. ``with_content`` adds the item's ``content:encoded``.
     """
     opts = {"rowTag": "rss", "mode": mode, "ignoreSurroundingSpaces": "false"}
     parsed = raw.select(F.from_xml(F.col(xml_col), RSS_SCHEMA, opts).alias("r"), "fetched_at")
@@ -208,9 +214,8 @@ def parse_rss(raw: DataFrame, max_items: int | None = None, xml_col: str = "xml"
         F.lit(RSS_LEVEL).alias("level"),
         F.array(*[F.lit(t) for t in RSS_TAGS]).alias("tags"),
         it["link"].alias("url"),
-        # the day name is dropped first: Spark's try_to_timestamp raises on 'EEE'
-        F.try_to_timestamp(F.substring(pub, 6, 1 << 20), F.lit(RSS_DATE_FORMAT)).cast("timestamp_ntz")
-        .alias("published_at"),
+        rss_utc(pub, reference_dates).alias("published_at"),
         F.col("idx").cast("long").alias("idx"),
         F.col("fetched_at"),
+        *([it["content:encoded"].alias("content")] if with_content else []),
     )

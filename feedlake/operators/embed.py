@@ -49,6 +49,7 @@ def pandas_embedder(model_fn: Callable, dim: int = EMBED_DIM) -> Embedder:
 
     An iterator pandas UDF: a task gets its batches as one iterator, so a model
     loaded inside ``model_fn``'s closure is set up once per task, not per row.
+    A vector that has not ``dim`` components is an error.
     """
     from pyspark.sql.functions import pandas_udf
 
@@ -57,7 +58,9 @@ def pandas_embedder(model_fn: Callable, dim: int = EMBED_DIM) -> Embedder:
         for s in batches:
             texts = s.fillna("").tolist()
             vecs = model_fn(texts)
-            yield pd.Series([list(map(float, v))[:dim] for v in vecs])
+            if any(len(v) != dim for v in vecs):
+                raise ValueError(f"the model's vectors must have {dim} components")
+            yield pd.Series([list(map(float, v)) for v in vecs])
 
     def embed(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
         return df.withColumn(out_col, _embed(F.col(text_col)))
@@ -94,3 +97,51 @@ def embed_backlog(chunks: DataFrame, vectors: DataFrame, embedder: Embedder | No
     created = as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
     return out.select(md5_key(F.lit("emb"), F.col("chunk_id")).alias("embedding_id"), "chunk_id",
                       "embedding_vector", F.lit(model_name).alias("model_name"), created.alias("created_at"))
+
+
+# ------------------------------------------------------------ E2 by content
+
+TEXT_HASH = "text_hash"
+STATUSES = ("kept", "replaced", "new", "gone")
+
+
+def vector_status(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """What a refresh does with each chunk id: (chunk_id, status, chunk_text of those to embed).
+
+    A vector belongs to a text: it is ``kept`` while its ``text_hash`` (md5)
+    is that of the chunk, else ``replaced``; a chunk without vector is ``new``,
+    a vector without chunk ``gone``. A vector without a hash counts as
+    replaced. Of an id that occurs several times on one side, one chunk (the
+    least text) and one vector (the least hash) count; NULL ids are left out.
+    """
+    c = (chunks.where(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.min("chunk_text").alias("chunk_text"))
+         .withColumn("__now", F.md5(F.coalesce("chunk_text", F.lit("")))).withColumn("__c", F.lit(True)))
+    v = (vectors.where(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.min(TEXT_HASH).alias("__then"))
+         .withColumn("__v", F.lit(True)))
+    j = c.join(v, "chunk_id", "full_outer")
+    status = (F.when(F.col("__c").isNull(), "gone").when(F.col("__v").isNull(), "new")
+              .when(F.col("__now").eqNullSafe(F.col("__then")), "kept").otherwise("replaced"))
+    return j.select("chunk_id", status.alias("status"), "chunk_text", F.col("__now").alias(TEXT_HASH))
+
+
+def refresh_vectors(chunks: DataFrame, vectors: DataFrame, embedder: Embedder | None = None,
+                    model_name: str = DEFAULT_MODEL, as_of: Column | None = None) -> DataFrame:
+    """The vector table after a refresh by content; only new and changed texts reach the model.
+
+    ``vectors`` has embedding_id, chunk_id, embedding_vector, model_name,
+    created_at and text_hash, and so has the result. Running it again on its
+    own result embeds nothing. Write it with ``tables.overwrite``, which
+    keeps the old table until the new one is whole.
+    """
+    from feedlake.functions.text import md5_key
+    embedder = embedder or hashing_embedder()
+    columns = ["embedding_id", "chunk_id", "embedding_vector", "model_name", "created_at", TEXT_HASH]
+    status = vector_status(chunks, vectors)
+    kept = vectors.join(status.where(F.col("status") == "kept").select("chunk_id", TEXT_HASH),
+                        ["chunk_id", TEXT_HASH], "left_semi").dropDuplicates(["chunk_id"])
+    todo = status.where(F.col("status").isin("new", "replaced")).select("chunk_id", "chunk_text", TEXT_HASH)
+    created = as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
+    made = embedder(todo, "chunk_text", "embedding_vector").select(
+        md5_key(F.lit("emb"), F.col("chunk_id"), F.col(TEXT_HASH)).alias("embedding_id"), "chunk_id",
+        "embedding_vector", F.lit(model_name).alias("model_name"), created.alias("created_at"), TEXT_HASH)
+    return kept.select(*columns).unionByName(made.select(*columns))

@@ -173,3 +173,19 @@ def variant_path(spark, sf_dir):
     from feedlake.functions.variant import as_int
     e = D.table(spark, sf_dir, "events")
     return e.select("event_id", "event_type", as_int(F.try_parse_json("props"), "k").alias("k"))
+
+
+_WALL = f"({EPOCH} + to_minutes(CAST(doc_id AS BIGINT)))"
+_EAST = "[540, 0, 0, -300, -210, 0][CAST(doc_id % 6 AS INT) + 1]"
+
+
+@register("zoned_dates", f"""
+SELECT doc_id, {_WALL} - to_minutes({_EAST}) AS rss_utc, {_WALL} - to_minutes({_EAST}) AS iso_utc,
+       {_WALL} AS iso_wall, CASE WHEN doc_id % 6 = 2 THEN {_WALL} END AS rss_reference
+FROM documents""")
+def zoned_dates(spark, sf_dir):
+    """Dates with and without an offset as UTC, and as the warehouse reads them."""
+    from feedlake.functions.dates import iso_utc, rss_utc
+    return D.zoned_dates(spark, sf_dir).select(
+        "doc_id", rss_utc(F.col("rss")).alias("rss_utc"), iso_utc(F.col("iso")).alias("iso_utc"),
+        iso_utc(F.col("iso"), wall_clock=True).alias("iso_wall"), rss_utc(F.col("rss"), reference=True).alias("rss_reference"))

@@ -8,7 +8,8 @@ from feedlake.functions.text import like_any, preview
 from feedlake.operators import articles as A
 from feedlake.operators import profile as PR
 from feedlake.plans.oracle import AS_OF, ARTICLE_VIEW, ENTRIES, POSTS, RAW_FEEDS, with_
-from feedlake.plans.q_merge import (MERGED_POSTS, PRIOR_BASIC, SRC_BASIC, merge_basic)
+from feedlake.plans.q_merge import (API, API_TYPED, MERGED_POSTS, PRIOR_BASIC, PRIOR_POSTS, SRC_BASIC, SRC_BY_ID, merge_basic,
+                                     merge_by_id)
 from feedlake.plans.q_articles import XML_ITEMS
 from feedlake.plans.q_vectors import CHUNKS_SQL, VECTORS_SQL, chunks
 from feedlake.plans.registry import register
@@ -164,6 +165,22 @@ def transform_report(spark, sf_dir):
     return PR.transform_report(merge_basic(spark, sf_dir), D.ts_ntz(D.AS_OF))
 
 
+@register("transform_report_enriched", with_(POSTS, API, API_TYPED, PRIOR_POSTS, SRC_BY_ID, MERGED_POSTS) + f"""
+SELECT 'Transform completed' AS status, count(*) AS records_processed,
+       {AS_OF} AS processed_at FROM merged WHERE updated_at >= {AS_OF} - INTERVAL 5 MINUTE""")
+def transform_report_enriched(spark, sf_dir):
+    """Report of the enriched transform (rows updated in the last 5 minutes)."""
+    return PR.transform_report(merge_by_id(spark, sf_dir), D.ts_ntz(D.AS_OF), PR.STATUS_ENRICHED)
+
+
+@register("audit_unique", with_(POSTS) + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, {c} AS key, count(*) AS n FROM posts GROUP BY {c} HAVING count(*) > 1"
+    for c in ("id", "url", "title")))
+def audit_unique(spark, sf_dir):
+    """Q1: values that occur more than once in the columns declared or expected to be unique, in one scan."""
+    return PR.audit_unique(D.posts(spark, sf_dir, with_emb=False), ["id", "url", "title"])
+
+
 @register("table_counts", with_(ENTRIES, RAW_FEEDS, POSTS, CHUNKS_SQL, VECTORS_SQL) + """
 SELECT 'raw.feed_raw' AS table_name, CAST(count(*) AS VARCHAR) AS row_count FROM raw_feeds
 UNION ALL SELECT 'core.posts', CAST(count(*) AS VARCHAR) FROM posts

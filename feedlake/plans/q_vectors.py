@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedlake.functions.vectors import cosine, dot
 from feedlake.operators import chunks as C
 from feedlake.operators import search as S
-from feedlake.operators.embed import EMBED_DIM, embed_backlog, hashing_embedder
+from feedlake.operators.embed import EMBED_DIM, embed_backlog, hashing_embedder, refresh_vectors, vector_status
 from feedlake.plans.oracle import AS_OF, NL, POSTS, with_
 from feedlake.plans.registry import register
 from feedlake.sources import testdata as D
@@ -175,9 +175,46 @@ def embed_backlog_q(spark, sf_dir):
     return rows.select("chunk_id", "model_name", F.size("embedding_vector").alias("dims"))
 
 
-@register("embed_default")
+OLD_CHUNKS = CHUNKS_SQL.replace("chunks AS (", "old_chunks AS (").replace("FROM posts)", "FROM prior)")
+PRIOR = f"""prior AS (
+  SELECT * REPLACE (replace(body_markdown, 'the', 'teh') AS body_markdown) FROM posts
+  WHERE updated_at <= {AS_OF} - INTERVAL 12 HOUR)"""
+
+
+@register("embed_refresh", with_(POSTS, PRIOR, CHUNKS_SQL, OLD_CHUNKS) + f"""
+SELECT coalesce(c.chunk_id, o.chunk_id) AS chunk_id,
+       CASE WHEN c.chunk_id IS NULL THEN 'gone' WHEN o.chunk_id IS NULL THEN 'new'
+            WHEN c.chunk_text = o.chunk_text THEN 'kept' ELSE 'replaced' END AS status,
+       CASE WHEN c.chunk_id IS NOT NULL THEN 'kept' END AS status_after, md5(c.chunk_text) AS text_hash,
+       CASE WHEN c.chunk_id IS NOT NULL THEN CAST({EMBED_DIM} AS BIGINT) END AS dims
+FROM chunks c FULL JOIN old_chunks o ON c.chunk_id = o.chunk_id""")
+def embed_refresh(spark, sf_dir):
+    """Vectors of the table's earlier texts refreshed by content and written; what each id became, then and on a second run."""
+    import uuid
+    from feedlake.session import materialize, scratch_dir
+    from feedlake.sources import tables
+    as_of = D.ts_ntz(D.AS_OF)
+    now = materialize(chunks(spark, sf_dir), "chunks")
+    old = materialize(C.post_chunks(D.prior_posts(spark, sf_dir), as_of), "chunks-before")
+    path = scratch_dir(spark, f"vectors-{uuid.uuid4().hex}")
+    none = old.limit(0).select(F.lit("").alias("embedding_id"), "chunk_id",
+                               F.array(F.lit(0.0).cast("float")).alias("embedding_vector"),
+                               F.lit("").alias("model_name"), "created_at", F.lit("").alias("text_hash"))
+    tables.overwrite(refresh_vectors(old, none, as_of=as_of), path)
+    before = vector_status(now, tables.read(spark, path)).select("chunk_id", "status")
+    before = materialize(before, "vector-status")
+    tables.overwrite(refresh_vectors(now, tables.read(spark, path), as_of=as_of), path)
+    vectors = tables.read(spark, path)
+    after = vector_status(now, vectors).select("chunk_id", F.col("status").alias("status_after"))
+    dims = vectors.select("chunk_id", "text_hash", F.size("embedding_vector").cast("long").alias("dims"))
+    return before.join(after, "chunk_id", "left").join(dims, "chunk_id", "left")
+
+
+@register("embed_default", f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN text IS NOT NULL THEN CAST({EMBED_DIM} AS BIGINT) END AS dims
+FROM documents""")
 def embed_default(spark, sf_dir):
-    """E1 default embedder over every post (rows only: values are model-specific)."""
+    """E1 default embedder over every post (the length of each vector: values are model-specific)."""
     p = D.posts(spark, sf_dir, with_emb=False).select("id", "title", "body_markdown")
     from feedlake.operators.articles import embed_input
     p = p.withColumn("t", embed_input(F.col("title"), F.col("body_markdown")))

@@ -8,11 +8,15 @@ across the cluster, and every row keeps its source file path.
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedlake.functions import html as H
+from feedlake.functions.html import html_to_text
 from feedlake.operators.articles import RSS_SCHEMA
 
 def _file_path():
@@ -24,16 +28,18 @@ def _file_path():
 
 def land(df: DataFrame, landing_dir: str, value: Column, by: str, fmt: str = "text",
          stamp: str | None = None) -> str:
-    """Write one file per feed under ``landing_dir/<stamp>/``; returns that folder.
+    """Write the fetched feeds under ``landing_dir/<stamp>/feed=<name>/``; returns that folder.
 
     ``value`` is the file content (a JSON array or an XML document) and ``by``
-    the column naming the feed, so each feed becomes its own file.
+    the column naming the feed. As text, every row becomes a file of its own
+    (a feed fetched twice gives two), wherever the rows lie and without a
+    shuffle, so no file ever holds two documents.
     """
     stamp = stamp or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     out = f"{landing_dir.rstrip('/')}/{stamp}"
     rows = df.select(F.col(by).alias("feed"), value.alias("value"))
     if fmt == "text":
-        rows.write.mode("errorifexists").partitionBy("feed").text(out)
+        rows.write.mode("errorifexists").option("maxRecordsPerFile", 1).partitionBy("feed").text(out)
     else:
         rows.write.mode("errorifexists").partitionBy("feed").format(fmt).save(out)
     return out
@@ -111,61 +117,26 @@ def append_typed(df, path: str, schema: T.StructType, spark: SparkSession | None
     return int(obs.get["rows"])
 
 
-# ------------------------------------------------------------ S4, S11 (HTML)
-
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
-_BLOCK = "p|div|h[1-6]|li|ul|ol|article|section|nav|br|tr|table|header|footer|main|body|html|blockquote|pre"
-
-
-def unescape(c: Column) -> Column:
-    for ent, ch in _ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
-
-
-def html_to_text(html: Column) -> Column:
-    """HTML to plain text with links kept as ``[text](href)`` and images dropped.
-
-    A chain of JVM regex replacements: scripts, styles, head and comments
-    are removed, block elements become line breaks, other tags vanish,
-    entities are decoded and blank runs collapsed.
-    """
-    c = html
-    for tag in ("script", "style", "head"):
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    c = F.regexp_replace(c, r"(?i)<img\b[^>]*>", "")
-    c = F.regexp_replace(c, r"(?is)<a\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a\s*>", "[$2]($1)")
-    c = F.regexp_replace(c, rf"(?i)</?({_BLOCK})\b[^>]*>", "\n")
-    c = F.regexp_replace(c, r"<[^>]*>", "")
-    c = unescape(c)
-    c = F.regexp_replace(c, r"[ \t\r\f]+", " ")
-    c = F.regexp_replace(c, r" ?\n[ \n]*", "\n")
-    return F.trim(F.regexp_replace(c, r"^\n+|\n+$", ""))
-
+# ------------------------------------------------------------ S11
 
 # The content containers the reference's page fetcher looks for, in order.
-CONTAINERS = [
-    r"(?is)<div\b[^>]*class=\"[^\"]*\bnote-common-styles__textnote-body\b[^\"]*\"[^>]*>(.*?)</div>",
-    r"(?is)<div\b[^>]*class=\"[^\"]*\b(?:p-article__content|note-body)\b[^\"]*\"[^>]*>(.*?)</div>",
-]
-ARTICLE_TAG = r"(?is)<article\b[^>]*>(.*?)</article>"
+CONTAINERS = [("div", ("note-common-styles__textnote-body",)), ("div", ("p-article__content", "note-body"))]
+ARTICLE_TAG = ("article", ())
 
 
-def strip_text(fragment: Column) -> Column:
-    """Text of an HTML fragment with each text node stripped and joined (get_text(strip=True))."""
-    c = fragment
-    for tag in ("script", "style"):
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
-    c = F.regexp_replace(c, r"\s*<[^>]*>\s*", "")
-    return F.trim(unescape(c))
+def extract_article(html: Column, containers: list[tuple] | None = None) -> Column:
+    """Text of the first container found, whole and with all that is nested in it, else ''.
 
-
-def extract_article(html: Column, containers: list[str] | None = None) -> Column:
-    """Text of the first matching content container, else ''."""
+    A container is a tag and the classes of which it must have one (any, if none is named). They
+    are tried in order; one that is found but empty gives ''. Text nodes are stripped and joined.
+    """
     containers = containers if containers is not None else CONTAINERS
-    found = [F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in containers]
-    return F.coalesce(*[strip_text(x) for x in found], F.lit(""))
+    found = []
+    for tag, classes in containers:
+        text = H.node_text(H.element(html, tag, classes))
+        for_any = reduce(or_, [F.contains(html, F.lit(c)) for c in classes]) if classes else None
+        found.append(text if for_any is None else F.when(for_any, text))      # most pages need no search
+    return F.coalesce(*found, F.lit(""))
 
 
 # ------------------------------------------------------------ S3
@@ -174,8 +145,8 @@ def extract_article(html: Column, containers: list[str] | None = None) -> Column
 def normalise_entries(items: DataFrame, now: Column | None = None, id_col: Column | None = None) -> DataFrame:
     """S3: feed items to (id, title, url, published_at, body).
 
-    Title and link default to ''; published_at is the item's date in ISO form
-    or the run time; the body is the summary (description), else the first
+    Title and link default to ''; published_at is the item's date (UTC) in ISO form
+    or, where it has none that parses, the run time; the body is the summary (description), else the first
     content value, converted from HTML to text. ``id`` is a uuid unless a
     reproducible ``id_col`` is given.
     """

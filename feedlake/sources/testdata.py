@@ -234,6 +234,34 @@ def prior_posts(spark: SparkSession, sf_dir: str, id_rule: str = "doc") -> DataF
     return p.withColumn("body_markdown", revised_old(F.col("body_markdown")))
 
 
+def container_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose article is the inside of a content container with more elements of its name around and in it."""
+    decoy = '<div class="note-body-x"><div>decoy</div></div>'
+    opening = F.element_at(F.array(*[F.lit(f"{decoy}<div {c}><div><div></div>") for c in (
+        "class='w note-body'", "id=a class=p-article__content", 'class="note-common-styles__textnote-body w"')]),
+        (F.pmod(F.col("page_id"), F.lit(3)) + 1).cast("int"))
+    html = F.replace(F.col("html"), F.lit("<article>"), opening)
+    html = F.replace(html, F.lit("</article>"), F.lit('</div> </div><div class="note-body">later</div>'))
+    return table(spark, sf_dir, "pages", spread=True).withColumn("html", html)
+
+
+def zoned_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's date written as an RSS and as an ISO date, in one of five zones or none."""
+    d = documents(spark, sf_dir)
+    n = (F.pmod(F.col("doc_id"), F.lit(6)) + 1).cast("int")
+    wall = published_at(F.col("doc_id"))
+
+    def zone(*names: str) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in names]), n)
+
+    return d.select(
+        "doc_id",
+        F.concat(F.date_format(wall, "EEE, dd MMM yyyy HH:mm:ss"),
+                 zone(" +0900", " GMT", "", " EST", " -0330", " Z")).alias("rss"),
+        F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"),
+                 zone("+09:00", "Z", "", "-05:00", "-0330", "+00:00")).alias("iso"))
+
+
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``stg.embeddings``: driver vectors attached to the first chunk of article vec_id."""
     from feedlake.operators.chunks import chunk_key

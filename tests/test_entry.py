@@ -30,7 +30,7 @@ def test_registry_shapes():
     assert set(qs) <= set(E.queries()) and set(sql) <= set(E.oracle_sql())
     assert set(sql) <= set(qs)
     rows_only = set(qs) - set(sql)
-    assert rows_only <= {"embed_default", "sample", "stream_idle"}
+    assert rows_only <= {"sample", "stream_idle"}
 
 
 def _cell(v):
