@@ -12,7 +12,9 @@ T = m + 1 - q (k + 1) of the item's q-grams. So:
    once, one numpy row per pattern position), which also gives the passage's bounds.
 
 The benchmark is split into slices of at most ``SLICE_CHARS`` characters; each slice is
-sent to the tasks (a checked size) and makes one pass, so its size is not assumed.
+sent to the tasks (a checked size) and makes one pass, so its size is not assumed. Before the
+next slice is sent, what the last one found is written and the slice is freed: tasks and driver
+hold one slice at a time.
 
 Edge cases: null or empty documents leak nothing; items that are null or shorter than q + 1
 characters cannot be told from chance and are ignored; k shrinks for short items until T is
@@ -22,13 +24,16 @@ one; a null id is reported as null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from feedlake.llm import textops as X
+from feedlake.session import materialize
 
 Q = 8
 RATE = 0.1
@@ -229,40 +234,58 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         at = end
 
 
+def _slice_pass(docs: DataFrame, items: list[tuple[int, str]], answer: Callable, schema, q: int, rate: float) -> tuple[DataFrame, Broadcast]:
+    """``answer(index, batch)`` for every batch of ``docs``, and the broadcast slice that the frame needs."""
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        index = Index(sent.value, q, rate)
+        for batch in batches:
+            yield from answer(index, batch)
+
+    return docs.mapInArrow(X.lean(run), schema), sent
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
-    """doc_id, item_id, start, end (code points, end exclusive), edits of every leaked passage."""
-    out = None
+    """doc_id, item_id, start, end (code points, end exclusive), edits of every leaked passage.
+
+    A slice's passages are written under the checkpoint folder before the next slice is sent."""
     schema = "doc_id long, item_id long, start long, end long, edits long"
-    for items in slices(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = Index(index.value, q, rate)
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                for at, texts in _texts(batch.column(1)):
-                    rows = [(ids[at + d], *rest) for d, *rest in own.search(texts)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)],
-                                                     names=["doc_id", "item_id", "start", "end", "edits"])
+    def passages(index: Index, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = batch.column(0).to_pylist()
+        for at, texts in _texts(batch.column(1)):
+            rows = [(ids[at + d], *rest) for d, *rest in index.search(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)],
+                                             names=["doc_id", "item_id", "start", "end", "edits"])
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(X.lean(run), schema)
-        out = part if out is None else out.union(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    parts, sent = [], None
+    for items in slices(benchmark):
+        if sent:
+            parts[-1] = materialize(parts[-1], "leaks")
+            sent.destroy()
+        part, sent = _slice_pass(rows, items, passages, schema, q, rate)
+        parts.append(part)
+    return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
-    """The rows of ``docs`` that leak no benchmark item, with all their columns."""
+    """The rows of ``docs`` that leak no benchmark item, with all their columns.
+
+    What a slice leaves is written under the checkpoint folder before the next slice is sent."""
     at = docs.columns.index("text")
-    for items in slices(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = Index(index.value, q, rate)
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for a, texts in _texts(batch.column(at)):
-                    clean[[a + r[0] for r in own.search(texts)]] = False
-                yield batch.filter(pa.array(clean))
+    def clean_rows(index: Index, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        clean = np.ones(batch.num_rows, bool)
+        for a, texts in _texts(batch.column(at)):
+            clean[[a + r[0] for r in index.search(texts)]] = False
+        yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(X.lean(run), docs.schema)
+    sent = None
+    for items in slices(benchmark):
+        if sent:
+            docs = materialize(docs, "clean")
+            sent.destroy()
+        docs, sent = _slice_pass(docs, items, clean_rows, docs.schema, q, rate)
     return docs

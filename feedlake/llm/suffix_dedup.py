@@ -3,7 +3,8 @@
 A byte is removed if a ``length``-byte string that covers it also starts in a document with
 a smaller id (judged on the input; matches never cross documents).
 
-1. Documents are dealt into blocks by the hash of their id. Each window of ``length`` bytes
+1. Documents are dealt into blocks by the hash of their id and text; the number of blocks follows
+   the measured size of the texts, so a block's size does not grow with the table. Each window of ``length`` bytes
    picks its seed, the ``SEED``-gram with the smallest hash (a function of the window alone,
    so equal windows pick equal seeds). Every block sends each distinct seed once, as packed
    numpy arrays, to the seed's bucket; the bucket answers with the seeds that two documents
@@ -40,6 +41,10 @@ LENGTH = 50
 SEED = 20
 PERIOD = 32
 
+#: Bytes of text per block, and per bucket of seeds and runs (these are about a quarter of the text).
+BLOCK_BYTES = 256 << 20
+BUCKET_BYTES = 1 << 30
+
 _NO_ID = np.iinfo(np.int64).max
 _TO_BLOCK = "block int, tag int, a binary, b binary"
 
@@ -388,21 +393,25 @@ def _finish(length: int, texts: bool):
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, groups: int | None = None, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of every row of ``docs``.
 
-    ``length``: bytes of a repeated string, 32 to 64. ``groups``: number of blocks, one per
-    shuffle partition unless given; there are twice as many buckets (a block and a bucket
-    exchange one row, so more of either multiplies the rows)."""
+    ``length``: bytes of a repeated string, 32 to 64. ``groups``: number of blocks, with twice as
+    many buckets. Unless given, both follow from the texts' measured bytes (``BLOCK_BYTES``,
+    ``BUCKET_BYTES``), and are one and two per shuffle partition at least. A block and a bucket
+    exchange one row, so smaller blocks multiply the rows. Rows that repeat an id with
+    different texts are spread over the blocks; equal rows stay in one."""
     if not 32 <= length <= 64:                                       # ranks reach 64 bytes: beyond, equal strings need not be neighbours
         raise ValueError("length must be between 32 and 64")
-    groups = groups or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("block"),
+    buckets = 2 * groups if groups else None
+    if not groups:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        groups, buckets = max(parts, -(-size // BLOCK_BYTES)), max(2 * parts, -(-size // BUCKET_BYTES))
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("block"),
                        F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # rows without an id would all meet in one block
-    rows = rows.withColumn("block", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(groups)).cast("int")).otherwise(F.col("block")))
     blocks = lambda: rows.groupBy("block")
-    seeds = blocks().applyInArrow(_send_seeds(2 * groups, length), "bucket int, block int, seeds binary, shared binary")
+    seeds = blocks().applyInArrow(_send_seeds(buckets, length), "bucket int, block int, seeds binary, shared binary")
     answers = seeds.groupBy("bucket").applyInArrow(_answer_seeds, _TO_BLOCK)
     runs = blocks().cogroup(answers.groupBy("block")).applyInArrow(
-        _send_runs(2 * groups, length), "bucket int, block int, keys binary, docs binary, sizes binary, texts binary")
+        _send_runs(buckets, length), "bucket int, block int, keys binary, docs binary, sizes binary, texts binary")
     masks = runs.groupBy("bucket").applyInArrow(_sort_bucket(length), _TO_BLOCK)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
     return blocks().cogroup(masks.groupBy("block")).applyInArrow(_finish(length, texts), schema)

@@ -3,13 +3,14 @@
 import random
 import time
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from feedlake.llm import components, html_extract as H, jaccard_join as J, packing, ship, suffix_dedup, url_filter
+from feedlake.llm import components, decontamination as D, html_extract as H, jaccard_join as J, packing, ship, suffix_dedup, url_filter
 
 
 @pytest.mark.parametrize("page", [
@@ -91,3 +92,32 @@ def test_representatives_with_maps(spark):
     ship(spark)
     docs = spark.createDataFrame([(1, "a b c d e f g", {"x": 1}), (1, "a b c d e f g", {"x": 2}), (2, "a b c d e f g", None)], "doc_id long, text string, m map<string,int>")
     assert [r.doc_id for r in J.keep_one_per_component(docs).collect()] == [1]
+
+
+def test_decontamination_in_slices(spark, monkeypatch):
+    """Each slice is written and freed before the next one; the passages and the kept rows are those of one pass."""
+    item = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    bench = spark.createDataFrame([(i, item(i)) for i in range(6)] + [(9, None)], "item_id long, text string")
+    rows = [(i, f"head {item(i)} tail {item(i + 1) if i % 2 else ''}") for i in range(5)] + [(7, "clean words"), (8, None), (None, item(2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, D.find_leaks(docs, bench).collect()), key=str)
+    kept = sorted(map(tuple, D.drop_leaking(docs, bench).collect()), key=str)
+    assert {r[:2] for r in whole} >= {(i, i) for i in range(5)} | {(None, 2)} and kept == sorted([(7, "clean words"), (8, None)], key=str)
+    monkeypatch.setattr(D, "slices", partial(D.slices, limit=100))
+    assert len(list(D.slices(bench))) > 2
+    assert sorted(map(tuple, D.find_leaks(docs, bench).collect()), key=str) == whole
+    assert sorted(map(tuple, D.drop_leaking(docs, bench).collect()), key=str) == kept
+
+
+def test_suffix_blocks_follow_the_texts_size(spark, monkeypatch):
+    """More blocks than shuffle partitions, rows that repeat an id in several of them: the same result."""
+    rng = random.Random(6)
+    shared = ["".join(rng.choice("abcd ") for _ in range(90)) for _ in range(4)]
+    rows = [(i // 2, rng.choice(shared) + "".join(rng.choice("xyz") for _ in range(rng.randrange(60))) + rng.choice(shared)) for i in range(60)]
+    rows += [(3, None), (None, shared[0]), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(map(tuple, suffix_dedup.suffix_dedup(docs, groups=1).collect()), key=str)
+    assert sum(r[2] for r in one) > 0
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 500)
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs).collect()), key=str) == one
