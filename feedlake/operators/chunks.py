@@ -37,9 +37,6 @@ def _check(size: int, overlap: int) -> int:
     return size - overlap
 
 
-LONG_TEXT = 200_000       # characters; longer texts take the linear piece-wise cut
-
-
 def _closed_form_array(t: Column, step: int, size: int) -> Column:
     n = F.greatest(F.lit(0), F.ceil(F.length(t) / F.lit(step)) - 1).cast("int")
     return F.transform(F.sequence(F.lit(0), n), lambda k: F.substring(t, k * step + 1, F.lit(size)))
@@ -53,17 +50,16 @@ def _linear_array(t: Column, step: int, size: int) -> Column:
 
 
 def window_chunks(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                  min_len: int = CHUNK_MIN, long_text: int = LONG_TEXT) -> DataFrame:
+                  min_len: int = CHUNK_MIN, long_text: int = -1) -> DataFrame:
     """C1 (SPLIT_TEXT_TO_CHUNKS): fixed windows of ``size`` characters every ``size - overlap``.
 
     Adds ``chunk_index`` and ``chunk_text``; pieces of ``min_len`` characters
     or fewer are dropped. One pass: each row's chunks are built as one array,
     then exploded, so the text is never copied into every chunk row and the
-    input is read once. Up to ``long_text`` characters the array is the closed
-    form of the recursion (chunk k = ``substring(text, k*step + 1, size)``);
-    ``substring`` by character position rescans the UTF-8 text from its
-    start, so longer texts are cut by one linear regex pass instead. Both give
-    the same chunks.
+    input is read once. Texts are cut by one linear regex pass, whatever their
+    length: ``substring`` by character position rescans the UTF-8 text from its
+    start. Texts of at most ``long_text`` characters (by default none) take the
+    closed form of the recursion instead. Both give the same chunks.
     """
     step = _check(size, overlap)
     t = F.col(text)
@@ -75,17 +71,17 @@ def window_chunks(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int
 
 def window_chunks_linear(df: DataFrame, text: str, size: int = CHUNK_SIZE,
                          overlap: int = CHUNK_OVERLAP, min_len: int = CHUNK_MIN) -> DataFrame:
-    """C1 in one linear pass for every row (the path ``window_chunks`` takes for long texts)."""
-    return window_chunks(df, text, size, overlap, min_len, long_text=-1)
+    """C1 in one linear pass for every row."""
+    return window_chunks(df, text, size, overlap, min_len)
 
 
 def window_chunks_closed_form(df: DataFrame, text: str, size: int = CHUNK_SIZE,
                               overlap: int = CHUNK_OVERLAP, min_len: int = CHUNK_MIN) -> DataFrame:
-    """The same chunks as a lateral call of ``sequence`` + ``substring`` per row."""
-    step = _check(size, overlap)
-    n = F.greatest(F.lit(0), F.ceil(F.length(text) / F.lit(step)) - 1)
-    out = df.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), n.cast("int"))))
-    out = out.withColumn("chunk_text", F.substring(F.col(text), F.col("chunk_index") * step + 1, F.lit(size)))
+    """The same chunks as a lateral call of ``sequence`` + ``substring`` per row.
+
+    The pieces are built before the explode, so the text itself is not copied into every chunk row."""
+    arr = _closed_form_array(F.col(text), _check(size, overlap), size)
+    out = df.select("*", F.posexplode(arr).alias("chunk_index", "chunk_text"))
     return out.where(F.col("chunk_text").isNotNull() & (F.length("chunk_text") > min_len))
 
 

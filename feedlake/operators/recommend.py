@@ -18,11 +18,15 @@ third of all requests share is one row of at most twenty recommendations in the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedlake.operators.embed import Embedder
 from feedlake.operators.search import (BODY_WEIGHT, DEFAULT_LIMIT, MAX_LIMIT, MIN_LIMIT, SUMMARY_WEIGHT, TITLE_WEIGHT, TOKEN_ONLY,
-                                       TOKEN_SPLIT, anchor_candidates, literal_segments, ngrams, random_order, request_grams)
+                                       TOKEN_SPLIT, anchor_candidates, literal_segments, ngrams, random_order, request_grams,
+                                       search_vector_batch)
 from feedlake.session import materialize
 from feedlake.sources import tables
 
@@ -205,16 +209,21 @@ def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0, wildca
         pools.append(_best(scored, "a"))
 
     if "random" in kinds:
-        order = [random_order(F.col("id"), seed), F.asc("id")]
-        top = live.select("id", F.lit(1.0).alias("score"), order[0].alias("o")).orderBy("o", "id").limit(MAX_LIMIT)
-        pools.append(top.select(F.lit("r").alias("answer"), F.row_number().over(Window.orderBy("o", "id")).alias("rank"), "id", "score"))
+        pools.append(_random_pool(live, seed))
+    return _answered(rq, pools, posts, generated_at, with_rejects)
+
+
+def _random_pool(live: DataFrame, seed: int) -> DataFrame:
+    """The MAX_LIMIT first posts in the stable random order."""
+    top = live.select("id", F.lit(1.0).alias("score"), random_order(F.col("id"), seed).alias("o")).orderBy("o", "id").limit(MAX_LIMIT)
+    return top.select(F.lit("r").alias("answer"), F.row_number().over(Window.orderBy("o", "id")).alias("rank"), "id", "score")
 
+
+def _answered(rq: DataFrame, pools: list[DataFrame], posts: DataFrame, generated_at: Column, with_rejects: bool) -> DataFrame:
+    """Every request with the recommendations of its ``answer``, from pools of (answer, rank, id, score)."""
     rec = "array<struct<article_id:string,score:double,title:string,summary:string,url:string>>"
     if pools:
-        pool = pools[0]
-        for more in pools[1:]:
-            pool = pool.unionByName(more)
-        pool = materialize(pool, "answers")                                      # at most MAX_LIMIT rows per distinct query
+        pool = materialize(reduce(DataFrame.unionByName, pools), "answers")      # at most MAX_LIMIT rows per distinct query
         texts = posts.select("id", "title", "summary", "url").join(pool.select("id").distinct(), "id", "left_semi")
         entry = F.struct("rank", F.struct(F.col("id").cast("string").alias("article_id"), F.col("score").cast("double").alias("score"), "title", "summary", "url").alias("r"))
         recs = pool.join(texts, "id").groupBy("answer").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["r"]).alias("recs"))
@@ -226,3 +235,26 @@ def recommend_batch(requests: DataFrame, posts: DataFrame, seed: int = 0, wildca
     out = out.select("request_id", "student_id", "recommendations", F.size("recommendations").cast("long").alias("total_count"),
                      generated_at.alias("generated_at"), "status")
     return out if with_rejects else out.where("status = 'ok'")
+
+
+def recommend_similar(requests: DataFrame, posts: DataFrame, embedder: Embedder, seed: int = 0,
+                      as_of: Column | None = None, with_rejects: bool = True) -> DataFrame:
+    """R6 by meaning, as the API does with a model: requests and result as in ``recommend_batch``.
+
+    Distinct queries are embedded once and answered by cosine among the posts that have an embedding
+    and a summary (``search_vector_batch``: one scan of the posts). A query without a vector, or with
+    one of another length than the posts' vectors, gets no posts; requests without a query get the
+    stable random order.
+    """
+    generated_at = as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
+    if "request_id" not in requests.columns:
+        requests = requests.withColumn("request_id", F.monotonically_increasing_id())
+    rq = with_status(requests.select("request_id", "student_id", "query", "limit"))
+    answer = F.when(F.col("status") == "ok", F.when(F.col("query").isNull(), F.lit("r")).otherwise(F.concat(F.lit("q"), F.col("query"))))
+    rq = materialize(rq.withColumn("answer", answer), "requests")
+    asked = rq.where(F.col("answer").startswith("q")).select("query").distinct()
+    vectors = embedder(asked, "query", "query_vector").select(F.concat(F.lit("q"), F.col("query")).alias("query_id"), "query_vector")
+    similar = search_vector_batch(posts, vectors, MAX_LIMIT).where(F.col("id").isNotNull())
+    pools = [similar.select(F.col("query_id").alias("answer"), "rank", F.col("id").cast(posts.schema["id"].dataType).alias("id"), "score"),
+             _random_pool(posts.where(F.col("summary").isNotNull()), seed)]
+    return _answered(rq, pools, posts, generated_at, with_rejects)

@@ -257,7 +257,7 @@ def search_vector_batch(posts: DataFrame, queries: DataFrame, limit: int = DEFAU
     """
     spark = posts.sparkSession
     p = posts.where(F.col(vec_col).isNotNull() & F.col("summary").isNotNull()).select(
-        "id", F.col(vec_col).alias("vec"))
+        F.col("id").cast("string").alias("id"), F.col(vec_col).alias("vec"))
     q = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("query_vector").cast("array<double>").alias("qv"))
     q = materialize(q.groupBy("query_id").agg(F.min("qv").alias("qv")), "query-vectors")
     schema = "query_id string, id string, score double"

@@ -24,7 +24,7 @@ from pyspark.sql import types as T_
 from pyspark.sql import functions as F
 
 ACTION = "_action"
-INSERT, UPDATE, MATCHED, KEEP = "INSERT", "UPDATE", "MATCHED", "KEEP"
+INSERT, UPDATE, MATCHED, KEEP, REJECT = "INSERT", "UPDATE", "MATCHED", "KEEP", "REJECT"
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -162,11 +162,23 @@ def upsert(target: DataFrame, source: DataFrame, key: str,
     return joined.select(*cols, action.alias(ACTION))
 
 
-def merge_report(merged: DataFrame) -> DataFrame:
-    """Counts by action and the procedure's message, in one aggregation."""
+def rejected_rows(rows: DataFrame, key: str, ts: str = "fetched_at") -> DataFrame:
+    """The source rows that a merge rejects for want of a key, equal ones once (G1), with their number of fetches."""
+    cols = [c for c in rows.columns if c != ts]
+    return rows.where(F.col(key).isNull()).groupBy(*cols).agg(F.min(ts).alias("first_fetched_at"), F.count("*").alias("fetches"))
+
+
+def merge_report(merged: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """Counts by action and the procedure's message, in one aggregation.
+
+    With the ``rejected`` rows of the source, their number is a column, too; they are not among the rows affected."""
     n = lambda a: F.sum(F.when(F.col(ACTION) == a, 1).otherwise(0)).cast("long")
-    agg = merged.agg(n(INSERT).alias("inserted"), n(UPDATE).alias("updated"),
-                     n(MATCHED).alias("unchanged"), n(KEEP).alias("untouched"))
+    actions, more = merged.select(ACTION), []
+    if rejected is not None:
+        actions = actions.unionByName(rejected.select(F.lit(REJECT).alias(ACTION)))
+        more = [n(REJECT).alias("rejected")]
+    agg = actions.agg(n(INSERT).alias("inserted"), n(UPDATE).alias("updated"),
+                      n(MATCHED).alias("unchanged"), n(KEEP).alias("untouched"), *more)
     return agg.withColumn("message", F.concat(
         F.lit("Merge completed: "), (F.col("inserted") + F.col("updated")).cast("string"),
         F.lit(" rows affected")))

@@ -106,6 +106,26 @@ def merge_report(spark, sf_dir):
     return U.merge_report(merged_by_url(spark, sf_dir))
 
 
+@register("merge_rejects", with_(ENTRIES, RAW_FEEDS, ARTICLE_VIEW, """nourl AS (
+  SELECT * EXCLUDE (url), CASE WHEN length(title) % 3 <> 0 THEN url END AS url FROM article_view)""",
+                                 TARGET_BY_URL, SOURCE_BY_URL.replace("article_view", "nourl"), MERGED_BY_URL) + f"""
+SELECT CAST(count(*) FILTER (WHERE _action = 'INSERT') AS BIGINT) AS inserted,
+       CAST(count(*) FILTER (WHERE _action = 'UPDATE') AS BIGINT) AS updated,
+       CAST(count(*) FILTER (WHERE _action = 'MATCHED') AS BIGINT) AS unchanged,
+       CAST(count(*) FILTER (WHERE _action = 'KEEP') AS BIGINT) AS untouched,
+       (SELECT count(*) FROM (SELECT DISTINCT article_id, title, published_at, body, body_length FROM nourl
+                              WHERE url IS NULL AND fetched_at > {TARGET_CUTOFF})) AS rejected,
+       'Merge completed: ' || CAST(count(*) FILTER (WHERE _action IN ('INSERT', 'UPDATE')) AS VARCHAR)
+         || ' rows affected' AS message
+FROM merged""")
+def merge_rejects(spark, sf_dir):
+    """The merge's report with the source rows that have no URL (those whose title has a length divisible by 3)."""
+    rows = stream_rows(spark, sf_dir)
+    rows = rows.withColumn("url", F.when(F.length("title") % 3 != 0, F.col("url")))
+    merged = U.merge_by_url(D.posts_by_url(spark, sf_dir), rows, D.ts_ntz(D.AS_OF))
+    return U.merge_report(merged, U.rejected_rows(rows, "url"))
+
+
 @register("dedup_min_fetch", with_(ENTRIES, RAW_FEEDS, ARTICLE_VIEW) + """
 SELECT article_id, title, url, published_at, md5(body) AS body_md5, CAST(body_length AS BIGINT) AS body_length,
        min(fetched_at) AS first_fetched_at

@@ -157,6 +157,17 @@ def sample(spark, sf_dir):
     return D.posts(spark, sf_dir, with_emb=False).select("id", "title").limit(10)
 
 
+@register("sample_rows", with_(POSTS) + """
+SELECT least(count(*), 10) AS rows, least(count(*), 10) AS different, least(count(*), 10) AS of_the_table FROM posts""")
+def sample_rows(spark, sf_dir):
+    """A sample holds as many rows as it may, different ones, all of them the table's."""
+    p = D.posts(spark, sf_dir, with_emb=False).select("id", "title")
+    taken = sample(spark, sf_dir).withColumn("taken", F.lit(1))
+    own = p.withColumn("own", F.lit(1)).distinct()
+    return taken.join(own, ["id", "title"], "left").agg(
+        F.count("taken").alias("rows"), F.count_distinct("id").alias("different"), F.count("own").alias("of_the_table"))
+
+
 @register("transform_report", with_(POSTS, XML_ITEMS, PRIOR_BASIC, SRC_BASIC, MERGED_POSTS) + f"""
 SELECT 'Transform completed (Basic version - no Cortex)' AS status, count(*) AS records_processed,
        {AS_OF} AS processed_at FROM merged WHERE updated_at >= {AS_OF} - INTERVAL 5 MINUTE""")

@@ -160,3 +160,33 @@ def index_postings(spark, sf_dir):
     """The postings of the updated index, by token."""
     return _updated_index(spark, sf_dir).groupBy("token").agg(
         F.count("*").alias("posts"), F.sum(F.col("score").cast("decimal(18,1)")).cast("double").alias("weight"), F.max("published_at").alias("latest"))
+
+
+_COS = "list_cosine_similarity(CAST(p.emb AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
+
+
+@register("recommend_similar", with_(POSTS, REQUESTS_SQL, """valid AS (
+  SELECT * FROM requests WHERE "limit" BETWEEN 1 AND 20 AND student_id IS NOT NULL)""", f"""near AS (
+  SELECT a.query, p.id AS article_id, {_COS} AS score,
+         row_number() OVER (PARTITION BY a.query ORDER BY {_COS} DESC, p.id) AS rank
+  FROM (SELECT DISTINCT query FROM valid WHERE query IS NOT NULL) a JOIN embeddings e ON e.vec_id = length(a.query)
+  JOIN posts p ON p.emb IS NOT NULL AND p.summary IS NOT NULL)""", f"""rnd AS (
+  SELECT id AS article_id, row_number() OVER (ORDER BY md5(id || '#{SEED}'), id) AS rank
+  FROM posts WHERE summary IS NOT NULL)""", """hits AS (
+  SELECT v.request_id, n.rank, n.article_id, n.score FROM valid v JOIN near n ON n.query = v.query AND n.rank <= v."limit"
+  UNION ALL
+  SELECT v.request_id, r.rank, r.article_id, 1.0 FROM valid v JOIN rnd r ON r.rank <= v."limit" WHERE v.query IS NULL)""") + """
+SELECT v.request_id, v.student_id, h.rank, h.article_id, round(h.score, 6) AS score,
+       count(h.article_id) OVER (PARTITION BY v.request_id) AS total_count,
+       CASE WHEN v.student_id IS NULL THEN 'no student_id' WHEN "limit" BETWEEN 1 AND 20 THEN 'ok' ELSE 'limit outside 1..20' END AS status
+FROM requests v LEFT JOIN hits h ON h.request_id = v.request_id""")
+def recommend_similar(spark, sf_dir):
+    """R6 by vectors: the model is a stand-in that SQL can repeat, the stored vector whose id is the query's length."""
+    stored = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("__n"), "embedding")
+
+    def embedder(df, text, out):
+        n = F.length(text).cast("long")
+        return df.withColumn("__n", n).join(stored, "__n", "left").drop("__n").withColumnRenamed("embedding", out)
+
+    out = R.recommend_similar(D.requests(spark, sf_dir), D.posts(spark, sf_dir), embedder, seed=SEED, as_of=D.ts_ntz(D.AS_OF))
+    return _flat(out).withColumn("score", F.round("score", 6))

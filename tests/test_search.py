@@ -162,3 +162,25 @@ def test_vector_batch_with_unlike_lengths_and_nulls(spark, max_bytes):
     assert sorted(got["two"]) == [(1, "28"), (2, "26"), (3, "24"), (4, "22")] and sorted(got["three"]) == [(1, "29"), (2, "27"), (3, "25"), (4, "23")]
     assert got["seven"] == got["none"] == [(None, None)]
     assert S.search_vector_batch(pdf.limit(0), qdf).count() == 4 and S.search_vector_batch(pdf, qdf.limit(0)).count() == 0
+
+
+def test_recommend_similar_answers_by_vector(spark):
+    """Equal queries are one; queries without a vector or with one of another length find nothing; the rest as in the text form."""
+    posts = spark.createDataFrame(
+        [(1, "a", "s", "u1", [1.0, 0.0]), (2, "b", "s", "u2", [0.0, 1.0]), (3, "c", "s", "u3", [1.0, 1.0]),
+         (4, "d", None, "u4", [1.0, 0.0]), (5, "e", "s", "u5", None)],
+        "id int, title string, summary string, url string, emb array<double>")
+    known = spark.createDataFrame([("right", [1.0, 0.0]), ("up", [0.0, 2.0]), ("odd", [1.0]), ("none", None)], "query string, query_vector array<double>")
+    requests = spark.createDataFrame(
+        [(10, "s", "right", 2), (11, "s", "right", 1), (12, "t", "up", None), (13, "s", "odd", 3), (14, "s", "none", 3),
+         (15, "s", "", 2), (16, "s", None, 20), (17, "s", "up", 21), (18, None, "up", 1)],
+        "request_id int, student_id string, query string, limit int")
+    out = R.recommend_similar(requests, posts, lambda df, text, vec: df.join(known, "query", "left"), seed=1)
+    got = {r.request_id: r for r in out.collect()}
+    ids = {k: [x.article_id for x in r.recommendations] for k, r in got.items()}
+    assert ids[10] == ["1", "3"] and ids[11] == ["1"] and ids[12] == ["2", "3", "1"]
+    assert ids[13] == ids[14] == ids[17] == ids[18] == []
+    assert len(ids[15]) == 2 and sorted(ids[16]) == ["1", "2", "3", "5"] and ids[16][:2] == ids[15]
+    assert got[12].recommendations[0].score == 1.0 and got[17].status != "ok" and got[13].status == "ok"
+    none = R.recommend_similar(requests.limit(0), posts, lambda df, text, vec: df.join(known, "query", "left"))
+    assert none.count() == 0

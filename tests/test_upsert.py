@@ -174,3 +174,13 @@ def test_rows_without_a_key_are_inserted_each(spark):
     now = F.lit(NOW).cast("timestamp_ntz")
     assert U.merge_by_url(target, rows, now).count() == 0
     assert U.merge_by_url(target, rows, now, null_keys="insert").count() == 5      # identical rows are one (G1)
+
+
+def test_rejected_rows_are_counted(spark):
+    rows = _rows(spark).union(_rows(spark).where("url IS NULL"))
+    merged = U.merge_by_url(_target(spark), rows, F.lit(NOW).cast("timestamp_ntz"))
+    rejected = U.rejected_rows(rows, "url")
+    assert [(r.article_id, r.fetches) for r in rejected.collect()] == [("a7", 2)]
+    r = U.merge_report(merged, rejected).first()
+    assert (r.inserted, r.updated, r.unchanged, r.untouched, r.rejected) == (1, 1, 2, 2, 1)
+    assert r.message == "Merge completed: 2 rows affected"
