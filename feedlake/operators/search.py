@@ -180,66 +180,93 @@ def anchor_candidates(req_grams: DataFrame, index: DataFrame, key: str) -> DataF
 
 QUERY_BYTES = 32 << 20        # query vectors that are sent to every task; beyond, they are dealt to groups of tasks
 POST_BLOCK = 4096             # post vectors that are multiplied at once
+SCORES = 1 << 20              # scores that are held at once: query vectors are multiplied in blocks, too
 
 
 class _TopK:
-    """The best ``k`` rows per query seen so far by one task: score falling, then id rising."""
+    """The best ``k`` rows per query seen so far by one task: score falling, then id rising.
+
+    An empty place has the score -inf and no id."""
 
     def __init__(self, n: int, k: int):
         import numpy as np
-        self.k, self.scores, self.ids = k, np.full((n, 0), -np.inf), np.empty((n, 0), object)
+        self.k, self.scores, self.ids = k, np.full((n, k), -np.inf), np.full((n, k), None, object)
 
     def add(self, rows, ids, scores) -> None:
-        """``scores``: one row per query in ``rows``, one column per id."""
+        """``scores``: one row per query in ``rows``, one column per id, the ids rising."""
         import numpy as np
         if not len(rows) or not len(ids):
             return
-        width = self.scores.shape[1]
-        if width < self.k:                                     # room for k rows of every query
-            more = self.k - width
-            self.scores = np.hstack([self.scores, np.full((len(self.scores), more), -np.inf)])
-            self.ids = np.hstack([self.ids, np.full((len(self.ids), more), None, object)])
-        place = np.argsort(ids, kind="stable")
-        ids, scores = ids[place], scores[:, place]
-        for j, own in zip(rows, scores):
-            least = self.scores[j, -1]
-            better = np.flatnonzero(own >= least)              # equal scores can win by their id
-            if len(better) > 4 * self.k:
-                cut = np.partition(own[better], len(better) - self.k)[len(better) - self.k]
-                better = better[own[better] >= cut]
-            full = self.ids[j][[x is not None for x in self.ids[j]]]
-            all_ids = np.concatenate([full, ids[better]])
-            all_scores = np.concatenate([self.scores[j, :len(full)], own[better]])
-            order = np.lexsort((all_ids.astype(str), -all_scores))[:self.k]
-            self.ids[j, :len(order)], self.scores[j, :len(order)] = all_ids[order], all_scores[order]
-
-
-def _batch_topk(queries: list[tuple], k: int):
-    """``mapInPandas`` body: exact best ``k`` posts per query over all batches of a task."""
+        cut = self.scores[rows, -1]                            # equal scores can win by their id
+        if len(ids) > self.k:
+            cut = np.maximum(cut, np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+        r, c = np.nonzero(scores >= cut[:, None])
+        if not len(r):
+            return
+        s = scores[r, c]
+        order = np.lexsort((c, -s, r))
+        r, c, s = r[order], c[order], s[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)      # rank of each among its query's new rows
+        r, c, s, place = (x[place < self.k] for x in (r, c, s, place))
+        own, at = np.unique(r, return_inverse=True)
+        new_scores, new_ids = np.full((len(own), self.k), -np.inf), np.full((len(own), self.k), None, object)
+        new_scores[at, place], new_ids[at, place] = s, ids[c]
+        own = rows[own]
+        all_scores = np.hstack([self.scores[own], new_scores])
+        all_ids = np.hstack([self.ids[own], new_ids])
+        names = np.where(np.equal(all_ids, None), "", all_ids).astype(str)
+        order = np.lexsort((names, -all_scores), axis=1)[:, :self.k]
+        self.scores[own] = np.take_along_axis(all_scores, order, axis=1)
+        self.ids[own] = np.take_along_axis(all_ids, order, axis=1)
+
+
+def _vectors(ids, column) -> tuple:
+    """(query ids, {length: (rows, matrix)}) of an Arrow column of vectors, without those that are null."""
+    import numpy as np
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    ids = np.array(ids.to_pylist(), object)[known]
+    column = column.drop_null()
+    size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    start, by_dim = np.cumsum(size) - size, {}
+    for dim in np.unique(size).tolist():
+        at = np.flatnonzero(size == dim)
+        by_dim[dim] = (at, flat[start[at][:, None] + np.arange(dim)])
+    return ids, by_dim
+
+
+def _batch_topk(queries: tuple, k: int):
+    """``mapInPandas`` body: exact best ``k`` posts per query over all batches of a task.
+
+    A task holds ``k`` rows per query and ``SCORES`` scores, however many queries there are."""
     import numpy as np
 
-    by_dim: dict[int, tuple] = {}
-    for dim in sorted({len(v) for _, v in queries}):
-        at = [i for i, (_, v) in enumerate(queries) if len(v) == dim]
-        m = np.array([queries[i][1] for i in at], dtype=np.float64).reshape(len(at), dim)
-        by_dim[dim] = (np.array(at), m, np.linalg.norm(m, axis=1))
+    names, vectors = queries
+    by_dim = {dim: (at, m, np.linalg.norm(m, axis=1)) for dim, (at, m) in vectors.items()}
 
     def run(batches):
         import pandas as pd
-        top = _TopK(len(queries), k)
+        top = _TopK(len(names), k)
         for pdf in batches:
             size = pdf["vec"].map(len)
             for dim, (at, m, norm) in by_dim.items():
                 own = pdf[size == dim]
                 for a in range(0, len(own), POST_BLOCK):
                     part = own.iloc[a:a + POST_BLOCK]
-                    x = np.vstack(part["vec"].to_list()).astype(np.float64).reshape(len(part), dim)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        sims = (m @ x.T) / np.outer(norm, np.linalg.norm(x, axis=1))
-                    sims[~np.isfinite(sims)] = 0.0             # a zero norm gives 0 (V1)
-                    top.add(at, part["id"].to_numpy(object), sims)
-        out = [(queries[j][0], i, s) for j in range(len(queries)) for i, s in zip(top.ids[j], top.scores[j]) if i is not None]
-        yield pd.DataFrame(out, columns=["query_id", "id", "score"])
+                    ids = part["id"].to_numpy(object)
+                    place = np.argsort(ids, kind="stable")
+                    x = np.vstack(part["vec"].to_list()).astype(np.float64).reshape(len(part), dim)[place]
+                    length, step = np.linalg.norm(x, axis=1), max(1, SCORES // len(part))
+                    for b in range(0, len(at), step):
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            sims = m[b:b + step] @ x.T
+                            sims /= np.outer(norm[b:b + step], length)
+                        sims[~np.isfinite(sims)] = 0.0         # a zero norm gives 0 (V1)
+                        top.add(at[b:b + step], ids[place], sims)
+        step = max(1, SCORES // (16 * k))
+        for a in range(0, len(names), step):
+            r, c = np.nonzero(top.scores[a:a + step] > -np.inf)
+            yield pd.DataFrame({"query_id": names[a + r], "id": top.ids[a + r, c], "score": top.scores[a + r, c]})
     return run
 
 
@@ -263,24 +290,30 @@ def search_vector_batch(posts: DataFrame, queries: DataFrame, limit: int = DEFAU
     schema = "query_id string, id string, score double"
     size = q.agg(F.sum(F.lit(64) + 8 * F.greatest(F.size("qv"), F.lit(0)))).first()[0] or 0
     if size <= max_bytes:
-        rows = [(r[0], list(r[1])) for r in q.where(F.col("qv").isNotNull()).collect()]      # at most max_bytes
-        sent = spark.sparkContext.broadcast(rows)
+        rows = q.where(F.col("qv").isNotNull()).toArrow().combine_chunks()                   # at most max_bytes
+        sent = spark.sparkContext.broadcast(_vectors(rows["query_id"], rows["qv"].combine_chunks()))
 
         def run(batches):
             yield from _batch_topk(sent.value, limit)(batches)
 
-        cand = p.mapInPandas(run, schema) if rows else spark.createDataFrame([], schema)
+        # every task gives ``limit`` rows per query, so there are no more tasks than keep all cores busy
+        tasks = 2 * spark.sparkContext.defaultParallelism
+        cand = p.coalesce(tasks).mapInPandas(run, schema) if rows.num_rows else spark.createDataFrame([], schema)
     else:
         groups = -(-size // max_bytes)
-        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), p.count() // (16 * POST_BLOCK) + 1)
+        blocks = max(-(-2 * spark.sparkContext.defaultParallelism // groups), p.count() // (16 * POST_BLOCK) + 1)
         grouped = q.where(F.col("qv").isNotNull()).withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
         left = p.withColumns({"b": F.pmod(F.xxhash64("id"), F.lit(blocks)), "g": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1)))})
         right = grouped.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1))))
 
         def pairs(a, b):
             import pandas as pd
-            rows = list(zip(b["query_id"], b["qv"].map(list)))
-            return next(_batch_topk(rows, limit)(iter([a[["id", "vec"]]]))) if len(rows) and len(a) else pd.DataFrame(columns=["query_id", "id", "score"])
+            import pyarrow as pa
+            none = pd.DataFrame(columns=["query_id", "id", "score"])
+            if not len(a) or not len(b):
+                return none
+            rows = _vectors(pa.array(b["query_id"]), pa.array(b["qv"], pa.list_(pa.float64())))
+            return pd.concat([*_batch_topk(rows, limit)(iter([a[["id", "vec"]]]))] or [none])
 
         cand = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInPandas(pairs, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
