@@ -43,9 +43,15 @@ def _closed_form_array(t: Column, step: int, size: int) -> Column:
 
 
 def _linear_array(t: Column, step: int, size: int) -> Column:
-    """A chunk is its own step and the beginning of the steps that follow."""
+    """A chunk is its own step and the beginning of the steps that follow.
+
+    The steps are handed to one lambda, since inside it an expression is computed again for every chunk."""
     m = -(-size // step)
-    pieces = F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % step), 0)
+    steps = F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % step), 0)
+    return F.flatten(F.transform(F.array(steps), lambda pieces: _joined_steps(pieces, m, step, size)))
+
+
+def _joined_steps(pieces: Column, m: int, step: int, size: int) -> Column:
     if m == 2:
         return F.transform(pieces, lambda p, i: F.concat(p, F.left(F.coalesce(F.get(pieces, i + 1), F.lit("")), F.lit(size - step))))
     return F.transform(pieces, lambda p, i: F.left(F.array_join(F.slice(pieces, i + 1, F.lit(m)), ""),

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.operators.articles import embed_input, summary_trunc
+from feedlake.session import materialize
 
 EMBED_DIM = 768                    # fixed value: dimension of the reference's embedding
 DEFAULT_MODEL = "text-embedding-3-small"   # fixed value: default model_name of the embeddings table
@@ -136,9 +137,11 @@ def refresh_vectors(chunks: DataFrame, vectors: DataFrame, embedder: Embedder |
     from feedlake.functions.text import md5_key
     embedder = embedder or hashing_embedder()
     columns = ["embedding_id", "chunk_id", "embedding_vector", "model_name", "created_at", TEXT_HASH]
-    status = vector_status(chunks, vectors)
+    todo_text = F.when(F.col("status").isin("new", "replaced"), F.col("chunk_text"))
+    status = materialize(vector_status(chunks, vectors).withColumn("chunk_text", todo_text), "vector-status")   # read twice
+    # a kept id has one hash, so the join's partitioning serves the second step, too
     kept = vectors.join(status.where(F.col("status") == "kept").select("chunk_id", TEXT_HASH),
-                        ["chunk_id", TEXT_HASH], "left_semi").dropDuplicates(["chunk_id"])
+                        ["chunk_id", TEXT_HASH], "left_semi").dropDuplicates(["chunk_id", TEXT_HASH])
     todo = status.where(F.col("status").isin("new", "replaced")).select("chunk_id", "chunk_text", TEXT_HASH)
     created = as_of if as_of is not None else F.current_timestamp().cast("timestamp_ntz")
     made = embedder(todo, "chunk_text", "embedding_vector").select(
