@@ -33,6 +33,7 @@ from feedlake.session import scratch_dir
 
 END_ID = 2
 FRAME_TOKENS = 1 << 19
+COUNTED_IDS = 1 << 20         # ids below are counted in a table, others are sorted
 FRAMES = ("part int, part_start long, doc_ids binary, id_known binary, n_tokens binary, ranked binary, control binary, data binary")
 
 _BYTES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1        # bytes of the four ranks of a control byte
@@ -40,11 +41,19 @@ _BYTES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1        # by
 
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ranked, control, data) of a frame's ids."""
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -counts))
-    rank_of = np.empty(len(order), np.uint32)
-    rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    rank = rank_of[inverse]
+    if int(ids.max(initial=0)) < COUNTED_IDS:        # counted in a table: no sorting of all ids
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts)
+        order = np.lexsort((values, -counts[values]))
+        rank_of = np.empty(len(counts), np.uint32)
+        rank_of[values[order]] = np.arange(len(order), dtype=np.uint32)
+        rank = rank_of[ids]
+    else:
+        values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        order = np.lexsort((values, -counts))
+        rank_of = np.empty(len(order), np.uint32)
+        rank_of[order] = np.arange(len(order), dtype=np.uint32)
+        rank = rank_of[inverse]
     size = 1 + (rank > 0xFF).astype(np.int64) + (rank > 0xFFFF) + (rank > 0xFFFFFF)
     padded = np.zeros(-len(size) % 4 + len(size), np.uint8)
     padded[:len(size)] = size - 1

@@ -89,3 +89,21 @@ def test_change_stream_calls_python_by_group(spark, tmp_path):
         counts.append({(r._action, r._is_update): r["count"] for r in spark.read.parquet(out).groupBy("_action", "_is_update").count().collect()})
     assert counts[0] == {("INSERT", False): 900}
     assert counts[1] == counts[2] == {("INSERT", False): 1200, ("UPDATE", True): 300}
+
+
+def test_token_ids_are_ranked_without_sorting_them(monkeypatch):
+    """op7: small ids are counted in a table; the frame is the one that sorting gives."""
+    from feedlake.llm import token_files as TF
+    rng = np.random.default_rng(3)
+    frames = [np.empty(0, np.uint32), np.array([7, 7, 3], np.uint32), rng.zipf(1.3, 50_000).clip(0, 50_000).astype(np.uint32)]
+    counted = [TF.encode_ids(f) for f in frames[1:]]
+    with monkeypatch.context() as m:
+        m.setattr(TF, "COUNTED_IDS", 0)
+        for f, a in zip(frames[1:], counted):
+            b = TF.encode_ids(f)
+            assert all(x.dtype == y.dtype and (x == y).all() for x, y in zip(a, b))
+    for f in [*frames, np.array([1 << 31, 5, 1 << 31], np.uint32)]:
+        assert (TF.decode_ids(*TF.encode_ids(f), len(f)) == f).all()
+    with monkeypatch.context() as m:
+        m.setattr(np, "unique", None)
+        TF.encode_ids(frames[2])
