@@ -8,8 +8,8 @@ fetched for the twenty best posts only. Other queries take their longest run of
 digits to the index and are verified on the texts of the posts it leaves; queries without any
 such run go through character n-grams of the texts.
 
-The index is stored in buckets by post, so posts that a merge has changed are replaced in their
-buckets alone (``update_index``). Equal queries of a batch are answered once.
+The index is stored in buckets by post, one row per post with all its postings, so posts that a merge
+has changed are replaced in their buckets alone (``update_index``). Equal queries of a batch are answered once.
 
 No requests x posts product is formed; a query or token that a third of all posts match is cut to
 its best rows within every task before they are shuffled (``WindowGroupLimit``), and a query that a
@@ -38,8 +38,8 @@ INDEX_BUCKETS = 64
 # ---------------------------------------------------------------- the index
 
 
-def post_tokens(posts: DataFrame) -> DataFrame:
-    """Postings (id, token, score, published_at) of the posts that have a summary: one row per post and distinct token.
+def post_entries(posts: DataFrame) -> DataFrame:
+    """(id, published_at, postings) of the posts that have a summary: one row per post, with (token, score) per distinct token.
 
     One pass: the tokens of a field are those that no better field has."""
     def tokens(c: str) -> Column:
@@ -54,13 +54,23 @@ def post_tokens(posts: DataFrame) -> DataFrame:
         return F.transform(c, lambda x: F.struct(x.alias("token"), F.lit(weight).alias("score")))
 
     scored = [weighted(c, w) for c, w in (("t", TITLE_WEIGHT), ("s", SUMMARY_WEIGHT), ("b", BODY_WEIGHT))]
-    e = p.select("id", "published_at", F.explode(F.concat(*scored)).alias("x"))
+    return p.select("id", "published_at", F.concat(*scored).alias("postings"))
+
+
+def exploded(entries: DataFrame) -> DataFrame:
+    """Postings (id, token, score, published_at), one row per post and distinct token."""
+    e = entries.select("id", "published_at", F.explode("postings").alias("x"))
     return e.select("id", F.col("x.token").alias("token"), F.col("x.score").alias("score"), "published_at").where("token <> ''")
 
 
+def post_tokens(posts: DataFrame) -> DataFrame:
+    """Postings (id, token, score, published_at) of the posts that have a summary."""
+    return exploded(post_entries(posts))
+
+
 def build_index(posts: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -> None:
-    """Store the postings of all posts."""
-    tables.write_bucketed(post_tokens(posts), path, "id", buckets)
+    """Store the postings of all posts, one row per post: only whole posts are shuffled, sorted and replaced."""
+    tables.write_bucketed(post_entries(posts), path, "id", buckets)
 
 
 def update_index(path: str, changed: DataFrame, buckets: int = INDEX_BUCKETS) -> list[int]:
@@ -70,14 +80,14 @@ def update_index(path: str, changed: DataFrame, buckets: int = INDEX_BUCKETS) ->
     changed = materialize(changed.select("id", "title", "summary", "body_markdown", "published_at"), "changed-posts")
 
     def merge(target, ids):
-        new = post_tokens(changed)
+        new = post_entries(changed)
         return new if target is None else target.join(ids, "id", "left_anti").unionByName(new)
 
     return tables.bucketed_merge(path, changed.select("id").where(F.col("id").isNotNull()).distinct(), "id", merge, buckets)
 
 
 def read_index(spark, path: str) -> DataFrame:
-    return tables.read(spark, path).drop(tables.BUCKET)
+    return exploded(tables.read(spark, path))
 
 
 def matching_tokens(postings: DataFrame, pieces: DataFrame) -> DataFrame:

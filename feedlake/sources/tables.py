@@ -3,8 +3,8 @@
 Spark's overwrite removes old files before the new ones are in place, so a driver that dies in
 between would leave a table without them. A replacement is therefore written twice: first
 beside the table, into ``<path>_pending``, which is complete once Spark's own ``_SUCCESS`` file
-is in it; then over the table (all of it, or only the buckets it has, by dynamic partition
-overwrite); then the pending copy goes. Whoever opens the table next finishes a replacement that
+is in it; then its files are moved over the table (all of it, or only the buckets it has; a
+catalog table's rows are inserted); then the rest goes. Whoever opens the table next finishes a replacement that
 was interrupted, or drops a pending copy that is not complete. One writer at a time is assumed,
 as ``foreachBatch`` gives.
 
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 BUCKET = "bucket"
 _WHOLE = "whole"
+_CLEARED = "_CLEARED"         # the table's files beside this pending folder are gone, those there now are its own
 
 
 def _fs(spark: SparkSession, path: str):
@@ -57,15 +58,36 @@ def stage(df: DataFrame, path: str, by: str | None = None) -> None:
     (w.partitionBy(by) if by else w).parquet(_pending(path, by or _WHOLE))
 
 
+def _move(spark: SparkSession, pending: str, path: str) -> None:
+    """Put the files of a pending folder in the place of a table's or bucket's; may be cut off anywhere and called again."""
+    fs, target = _fs(spark, path)
+    if not exists(spark, f"{pending}/{_CLEARED}"):
+        fs.delete(target, True)
+        fs.mkdirs(target)
+        fs.create(_fs(spark, f"{pending}/{_CLEARED}")[1], True).close()
+    for f in fs.listStatus(_fs(spark, pending)[1]):
+        name = f.getPath().getName()
+        if not name.startswith(("_", ".")):
+            to = _fs(spark, f"{path}/{name}")[1]
+            fs.delete(to, False)                                         # a copy that was cut off
+            if not fs.rename(f.getPath(), to):
+                raise OSError(f"cannot move {f.getPath().toString()} to {path}")
+
+
 def recover(spark: SparkSession, path: str, by: str = BUCKET) -> bool:
-    """Second write: put a complete pending copy over the table. False if there is none."""
+    """Second step: move the files of a complete pending copy over the table. False if there is none."""
+    path = path.rstrip("/")
     for kind in (_WHOLE, by):
         pending = _pending(path, kind)
         if exists(spark, f"{pending}/_SUCCESS"):
-            w = spark.read.parquet(pending).write.mode("overwrite")
             if kind == by:
-                w = w.option("partitionOverwriteMode", "dynamic").partitionBy(by)
-            w.parquet(path)
+                fs, p = _fs(spark, pending)
+                for f in fs.listStatus(p):
+                    if f.isDirectory() and f.getPath().getName().startswith(f"{by}="):
+                        _move(spark, f.getPath().toString(), f"{path}/{f.getPath().getName()}")
+            else:
+                _move(spark, pending, path)
+            spark.catalog.refreshByPath(path)
             _drop(spark, _pending(path))
             return True
     _drop(spark, _pending(path))
@@ -101,8 +123,10 @@ def touched_buckets(source: DataFrame, key: str, buckets: int) -> list[int]:
 
 
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Write a table in the ``bucket=<b>`` layout that ``bucketed_merge`` maintains."""
-    (df.withColumn(BUCKET, bucket_of(F.col(key), buckets)).repartition(BUCKET)
+    """Write a table in the ``bucket=<b>`` layout that ``bucketed_merge`` maintains.
+
+    A large bucket is written by several tasks (a rebalance splits it), so none holds all of one."""
+    (df.withColumn(BUCKET, bucket_of(F.col(key), buckets)).hint("rebalance", BUCKET)
      .write.mode("overwrite").partitionBy(BUCKET).parquet(path))
 
 
@@ -115,7 +139,7 @@ def stage_merge(target_path: str, source: DataFrame, key: str, merge: Callable,
         if target is not None:
             target = target.where(F.col(BUCKET).isin(touched)).drop(BUCKET)
         merged = merge(target, source).withColumn(BUCKET, bucket_of(F.col(key), buckets))
-        stage(merged.repartition(BUCKET), target_path, BUCKET)           # one file per bucket
+        stage(merged.hint("rebalance", BUCKET), target_path, BUCKET)     # one file per bucket, more of a large one
     return touched
 
 
