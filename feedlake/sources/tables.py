@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 BUCKET = "bucket"
 _WHOLE = "whole"
 _CLEARED = "_CLEARED"         # the table's files beside this pending folder are gone, those there now are its own
+TASK_BYTES = 64 << 20         # stored bytes of a table that one task of a merge takes
+TASK_ROWS = 1 << 16           # and rows of a merge's source
 
 
 def _fs(spark: SparkSession, path: str):
@@ -164,17 +166,22 @@ def _located(spark: SparkSession, name: str) -> str:
 
 def create_bucketed_table(df: DataFrame, name: str, key: str, path: str, partitions: int = 16, buckets: int = 16) -> None:
     """Catalog table ``name`` at ``path`` with the rows of ``df``: partitions by the key's hash, each bucketed by the key."""
-    (df.withColumn(BUCKET, bucket_of(F.col(key), partitions)).repartition(buckets, key)
+    (_by_file(df.withColumn(BUCKET, bucket_of(F.col(key), partitions)), key, buckets)
      .write.mode("overwrite").format("parquet").option("path", path)
      .partitionBy(BUCKET).bucketBy(buckets, key).saveAsTable(name))
 
 
+def _by_file(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Rows dealt as the files of a bucketed table; those of a large file go to several tasks, each with a file of its own."""
+    return df.withColumn("__file", F.pmod(F.hash(key), F.lit(buckets))).hint("rebalance", BUCKET, "__file").drop("__file")
+
+
 def recover_table(spark: SparkSession, name: str, key: str, buckets: int = 16) -> bool:
     """Put a complete pending copy over the partitions of ``name`` that it has."""
     pending = _pending(_located(spark, name), BUCKET)
     done = exists(spark, f"{pending}/_SUCCESS")
     if done:
-        rows = spark.read.parquet(pending).repartition(buckets, key).select(*spark.table(name).columns)
+        rows = _by_file(spark.read.parquet(pending).select(*spark.table(name).columns), key, buckets)
         before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         try:
@@ -185,10 +192,21 @@ def recover_table(spark: SparkSession, name: str, key: str, buckets: int = 16) -
     return done
 
 
-def merged_partitions(source: DataFrame, name: str, key: str, merge: Callable, partitions: int) -> tuple[list[int], DataFrame]:
-    """The touched partitions of ``name`` and their merged rows."""
-    touched = touched_buckets(source.where(F.col(key).isNotNull()), key, partitions)
-    target = source.sparkSession.table(name).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+def merged_partitions(source: DataFrame, name: str, key: str, merge: Callable, partitions: int,
+                      buckets: int | None = None) -> tuple[list[int], DataFrame]:
+    """The touched partitions of ``name`` and their merged rows.
+
+    With ``buckets``, the table's, both sides are shuffled to more tasks than it has buckets once a
+    bucket of the table or of the source is more than one task should hold."""
+    spark = source.sparkSession
+    keyed = source.where(F.col(key).isNotNull()).groupBy(bucket_of(F.col(key), partitions).alias("b")).count().collect()   # at most ``partitions`` rows
+    touched = sorted(r["b"] for r in keyed)
+    target = spark.table(name).where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    if buckets:
+        fs, p = _fs(spark, _located(spark, name))
+        tasks = max(-(-fs.getContentSummary(p).getLength() // TASK_BYTES), -(-sum(r["count"] for r in keyed) // TASK_ROWS))
+        if tasks > buckets:
+            target, source = target.repartition(tasks, key), source.repartition(tasks, key)
     return touched, merge(target, source).withColumn(BUCKET, bucket_of(F.col(key), partitions))
 
 
@@ -196,12 +214,13 @@ def merge_into_table(source: DataFrame, name: str, key: str, merge: Callable, pa
     """Merge ``source`` into a table of ``create_bucketed_table``; ``merge`` must join on the key itself.
 
     The scan of the touched partitions is hash-partitioned by the key, so only the source is
-    shuffled. Returns the touched partitions, the only ones that are rewritten.
+    shuffled, unless a bucket has outgrown what one task should hold (``TASK_BYTES``, ``TASK_ROWS``).
+    Returns the touched partitions, the only ones that are rewritten.
     """
     spark = source.sparkSession
     recover_table(spark, name, key, buckets)
-    touched, merged = merged_partitions(source, name, key, merge, partitions)
+    touched, merged = merged_partitions(source, name, key, merge, partitions, buckets)
     if touched:
-        stage(merged, _located(spark, name), BUCKET)
+        stage(merged.hint("rebalance", BUCKET), _located(spark, name), BUCKET)
         recover_table(spark, name, key, buckets)
     return touched
